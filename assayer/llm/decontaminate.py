@@ -62,8 +62,10 @@ def find_hits(
         each = F.array(*(F.struct(F.lit(w).alias("wide"), F.when((F.col("at") >= 0) & (F.col("at") + w <= F.size("all")), _hash(F.col("all"), F.col("at"), w)).alias("key")) for w in widths))
         row = row.withColumn("one", F.explode(each)).withColumns({"key": F.col("one.key"), "wide": F.col("one.wide")}).drop("one")
         row = row.where((F.col("at") >= 0) | (F.col("wide") == widths[0]))
-    same = (row["key"] == windows["key"]) & (row["wide"] == windows["width"]) & (F.slice(row["all"], F.greatest(row["at"], F.lit(0)) + 1, row["wide"]) == windows["tokens"])
-    found = row.join(windows, same, "left").where((row["at"] < 0) | windows["width"].isNotNull())
+    found = row.join(windows, (row["key"] == windows["key"]) & (row["wide"] == windows["width"]), "left")
+    # As a filter, not a join key: else the slice is made for every position instead of the few with an equal hash.
+    same = F.slice(row["all"], F.greatest(row["at"], F.lit(0)) + 1, row["wide"]) == windows["tokens"]
+    found = found.where((row["at"] < 0) | (windows["width"].isNotNull() & same))
     marker = F.col("at") < 0
     kept = found.select(
         row["row"], row["id"], F.when(marker, F.size("all")).alias("n_words"),
