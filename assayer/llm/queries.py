@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, exact_dedup, license_scan, url_filter
+from assayer.llm import decontaminate, exact_dedup, license_scan, simhash, url_filter
 from assayer.sources.tables import table
 
 QUERIES: dict = {}
@@ -105,3 +105,8 @@ SELECT d.doc_id, sha256({_canonical_sql("raw")}) AS digest, k.license, CAST(coal
   coalesce(array_to_string(list_sort(ls), ','), '') AS line_licenses
 FROM d LEFT JOIN k ON k.c = {_canonical_sql("raw")} LEFT JOIN hits USING (doc_id)
 """
+
+
+@query
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
