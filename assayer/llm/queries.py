@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, exact_dedup, license_scan, packing, simhash, toxicity, url_filter
+from assayer.llm import decontaminate, exact_dedup, license_scan, line_dedup, packing, simhash, toxicity, url_filter
 from assayer.sources.tables import table
 
 QUERIES: dict = {}
@@ -125,3 +125,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    gone = line_dedup.later_matches(docs)
+    lines = docs.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("n"))
+    return lines.join(gone, lines["doc_id"] == gone["id"], "left").select(
+        "doc_id", F.coalesce("n", F.lit(1)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.transform("removed", lambda k: k.cast("string")), ","), F.lit("")).alias("removed_lines"),
+    )
