@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, exact_dedup, license_scan, line_dedup, packing, simhash, toxicity, url_filter
+from assayer.llm import decontaminate, exact_dedup, license_scan, line_dedup, packing, quality, simhash, toxicity, url_filter
 from assayer.sources.tables import table
 
 QUERIES: dict = {}
@@ -137,3 +137,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.transform("removed", lambda k: k.cast("string")), ","), F.lit("")).alias("removed_lines"),
     )
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
