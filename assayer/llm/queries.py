@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, exact_dedup, license_scan, line_dedup, packing, quality, simhash, toxicity, url_filter
+from assayer.llm import decontaminate, exact_dedup, license_scan, line_dedup, packing, pii, quality, simhash, toxicity, url_filter
 from assayer.sources.tables import table
 
 QUERIES: dict = {}
@@ -142,3 +142,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
