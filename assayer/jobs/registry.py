@@ -2,18 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from assayer.jobs import relational  # noqa: F401  the job modules register their queries
+from assayer.jobs.base import ORACLES, QUERIES
 
-from assayer.sources.tables import table
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def _pairwise_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES["pairwise_strata"] = _pairwise_strata
+__all__ = ["ORACLES", "QUERIES"]
