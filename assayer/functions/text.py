@@ -14,6 +14,11 @@ REMEDY = r"(?i)(fix(ed|es)?|patch(ed)?|add(ed|s)? (a )?check|validat\w*|sanitiz\
 TRAILER = r"(?i)^(signed-off-by|reviewed-by|acked-by|tested-by|cc|fixes|link|change-id):"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row, also where lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def code_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CODE_TOKEN), F.lit(0))
 
@@ -26,21 +31,26 @@ def identifiers(text: Column, least: int = 1) -> Column:
 
 def shingles(text: Column, k: int = 5) -> Column:
     """Different runs of ``k`` tokens, joined by a blank; a shorter text that has tokens is one shingle."""
-    tokens = F.regexp_extract_all(text, F.lit(SHINGLE_TOKEN), F.lit(0))
-    last = F.greatest(F.size(tokens) - (k - 1), F.lit(1))
-    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, k), " ")))
-    return F.when(F.size(tokens) > 0, parts).otherwise(F.array().cast("array<string>"))
+    def runs(tokens: Column) -> Column:
+        last = F.greatest(F.size(tokens) - (k - 1), F.lit(1))
+        parts = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, k), " ")))
+        return F.when(F.size(tokens) > 0, parts).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(text, F.lit(SHINGLE_TOKEN), F.lit(0)), runs)
 
 
 def char_grams(text: Column, k: int = 4) -> Column:
     """Different runs of ``k`` characters after blanks are removed; none for a shorter text."""
-    z = F.regexp_replace(text, r"\s+", "")
-    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(z) - (k - 1), F.lit(1))), lambda i: F.substring(z, i, F.lit(k))))
-    return F.when(F.length(z) >= k, parts).otherwise(F.array().cast("array<string>"))
+    def runs(z: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(z) - (k - 1), F.lit(1)))
+        parts = F.array_distinct(F.transform(starts, lambda i: F.substring(z, i, F.lit(k))))
+        return F.when(F.length(z) >= k, parts).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_replace(text, r"\s+", ""), runs)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
 def canonical_code(text: Column) -> Column:
@@ -57,7 +67,7 @@ def abstract_code(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without the empty one that a final line feed leaves."""
-    return F.split(F.regexp_replace(text, r"\n$", ""), "\n")
+    return F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
 
 
 def statements(text: Column) -> Column:
@@ -89,7 +99,7 @@ def clean_message(text: Column, most: int = 1500) -> Column:
     """Lines that are neither trailers nor diff lines, cut at a blank before ``most`` characters."""
     kept = F.filter(lines(text), lambda s: ~s.rlike(TRAILER) & ~s.rlike(r"^(\+\+\+|---|@@|diff )"))
     whole = strip(F.array_join(kept, "\n"))
-    return F.when(F.length(whole) <= most, whole).otherwise(F.regexp_replace(F.substring(whole, 1, most), r"\s\S*$", ""))
+    return F.when(F.length(whole) <= most, whole).otherwise(F.regexp_replace(F.substring(whole, 1, most), r"\s\S*\z", ""))
 
 
 def balance(text: Column, opening: str = "(", closing: str = ")") -> Column:
@@ -107,9 +117,14 @@ def balance(text: Column, opening: str = "(", closing: str = ")") -> Column:
 
 def slice_lines(text: Column, sink: str) -> Column:
     """Lines with a sink pattern, and lines that share an identifier with those."""
-    rows = lines(text)
-    names = F.array_distinct(F.flatten(F.transform(F.filter(rows, lambda s: s.rlike(sink)), lambda s: F.regexp_extract_all(s, F.lit(IDENTIFIER), F.lit(0)))))
-    return F.filter(rows, lambda s: s.rlike(sink) | F.arrays_overlap(F.regexp_extract_all(s, F.lit(IDENTIFIER), F.lit(0)), names))
+    def ids(line: Column) -> Column:
+        return F.regexp_extract_all(line, F.lit(IDENTIFIER), F.lit(0))
+
+    def kept(rows: Column) -> Column:
+        names = F.array_distinct(F.flatten(F.transform(F.filter(rows, lambda s: s.rlike(sink)), ids)))
+        return let(names, lambda n: F.filter(rows, lambda s: s.rlike(sink) | F.arrays_overlap(ids(s), n)))
+
+    return let(lines(text), kept)
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
