@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.jobs import aggregates, relational, similarity, statistics, texts  # noqa: F401  the job modules register their queries
+from assayer.jobs import aggregates, relational, similarity, statistics, texts, transforms  # noqa: F401  the job modules register their queries
 from assayer.jobs.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
