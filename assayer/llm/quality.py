@@ -257,7 +257,8 @@ def classify(
     """
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
     mine = docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    model = train(mine.join(trusted, "id", "left_semi").select("text"))
+    # A merge at any size: where labels are few a broadcast would do, but it would not last.
+    model = train(mine.join(trusted.hint("merge"), "id", "left_semi").select("text"))
     scratch = Scratch(docs.sparkSession)
     scored = scratch.write(perplexities(docs, model, (id_col, lang_col), text_col).select(F.col(id_col).alias("id"), F.coalesce(lang_col, F.lit("")).alias("lang"), F.col(lang_col).alias("own"), "perplexity"))
     known = scored.where(held_out(F.col("id"))).join(trusted, "id", "left_semi").select("lang", "perplexity")
