@@ -21,7 +21,8 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     centre = p + F.try_divide(_d(z * z), 2 * n)
     half = z * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(_d(z * z), 4 * n * n))
     scale = 1 + F.try_divide(_d(z * z), n)
-    return F.greatest((centre - half) / scale, _d(0)), F.least((centre + half) / scale, _d(1))
+    low, high = F.greatest((centre - half) / scale, _d(0)), F.least((centre + half) / scale, _d(1))
+    return F.when(n > 0, low), F.when(n > 0, high)
 
 
 def log_choose_half(n: Column, k: Column) -> Column:

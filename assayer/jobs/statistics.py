@@ -91,7 +91,7 @@ FROM v a JOIN v b ON a.lang = b.lang AND a.quality = 1 AND b.quality <> 1 GROUP
 def cliffs_delta(spark, sf_dir):
     """Cliff's delta by its rank form instead of all pairs."""
     m = T.mann_whitney(_lengths(Tables(spark, sf_dir)), ["lang"], "n_chars", F.col("quality") == 1)
-    return m.select("lang", _r(F.col("effect")).alias("delta"))
+    return m.where("n1 > 0 and n2 > 0").select("lang", _r(F.col("effect")).alias("delta"))
 
 
 _DIFFS = """

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def multiset_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, ``a`` and ``b``: how often each element is on either side."""
-    both = left.select(*keys, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(right.select(*keys, F.lit(0).alias("x"), F.lit(1).alias("y")))
-    return both.groupBy(*keys).agg(F.sum("x").alias("a"), F.sum("y").alias("b"))
+    """``keys``, ``__a`` and ``__b``: how often each element is on either side."""
+    both = left.select(*keys, F.lit(1).alias("__x"), F.lit(0).alias("__y")).unionByName(right.select(*keys, F.lit(0).alias("__x"), F.lit(1).alias("__y")))
+    return both.groupBy(*keys).agg(F.sum("__x").alias("__a"), F.sum("__y").alias("__b"))
 
 
 def multiset_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Elements that ``left`` has more often, with the surplus ``n``."""
-    return multiset_counts(left, right, keys).where("a > b").select(*keys, (F.col("a") - F.col("b")).alias("n"))
+    return multiset_counts(left, right, keys).where("__a > __b").select(*keys, (F.col("__a") - F.col("__b")).alias("n"))
