@@ -17,7 +17,7 @@ def test_json_lines_and_patch_records(spark, tmp_path):
     df = readers.json_lines(spark, str(tmp_path / "in"), "`CVE ID` string, before string, after string", "*_pairs.jsonl")
     assert df.count() == 3
     got = readers.patch_records(df).collect()
-    assert [(r.cve_id, r.cwe, r.vulnerable_code) for r in got] == [("CVE-1", "CWE-unknown", "a")]
+    assert [(r.cve_id, r.cwe, r.vulnerable_code) for r in got] == [("CVE-1", "CWE-unknown", "a ")]
 
 
 def test_tabular_needs_a_column(spark, tmp_path):
