@@ -33,18 +33,24 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
 
 def find_hits(
     docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = (),
+    item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """One row per document row: id, ``n_words``, ``hits`` (array of start and width in words) and ``items``.
 
     Every document position is hashed with its ``n`` following words, inside generated code, and looked
     up in the broadcast hash set; equal hashes are verified word by word.  Each document also sends one
-    marker row, so that one pass and one shuffle of the markers and hits give all documents.  ``carry``
-    names further columns that the marker takes along.
+    marker row, so that one pass and one shuffle of the markers and hits give all documents.
 
     An item of fewer words than ``n`` is one window; null and wordless texts have no windows and no
     hits; repeated document rows each keep a row; an item id of null counts as no item.
     """
+    return _find(docs, items, n, id_col, text_col, item_id, item_text, ()).withColumnRenamed("id", id_col)
+
+
+def _find(
+    docs: DataFrame, items: DataFrame, n: int, id_col: str, text_col: str, item_id: str, item_text: str, carry: tuple[str, ...]
+) -> DataFrame:
+    """As ``find_hits``, with ``id`` and the columns ``carry`` as carry_0, carry_1, ..., which the marker takes along."""
     windows = item_windows(items, item_id, item_text, n)
     sizes = {r["width"]: r["n"] for r in windows.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}  # n rows at most
     widths = sorted(sizes) or [n]
@@ -72,13 +78,14 @@ def find_hits(
         *(F.when(marker, F.col(f"carry_{k}")).alias(f"carry_{k}") for k in range(len(carry))),
         F.when(~marker, F.struct(F.col("at").alias("start"), F.col("wide").alias("width"))).alias("hit"), windows["items"].alias("items"),
     )
-    return kept.groupBy("row").agg(
-        F.first("id", ignorenulls=True).alias(id_col),
+    found = kept.groupBy("row").agg(
+        F.first("id", ignorenulls=True).alias("id"),
         F.max("n_words").cast("long").alias("n_words"),
         F.array_sort(F.collect_set("hit")).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        *(F.first(f"carry_{k}", ignorenulls=True).alias(c) for k, c in enumerate(carry)),
-    ).drop("row")
+        *(F.first(f"carry_{k}", ignorenulls=True).alias(f"carry_{k}") for k in range(len(carry))),
+    )
+    return found.drop("row")
 
 
 def covered(hits: Column) -> Column:
@@ -87,10 +94,17 @@ def covered(hits: Column) -> Column:
     return F.array_distinct(F.flatten(spans))
 
 
+def _with_hits(docs: DataFrame, items: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The documents with their hits, and where each of their columns is."""
+    rest = [c for c in docs.columns if c != id_col]
+    found = _find(docs, items, n, id_col, text_col, "item_id", "text", tuple(rest))
+    return found, {c: F.col("id" if c == id_col else f"carry_{rest.index(c)}") for c in docs.columns}
+
+
 def remove_documents(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any hit, with all their columns."""
-    hits = find_hits(docs, items, n, id_col, text_col, carry=tuple(c for c in docs.columns if c != id_col))
-    return hits.where(F.size("hits") == 0).select(docs.columns)
+    found, columns = _with_hits(docs, items, n, id_col, text_col)
+    return found.where(F.size("hits") == 0).select(*(at.alias(c) for c, at in columns.items()))
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,11 +112,12 @@ def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "
 
     Documents without hits keep their text byte for byte.
     """
-    hits = find_hits(docs, items, n, id_col, text_col, carry=tuple(c for c in docs.columns if c != id_col))
+    found, columns = _with_hits(docs, items, n, id_col, text_col)
+    text = columns[text_col]
     piece = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(piece), F.lit(0))
-    lead = F.regexp_extract(F.col(text_col), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    gone = covered(F.col("hits"))
-    left = F.filter(F.transform(pieces, lambda p, k: F.when(~F.array_contains(gone, k), p)), lambda p: p.isNotNull())
-    text = F.when(F.size("hits") == 0, F.col(text_col)).otherwise(F.concat(lead, F.array_join(left, "")))
-    return hits.withColumn(text_col, text).select(docs.columns)
+    pieces = F.regexp_extract_all(text, F.lit(piece), F.lit(0))
+    lead = F.regexp_extract(text, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    marked = found.withColumns({"gone": covered(F.col("hits")), "pieces": pieces})
+    left = F.filter("pieces", lambda p, k: ~F.array_contains("gone", k))
+    columns[text_col] = F.when(F.size("hits") == 0, text).otherwise(F.concat(lead, F.array_join(left, "")))
+    return marked.select(*(at.alias(c) for c, at in columns.items()))

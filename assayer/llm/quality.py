@@ -200,7 +200,7 @@ def _pass(rows: DataFrame, tables: Tables, keep: list[str]) -> DataFrame:
                 value = np.repeat(t.logp(grams[first]), np.diff(np.append(first, len(grams))))
                 sums.append(np.bincount(row, value, chunk.rows))
             both = [np.concatenate(x) if x else np.zeros(0) for x in (sums, sizes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(both[0]), pa.array(both[1].astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(both[0].astype(np.float64)), pa.array(both[1].astype(np.int64))], names)
 
     types = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
     return rows.mapInArrow(run, ", ".join([*types, "logp double", "bytes long"]))
