@@ -99,7 +99,8 @@ def train(texts: DataFrame) -> DataFrame:
         counts[size] = scratch.write(counts[size + 1].groupBy(tail.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
     total = counts[1].agg(F.sum("n")).first()[0] or 1
     # Of one byte: add one half to each of the 256, so that none is impossible.
-    model = counts[1].select(F.lit(1).alias("size"), "gram", ((F.col("n") + 0.5) / (total + 128.0)).alias("p"))
+    every = texts.sparkSession.range(256).withColumnRenamed("id", "gram").join(counts[1], "gram", "left")
+    model = every.select(F.lit(1).alias("size"), "gram", ((F.coalesce("n", F.lit(0)) + 0.5) / (total + 128.0)).alias("p"))
     shorter, parts, weights = model, [model], []
     for size in range(2, ORDER + 1):
         d1, d2, d3 = _discounts(counts[size])
@@ -147,8 +148,7 @@ class Tables:
             keys, values = self.seen[size]
             found, value = _look(keys, values, tail)
             out[open_] += value
-            if size == 1:
-                out[open_[~found]] += np.log(0.5 / 128)
+            if size == 1:  # all bytes are there
                 break
             open_, tail = open_[~found], tail[~found]
             out[open_] += _look(*self.back[size], tail >> np.uint64(8))[1]
