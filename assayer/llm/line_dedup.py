@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import vec
@@ -22,6 +22,14 @@ _CODE_BITS = 44
 _LOW = np.uint64(_CODE_BITS - COUNT_BITS)
 #: Lines that a candidate pair names are marked in so many bits, to fetch their words.
 MARK_BITS = 22
+#: Candidates that each word of a set tries first: a few where the best is convincing, by at most CLOSE of
+#: the 128 parity bits and half of what the similarity allows, else many.
+TRIED, MANY, CLOSE = 16, 400, 40
+#: The postings of a word are compared over so many places at first.
+LAG = 20_000
+#: Postings that are compared at a time, and the rest of the last one's word.
+TOGETHER = 200_000
+_MOST = (1 << 20) - 1
 _TABLE = vec.byte_class("all but blanks")
 
 
@@ -115,22 +123,45 @@ def _ceil(x: np.ndarray) -> np.ndarray:
     return np.ceil(x - 1e-9).astype(np.int64)
 
 
-def _postings(docs: DataFrame, id_col: str, text_col: str, rank: np.ndarray, back: np.ndarray, t: float) -> DataFrame:
-    """Prefix words of every line: ``word``, ``key1``, ``n`` words, ``at`` in the rarity order, and two parity bitmaps."""
-    rows, _ = _scan(docs, id_col, text_col)
-    names = ["word", "key1", "meta", "bits1", "bits2"]
+def _order(docs: DataFrame, id_col: str) -> Column:
+    """What documents are ordered by: an integer id, or else a hash of the id."""
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    own = F.col(id_col).cast("long") if whole else F.xxhash64(id_col)
+    return F.coalesce(own, F.lit(-(1 << 63)))
+
+
+def _postings(docs: DataFrame, id_col: str, text_col: str, rank: np.ndarray, back: np.ndarray, t: float, only: np.ndarray | None = None) -> DataFrame:
+    """Prefix words of every line: ``word``, ``key1``, ``meta``, ``ord`` and two parity bitmaps of the set.
+
+    ``meta`` holds the set's size, the word's place in the rarity order and the line's number.  ``only``
+    marks the words that are wanted.
+    """
+    packed = None if only is None else np.packbits(only)
+    rows = docs.select(_order(docs, id_col).alias("ord"), F.col(text_col).cast("string").alias("text"))
+    names = ["word", "key1", "meta", "ord", "bits1", "bits2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = None if packed is None else np.unpackbits(packed).astype(bool)
         for batch in batches:
-            seen = np.zeros(0, np.uint64)
+            orders = batch.column(0).to_numpy()
+            seen, seen_ord = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             for chunk in vec.chunks(batch.column(1)):
                 got = _lines(chunk, rank, back)
-                # A line that repeats within the batch is posted once.
-                _, one = np.unique(got.key1, return_index=True)
-                one = one[~np.isin(got.key1[one], seen)]
-                seen = np.union1d(seen, got.key1[one])
+                at = orders[chunk.first + got.row]
+                # A line that repeats within the batch is posted once, at its first occurrence.
+                by = np.lexsort((got.line, at, got.key1))
+                key = got.key1[by]
+                one = by[np.concatenate([np.ones(min(1, len(by)), bool), key[1:] != key[:-1]])]
+                if len(seen) and len(one):
+                    place = np.minimum(np.searchsorted(seen, got.key1[one]), len(seen) - 1)
+                    one = one[(seen[place] != got.key1[one]) | (seen_ord[place] > at[one])]
                 if not len(one):
                     continue
+                keys, ords = np.concatenate([seen, got.key1[one]]), np.concatenate([seen_ord, at[one]])
+                by = np.lexsort((ords, keys))
+                keys, ords = keys[by], ords[by]
+                fresh = np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]])
+                seen, seen_ord = keys[fresh], ords[fresh]
                 starts = got.first
                 flat = vec.mix(got.codes + np.uint64(77))
                 side = (flat >> np.uint64(6)) & np.uint64(1)
@@ -141,25 +172,43 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, rank: np.ndarray, bac
                 n = got.n[one]
                 size = n - _ceil(t * n) + 1
                 line = np.repeat(one, size)
-                at = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(got.codes[starts[line] + at].view(np.int64)),
-                        pa.array(got.key1[line].view(np.int64)),
-                        pa.array((got.n[line] << 24) | at),
-                        *(pa.array(b[line].view(np.int64)) for b in bits),
-                    ],
-                    names,
-                )
-
-    return rows.mapInArrow(run, "word long, key1 long, meta long, bits1 long, bits2 long")
-
-
-def _pairs(group: np.ndarray, t: float) -> Iterator[np.ndarray]:
-    """Candidate pairs of postings that are sorted by word, meta and key1: columns word, key1, meta, bits1, bits2."""
-    word, key, meta = group[0], group[1], group[2]
-    n, at = meta >> 24, meta & 0xFFFFFF
-    b1, b2 = group[3].view(np.uint64), group[4].view(np.uint64)
+                place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+                meta = (got.n[line] << 40) | (np.minimum(place, _MOST) << 20) | np.minimum(got.line[line], _MOST)
+                columns = (got.codes[starts[line] + place], got.key1[line], meta, at[line], *(b[line] for b in bits))
+                if marks is not None:
+                    use = marks[columns[0] & np.uint64((1 << MARK_BITS) - 1)]
+                    columns = tuple(c[use] for c in columns)
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
+
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _best(later: np.ndarray, earlier: np.ndarray, differ: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the pairs of each later row those that differ least, and whether there were more; ``room``: bits that may differ."""
+    by = np.lexsort((differ, later))
+    later, earlier, differ, room = later[by], earlier[by], differ[by], room[by]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(later)), bool), later[1:] != later[:-1]]))
+    count = np.diff(np.append(first, len(later)))
+    sure = (differ[first] <= CLOSE) & (2 * differ[first] <= room[first])
+    most = np.where(sure, TRIED, MANY)
+    keep = np.arange(len(later)) - np.repeat(first, count) < np.repeat(most, count)
+    return later[keep], earlier[keep], differ[keep], room[keep], np.repeat(count > most, count)[keep]
+
+
+def _pairs(rows: np.ndarray, t: float, wanted: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Later key, earlier key and a word, of postings in the order of word, size, place and key.
+
+    The word is zero, but for a later row with more candidates than were taken: that comes with itself
+    and the word.
+
+    Without ``wanted`` the best few candidates of each later row, else all of the rows it marks.
+    """
+    word, key, meta, order = rows[:4]
+    n, place, line = meta >> 40, (meta >> 20) & _MOST, meta & _MOST
+    b1, b2 = rows[4].view(np.uint64), rows[5].view(np.uint64)
+    found: list[tuple[np.ndarray, ...]] = []
+    more = np.zeros(len(word), bool)
+    pending = 0
     left = np.arange(len(word))
     step = 1
     while len(left):
@@ -167,41 +216,97 @@ def _pairs(group: np.ndarray, t: float) -> Iterator[np.ndarray]:
         right = left + step
         near = (word[left] == word[right]) & (n[right] * t <= n[left] + 1e-9)
         left, right = left[near], right[near]
+        if wanted is None and step > LAG:
+            more[left] = more[right] = True
+            break
         total = n[left] + n[right]
-        need = _ceil(t / (1 + t) * total)
-        ok = 1 + np.minimum(n[left] - at[left] - 1, n[right] - at[right] - 1) >= need
         differ = np.bitwise_count(b1[left] ^ b1[right]).astype(np.int64) + np.bitwise_count(b2[left] ^ b2[right])
-        ok &= differ <= total - 2 * need
-        ok &= key[left] != key[right]
-        if ok.any():
-            yield np.stack([key[left[ok]], key[right[ok]]])
+        some = np.flatnonzero(differ * (1 + t) <= total * (1 - t) + 1e-6)
+        a, b, differ = left[some], right[some], differ[some]
+        need = _ceil(t / (1 + t) * total[some])
+        ok = (1 + np.minimum(n[a] - place[a] - 1, n[b] - place[b] - 1) >= need) & (differ <= total[some] - 2 * need)
+        a, b, differ = a[ok], b[ok], differ[ok]
+        after = (order[a] > order[b]) | ((order[a] == order[b]) & ((line[a] > line[b]) | ((line[a] == line[b]) & (key[a] > key[b]))))
+        later, earlier = np.where(after, a, b), np.where(after, b, a)
+        if wanted is not None:
+            use = wanted[key[later] & ((1 << MARK_BITS) - 1)]
+            if use.any():
+                yield key[later[use]], key[earlier[use]], np.zeros(int(use.sum()), np.int64)
+        elif len(later):
+            found.append((later, earlier, differ, (total[some] - 2 * need)[ok]))
+            pending += len(later)
+            if pending > 2_000_000:
+                *best, rest = _best(*(np.concatenate(x) for x in zip(*found)))
+                more[best[0][rest]] = True
+                found, pending = [tuple(best)], 0
         step += 1
+    if found:
+        later, earlier, _, _, rest = _best(*(np.concatenate(x) for x in zip(*found)))
+        more[later[rest]] = True
+        yield key[later], key[earlier], np.zeros(len(later), np.int64)
+    if more.any():
+        yield key[more], key[more], word[more]
+
 
+def _grouped(rows: np.ndarray) -> np.ndarray:
+    """Postings sorted by word, in the order of word, size, place and key; of equal sets the first occurrence.
 
-def _candidates(postings: DataFrame, t: float) -> DataFrame:
-    """Pairs ``a`` < ``b`` of line keys that share a prefix word and pass the length, position and bitmap filters."""
-    dealt = postings.repartition("word").sortWithinPartitions("word", "meta", "key1")
+    Words of one set only are left out.
+    """
+    tied = rows[0, 1:] == rows[0, :-1]
+    edge = np.ones(min(1, rows.shape[1]), bool)
+    rows = rows[:, ~(np.concatenate([edge, ~tied]) & np.concatenate([~tied, edge]))]
+    if not rows.shape[1]:
+        return rows
+    group = np.concatenate([[0], np.cumsum(rows[0, 1:] != rows[0, :-1])])
+    rows = rows[:, np.lexsort((rows[1], rows[2] >> 20, group))]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+    if new.all():
+        return rows
+    first = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    order = np.minimum.reduceat(rows[3], first)
+    line = np.minimum.reduceat(np.where(rows[3] == order[of], rows[2] & _MOST, _MOST), first)
+    rows = rows[:, first]
+    rows[2] = (rows[2] & ~_MOST) | line
+    rows[3] = order
+    tied = rows[0, 1:] == rows[0, :-1]
+    return rows[:, np.concatenate([[False], tied]) | np.concatenate([tied, [False]])]
+
+
+def _candidates(postings: DataFrame, t: float, wanted: np.ndarray | None = None) -> DataFrame:
+    """``later`` and ``earlier`` line keys that share a prefix word and pass the length, bitmap and position filters.
+
+    Rows of a line with itself name a ``word`` at which it has further candidates.
+    """
+    # One sort key, which Spark sorts by its digits; the order within a word is made here.
+    dealt = postings.repartition("word").sortWithinPartitions("word")
+    packed = None if wanted is None else np.packbits(wanted)
+    names = ["later", "earlier", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((5, 0), np.int64)
+        marks = None if packed is None else np.unpackbits(packed).astype(bool)
 
         def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if rows.shape[1] < 2:
-                return
-            same = np.zeros(rows.shape[1], bool)
-            same[1:] = (rows[:3, 1:] == rows[:3, :-1]).all(0)
-            for pair in _pairs(rows[:, ~same], t):
-                pair = np.unique(np.sort(pair, axis=0), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+            rows = _grouped(rows)
+            if rows.shape[1]:
+                for pair in _pairs(rows, t, marks):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names)
 
+        parts, held = [], 0
         for batch in batches:
-            rows = np.concatenate([kept, np.stack([c.to_numpy() for c in batch.columns])], 1)
-            last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
-            kept = rows[:, last:]
-            yield from emit(rows[:, :last])
-        yield from emit(kept)
+            parts.append(np.stack([c.to_numpy() for c in batch.columns]))
+            held += batch.num_rows
+            if held >= TOGETHER:
+                rows = np.concatenate(parts, 1)
+                last = int(np.searchsorted(rows[0], rows[0, -1]))
+                yield from emit(rows[:, :last])
+                parts, held = [rows[:, last:]], 0
+        if parts:
+            yield from emit(np.concatenate(parts, 1))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "later long, earlier long, word long").distinct()
 
 
 def _marked(keys: DataFrame) -> np.ndarray:
@@ -236,16 +341,36 @@ def _word_sets(docs: DataFrame, id_col: str, text_col: str, marks: np.ndarray) -
     return rows.mapInArrow(run, "key1 long, codes array<long>").dropDuplicates(["key1"])
 
 
-def similar_sets(docs: DataFrame, postings: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
-    """All pairs ``a`` < ``b`` of line keys whose word sets have a Jaccard similarity of ``t`` or more."""
-    scratch = Scratch(docs.sparkSession)
-    pairs = scratch.write(_candidates(postings, t))
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key1")).distinct()
+def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
+    """``later`` of the pairs whose whole word sets have a Jaccard similarity of ``t`` or more."""
+    keys = pairs.select(F.explode(F.array("later", "earlier")).alias("key1")).distinct()
     sets = _word_sets(docs, id_col, text_col, _marked(keys)).join(keys, "key1", "left_semi")
-    sets = scratch.write(sets)
-    both = pairs.join(sets.select(F.col("key1").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("key1").alias("b"), F.col("codes").alias("y")), "b")
+    sets = Scratch(docs.sparkSession).write(sets)
+    x, y = (sets.select(F.col("key1").alias(c), F.col("codes").alias(n)) for c, n in (("later", "x"), ("earlier", "y")))
+    both = pairs.join(x, "later").join(y, "earlier")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= t * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+    return both.where(common >= t * (F.size("x") + F.size("y") - common) - 1e-9).select("later").distinct()
+
+
+def preceded(docs: DataFrame, rank: np.ndarray, back: np.ndarray, id_col: str, text_col: str, t: float) -> DataFrame:
+    """``key1`` of all line sets to which a set that occurs first before them is similar.
+
+    One similar set is enough, so each set first tries the few candidates that differ least by their
+    bitmaps; a crowd of near copies costs a few pairs a line.  Sets that none of those confirms and that
+    have more candidates then try all of these, at the words where they have them.
+    """
+    scratch = Scratch(docs.sparkSession)
+    postings = _postings(docs, id_col, text_col, rank, back, t)
+    pairs = scratch.write(_candidates(postings, t))
+    found = scratch.write(_verified(docs, pairs.where("later <> earlier").select("later", "earlier"), id_col, text_col, t))
+    open_ = pairs.where("later = earlier").select("later", "word").join(found, "later", "left_anti")
+    if not open_.isEmpty():
+        open_ = scratch.write(open_)
+        words = _marked(open_.select(F.col("word").alias("key1")))
+        rest = _candidates(_postings(docs, id_col, text_col, rank, back, t, words), t, _marked(open_.select(F.col("later").alias("key1"))))
+        rest = scratch.write(rest.select("later", "earlier").join(open_, "later", "left_semi"))
+        found = found.unionByName(_verified(docs, rest, id_col, text_col, t)).distinct()
+    return found.withColumnRenamed("later", "key1")
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -256,6 +381,9 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Jaccard similarity of ``similarity`` or more; whether that one goes itself does not matter.  Lines of
     fewer than five different words stay.
 
+    Integer ids give the order of documents, other ids by a hash; beyond a million lines of one document a
+    hash orders the further ones.
+
     Equal sets are merged first.  Each different set posts its rarest words, as many as the prefix
     filter needs; sets that meet at a word pass the length and position filters and a bitmap bound on
     the symmetric difference, and the Jaccard similarity of the rest is computed from their whole sets.
@@ -269,15 +397,11 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = scratch.write(_occurrences(docs, id_col, text_col))
     rank, back = _ranks(found)
     lines = found.where("line >= 0")
-    sets = lines.groupBy("key1", "key2").agg(F.min(F.struct("id", "line")).alias("at"), F.count(F.lit(1)).alias("times"))
-    sets = scratch.write(sets)
-    near = similar_sets(docs, _postings(docs, id_col, text_col, rank, back, similarity), id_col, text_col, similarity)
-    near = scratch.write(near)
-    first = sets.select("key1", "at")
-    links = near.select(F.col("a").alias("key1"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("key1"), F.col("a").alias("other")))
-    earliest = links.join(first.withColumnRenamed("key1", "other"), "other").groupBy("key1").agg(F.min("at").alias("near_at"))
-    limits = sets.join(earliest, "key1", "left").where("times > 1 or near_at < at").select("key1", "key2", F.least("at", F.coalesce("near_at", "at")).alias("limit"))
-    gone = lines.join(limits, ["key1", "key2"]).where(F.struct("id", "line") > F.col("limit"))
+    place = F.struct(_order(lines, "id").alias("ord"), "line", "id")
+    sets = lines.groupBy("key1", "key2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times"))
+    late = preceded(docs, rank, back, id_col, text_col, similarity).withColumn("late", F.lit(True))
+    goers = sets.join(late, "key1", "left").where("times > 1 or late").select("key1", "key2", "at", "late")
+    gone = lines.join(goers, ["key1", "key2"]).where(F.col("late") | (place > F.col("at")))
     return gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
