@@ -196,7 +196,7 @@ def _best(later: np.ndarray, earlier: np.ndarray, differ: np.ndarray, room: np.n
 
 
 def _pairs(rows: np.ndarray, t: float, wanted: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
-    """Later key, earlier key and a word, of postings in the order of word, size, place and key.
+    """Later key, earlier key, a word and how many bits differ, of postings in the order of word, size, place and key.
 
     The word is zero, but for a later row with more candidates than were taken: that comes with itself
     and the word.
@@ -231,7 +231,7 @@ def _pairs(rows: np.ndarray, t: float, wanted: np.ndarray | None) -> Iterator[tu
         if wanted is not None:
             use = wanted[key[later] & ((1 << MARK_BITS) - 1)]
             if use.any():
-                yield key[later[use]], key[earlier[use]], np.zeros(int(use.sum()), np.int64)
+                yield key[later[use]], key[earlier[use]], np.zeros(int(use.sum()), np.int64), differ[use]
         elif len(later):
             found.append((later, earlier, differ, (total[some] - 2 * need)[ok]))
             pending += len(later)
@@ -241,11 +241,11 @@ def _pairs(rows: np.ndarray, t: float, wanted: np.ndarray | None) -> Iterator[tu
                 found, pending = [tuple(best)], 0
         step += 1
     if found:
-        later, earlier, _, _, rest = _best(*(np.concatenate(x) for x in zip(*found)))
+        later, earlier, differ, _, rest = _best(*(np.concatenate(x) for x in zip(*found)))
         more[later[rest]] = True
-        yield key[later], key[earlier], np.zeros(len(later), np.int64)
+        yield key[later], key[earlier], np.zeros(len(later), np.int64), differ
     if more.any():
-        yield key[more], key[more], word[more]
+        yield key[more], key[more], word[more], np.zeros(int(more.sum()), np.int64)
 
 
 def _grouped(rows: np.ndarray) -> np.ndarray:
@@ -283,7 +283,7 @@ def _candidates(postings: DataFrame, t: float, wanted: np.ndarray | None = None)
     # One sort key, which Spark sorts by its digits; the order within a word is made here.
     dealt = postings.repartition("word").sortWithinPartitions("word")
     packed = None if wanted is None else np.packbits(wanted)
-    names = ["later", "earlier", "word"]
+    names = ["later", "earlier", "word", "differ"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = None if packed is None else np.unpackbits(packed).astype(bool)
@@ -306,7 +306,7 @@ def _candidates(postings: DataFrame, t: float, wanted: np.ndarray | None = None)
         if parts:
             yield from emit(np.concatenate(parts, 1))
 
-    return dealt.mapInArrow(run, "later long, earlier long, word long").distinct()
+    return dealt.mapInArrow(run, "later long, earlier long, word long, differ long").distinct()
 
 
 def _marked(keys: DataFrame) -> np.ndarray:
@@ -341,13 +341,16 @@ def _word_sets(docs: DataFrame, id_col: str, text_col: str, marks: np.ndarray) -
     return rows.mapInArrow(run, "key1 long, codes array<long>").dropDuplicates(["key1"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, t: float) -> DataFrame:
-    """``later`` of the pairs whose whole word sets have a Jaccard similarity of ``t`` or more."""
+def _sets_of(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key1`` and the word codes of all lines in the pairs."""
     keys = pairs.select(F.explode(F.array("later", "earlier")).alias("key1")).distinct()
-    sets = _word_sets(docs, id_col, text_col, _marked(keys)).join(keys, "key1", "left_semi")
-    sets = Scratch(docs.sparkSession).write(sets)
+    return Scratch(docs.sparkSession).write(_word_sets(docs, id_col, text_col, _marked(keys)).join(keys, "key1", "left_semi"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """``later`` of the pairs whose whole word sets have a Jaccard similarity of ``t`` or more."""
     x, y = (sets.select(F.col("key1").alias(c), F.col("codes").alias(n)) for c, n in (("later", "x"), ("earlier", "y")))
-    both = pairs.join(x, "later").join(y, "earlier")
+    both = pairs.select("later", "earlier").join(x, "later").join(y, "earlier")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= t * (F.size("x") + F.size("y") - common) - 1e-9).select("later").distinct()
 
@@ -362,14 +365,19 @@ def preceded(docs: DataFrame, rank: np.ndarray, back: np.ndarray, id_col: str, t
     scratch = Scratch(docs.sparkSession)
     postings = _postings(docs, id_col, text_col, rank, back, t)
     pairs = scratch.write(_candidates(postings, t))
-    found = scratch.write(_verified(docs, pairs.where("later <> earlier").select("later", "earlier"), id_col, text_col, t))
+    real = pairs.where("later <> earlier")
+    sets = _sets_of(docs, real, id_col, text_col)
+    # The closest candidate of each line settles nearly all, so the others' sets need not be joined to it.
+    closest = real.groupBy("later").agg(F.min(F.struct("differ", "earlier")).alias("c")).select("later", "c.earlier")
+    found = scratch.write(_verified(closest, sets, t))
+    found = scratch.write(found.unionByName(_verified(real.join(found, "later", "left_anti"), sets, t)))
     open_ = pairs.where("later = earlier").select("later", "word").join(found, "later", "left_anti")
     if not open_.isEmpty():
         open_ = scratch.write(open_)
         words = _marked(open_.select(F.col("word").alias("key1")))
         rest = _candidates(_postings(docs, id_col, text_col, rank, back, t, words), t, _marked(open_.select(F.col("later").alias("key1"))))
-        rest = scratch.write(rest.select("later", "earlier").join(open_, "later", "left_semi"))
-        found = found.unionByName(_verified(docs, rest, id_col, text_col, t)).distinct()
+        rest = scratch.write(rest.join(open_.select("later").distinct(), "later", "left_semi").where("later <> earlier"))
+        found = found.unionByName(_verified(rest, _sets_of(docs, rest, id_col, text_col), t)).distinct()
     return found.withColumnRenamed("later", "key1")
 
 
