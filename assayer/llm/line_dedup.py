@@ -350,7 +350,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> D
 def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """``later`` of the pairs whose whole word sets have a Jaccard similarity of ``t`` or more."""
     x, y = (sets.select(F.col("key1").alias(c), F.col("codes").alias(n)) for c, n in (("later", "x"), ("earlier", "y")))
-    both = pairs.select("later", "earlier").join(x, "later").join(y, "earlier")
+    both = pairs.select("later", "earlier").join(x.hint("merge"), "later").join(y.hint("merge"), "earlier")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= t * (F.size("x") + F.size("y") - common) - 1e-9).select("later").distinct()
 
@@ -407,9 +407,10 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = found.where("line >= 0")
     place = F.struct(_order(lines, "id").alias("ord"), "line", "id")
     sets = lines.groupBy("key1", "key2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times"))
-    late = preceded(docs, rank, back, id_col, text_col, similarity).withColumn("late", F.lit(True))
+    # Merged at any size: a broadcast would serve small inputs only.
+    late = preceded(docs, rank, back, id_col, text_col, similarity).withColumn("late", F.lit(True)).hint("merge")
     goers = sets.join(late, "key1", "left").where("times > 1 or late").select("key1", "key2", "at", "late")
-    gone = lines.join(goers, ["key1", "key2"]).where(F.col("late") | (place > F.col("at")))
+    gone = lines.join(goers.hint("merge"), ["key1", "key2"]).where(F.col("late") | (place > F.col("at")))
     return gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
