@@ -62,7 +62,8 @@ SPELLINGS = (
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, only letters and digits with single blanks, one spelling each."""
     c = F.lower(F.coalesce(text, F.lit("")))
-    c = F.when(F.contains(c, F.lit("copyright")) | F.contains(c, F.lit("©")), F.regexp_replace(c, r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$", " ")).otherwise(c)
+    marked = F.contains(c, F.lit("copyright")) | F.contains(c, F.lit("(c)")) | F.contains(c, F.lit("©"))
+    c = F.when(marked, F.regexp_replace(c, r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$", " ")).otherwise(c)
     c = F.trim(F.regexp_replace(c, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
     c = F.concat(F.lit(" "), c, F.lit(" "))
     for other, one in SPELLINGS:
