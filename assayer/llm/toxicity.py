@@ -14,11 +14,15 @@ from assayer.llm import vec
 
 #: Labelled rows that training gathers at most (in expectation, by a hash of the id).
 MAX_TRAIN_ROWS = 12_000
-#: Hashed terms; the machine has a weight and factors for at most MAX_TERMS of them, those whose rates differ most.
+#: Hashed terms; the machine has a weight and factors for at most MAX_TERMS of those whose own rates differ most,
+#: and as many that tell the labels apart beside another term.
 BUCKETS = 1 << 22
 MAX_TERMS = 512
 MIN_Z, MIN_ROWS = 4.0, 4
 FACTORS = 6
+#: Pairs of terms count from this deviance on, beyond any chance among millions of pairs.  They are searched for in as
+#: many rows of each label, PAIR_BLOCK terms at a time, where SUSPECT deviations are enough, and counted in all rows.
+MIN_DEVIANCE, PAIR_ROWS, PAIR_BLOCK, SUSPECT = 36.0, 500, 512, 2.0
 THRESHOLD = 0.7
 #: Besides whole words, terms are their first so many bytes, for inflected forms.
 STEMS = (5, 6, 7)
@@ -77,6 +81,90 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
+
+
+def _pair_terms(flat: np.ndarray, of: np.ndarray, labels: np.ndarray, hit: np.ndarray, all_rows: np.ndarray, have: np.ndarray, seed: int) -> np.ndarray:
+    """Terms outside ``have`` whose co-occurrence with some term separates the labels more than their own rates do, best first."""
+    rng, n, pos = np.random.default_rng(seed), len(labels), int(labels.sum())
+    base = pos / n
+    # A pair of that deviance stands in so many rows of one label at least; a term of a marginal partner needs fewer.
+    few = [int(MIN_DEVIANCE / (2 * np.log(1 / share))) for share in (base, 1 - base)]
+    known = np.zeros(BUCKETS, bool)
+    known[have] = True
+    clean = all_rows - hit
+    some = [rng.permutation(np.flatnonzero(labels == k))[:PAIR_ROWS] for k in (1, 0)]
+    place = np.full(n, -1, np.int64)
+    for rows in some:
+        place[rows] = np.arange(len(rows))
+    drawn = np.bincount(flat[place[of] >= 0], minlength=BUCKETS) >= MIN_ROWS
+    terms = np.flatnonzero(drawn & ((hit >= few[0]) | (clean >= min(few[1], few[0] * 4)) | known))
+    if len(terms) < 2:
+        return terms[:0]
+    slot = np.full(BUCKETS, -1, np.int32)
+    slot[terms] = np.arange(len(terms))
+    use = slot[flat] >= 0
+    of, at = of[use], slot[flat[use]]
+    bits = np.zeros((len(terms), (n + 7) // 8), np.uint8)
+    np.bitwise_or.at(bits, (at, of >> 3), (128 >> (of & 7)).astype(np.uint8))
+    toxic = np.packbits(labels == 1)
+    design = []
+    for k, rows in zip((1, 0), some):
+        here = (place[of] >= 0) & (labels[of] == k)
+        x = np.zeros((len(rows), len(terms)), np.uint8)
+        x[place[of[here]], at[here]] = 1
+        design.append(x)
+    share = len(some[0]) / (len(some[0]) + len(some[1]))
+    odds = _logit((hit[terms] + base) / (all_rows[terms] + 1)) - _logit(base)
+    odds32 = odds.astype(np.float32)
+    found: list[tuple[np.ndarray, ...]] = []
+    old = known[terms]
+    middle = np.float32(_logit(share))
+
+    def beyond(odds: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-odds))
+
+    def part(k: int) -> list[np.ndarray]:
+        return [x[:, k : k + PAIR_BLOCK].astype(np.float32) for x in design]
+
+    for i in range(0, len(terms), PAIR_BLOCK):
+        left = part(i)
+        for j in range(i, len(terms), PAIR_BLOCK):
+            t, c = (a.T @ b for a, b in zip(left, left if i == j else part(j)))
+            m = t + c
+            a, b = np.divmod(np.flatnonzero(m >= MIN_ROWS), m.shape[1])
+            m, t = m[a, b], t[a, b]
+            a, b = a + i, b + j
+            # The pair's rate must lie beyond those of its terms and of their sum.
+            x, y = odds32[a], odds32[b]
+            most = beyond(np.maximum(np.maximum(x, y), x + y) + middle)
+            least = beyond(np.minimum(np.minimum(x, y), x + y) + middle)
+            odd = (t - m * most >= SUSPECT * np.sqrt(m * most * (1 - most))) | (m * least - t >= SUSPECT * np.sqrt(m * least * (1 - least)))
+            odd &= (a < b) & ~(old[a] & old[b])
+            a, b = a[odd], b[odd]
+            for k in range(0, len(a), 20_000):
+                x, y = a[k : k + 20_000], b[k : k + 20_000]
+                both = bits[x] & bits[y]
+                count, bad = (np.bitwise_count(v).sum(1, dtype=np.int64) for v in (both, both & toxic))
+                r = bad / count
+                u, v = odds[x], odds[y]
+                most, least = (beyond(f(f(u, v), u + v) + _logit(base)) for f in (np.maximum, np.minimum))
+                e = np.where(r > most, most, least)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d = 2 * (np.where(bad > 0, bad * np.log(r / e), 0) + np.where(bad < count, (count - bad) * np.log((1 - r) / (1 - e)), 0))
+                good = (d >= MIN_DEVIANCE) & ((r > most) | (r < least))
+                found.append((d[good], x[good], y[good]))
+    if not found:
+        return terms[:0]
+    d, x, y = (np.concatenate(v) for v in zip(*found))
+    by = np.argsort(-d, kind="stable")
+    both = np.stack([x[by], y[by]], 1).ravel()
+    both = both[~old[both]]
+    _, first = np.unique(both, return_index=True)
+    return terms[both[np.sort(first)]]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 250, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> Machine:
     """Fits the machine by full-batch Adam on the logistic loss; without both labels only a bias remains."""
     n, pos = len(labels), int(labels.sum())
@@ -90,7 +178,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 250, rate: flo
     p1, p0, p = hit[some] / pos, (all_rows[some] - hit[some]) / (n - pos), all_rows[some] / n
     z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / pos + 1 / (n - pos)))
     some, z = some[np.abs(z) >= MIN_Z], z[np.abs(z) >= MIN_Z]
-    terms = np.sort(some[np.argsort(-np.abs(z), kind="stable")[:MAX_TERMS]]).astype(np.int32)
+    terms = some[np.argsort(-np.abs(z), kind="stable")[:MAX_TERMS]]
+    paired = _pair_terms(flat, of, labels, hit, all_rows, terms, seed)[:MAX_TERMS]
+    terms = np.sort(np.concatenate([terms, paired])).astype(np.int32)
     slot = np.full(BUCKETS, -1, np.int32)
     slot[terms] = np.arange(len(terms))
     x = np.zeros((n, len(terms)), np.float32)
