@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 K = len(LABELS)
-#: Documents (in expectation) and nodes of each that the field is trained on.
+#: Documents (in expectation) and nodes of each that the field is trained on; a hash of the place picks the nodes.
 MAX_TRAIN_DOCS = 20_000
 MAX_TRAIN_NODES = 100
 #: Posterior probability from which a span is added.
 CERTAIN = 0.9
-ROUNDS = 12
+#: Messages of a document are passed until none changes by more than SETTLED, or so many times.
+ROUNDS, SETTLED = 100, 1e-4
 #: Nodes that are further apart than so many characters are not neighbours in the chain.
 REACH = 60
 
@@ -63,24 +65,37 @@ def _emails(text: str) -> Iterator[Span]:
         at = text.find("@", done)
 
 
+def _is_ip(s: str) -> bool:
+    return all(int(p.lstrip("0")[:4] or 0) <= 255 for p in s.split("."))
+
+
+def _is_card(s: str) -> bool:
+    digits = s.replace(" ", "").replace("-", "")
+    return 13 <= len(digits) <= 19 and luhn(digits)
+
+
+def _is_phone(s: str) -> bool:
+    return 9 <= len(_DIGITS.findall(s)) <= 15
+
+
+_CHECKED = ((1 + KINDS.index("ip"), _IP, _is_ip), (1 + KINDS.index("card"), _CARD, _is_card), (1 + KINDS.index("phone"), _PHONE, _is_phone))
+
+
 def base_spans(text: str) -> list[Span]:
     """Kind, start and end (code points) of the base patterns, by kind, then by start."""
     out = list(_emails(text)) if "@" in text else []
     if _DIGITS.search(text):
-        for m in _IP.finditer(text):
-            if all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split(".")):
-                out.append(("ip", *m.span()))
-        for m in _CARD.finditer(text):
-            digits = m[0].replace(" ", "").replace("-", "")
-            if 13 <= len(digits) <= 19 and luhn(digits):
-                out.append(("card", *m.span()))
-        if "+" in text:
-            for m in _PHONE.finditer(text):
-                if 9 <= len(_DIGITS.findall(m[0])) <= 15:
-                    out.append(("phone", *m.span()))
+        for label, pattern, check in _CHECKED:
+            if label != LABELS.index("phone") or "+" in text:
+                out += [(LABELS[label], *m.span()) for m in pattern.finditer(text) if check(m[0])]
     return out
 
 
+def alone(s: str) -> bool:
+    """Whether a text would be a base span if nothing stood beside it."""
+    return any(pattern.fullmatch(s) and check(s) for _, pattern, check in _CHECKED)
+
+
 def span_string(spans: list[Span]) -> str:
     order = sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
     return ",".join(f"{k}:{a}:{b}" for k, a, b in order)
@@ -100,7 +115,7 @@ class Graph:
 
 
 _CUTS = (0, 1, 2, 4, 6, 8, 10, 12, 15, 16, 19)
-N_FEATURES = 64
+N_FEATURES = 63
 
 
 def _features(s: str, before: str) -> list[int]:
@@ -117,7 +132,7 @@ def _features(s: str, before: str) -> list[int]:
         len(s) > 24, "/" in s, bool(re.search(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+\Z", s)), n > 0 and n == len(s), ":" in s, len(s) < 4,
     )
     out += [18 + k for k, f in enumerate(flags) if f]
-    out.append(34 + sum(before.lower().encode()[-4:]) % 30)
+    out.append(34 + sum(before.lower().encode()[-4:]) % 29)
     return out
 
 
@@ -127,23 +142,47 @@ def _key(s: str) -> str:
     return digits if len(digits) >= 7 and "@" not in s else s.lower()
 
 
+def _segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Numeric tokens that follow each other by one blank, cut where a part would be a base span alone.
+
+    Such parts, the longest first at each token, are nodes of their own, as is what lies between two.
+    """
+    rest = at = 0
+    while at < len(tokens):
+        ends = (k for k in range(min(len(tokens), at + 8), at, -1) if alone(text[tokens[at][0] : tokens[k - 1][1]]))
+        to = next(ends, None)
+        if to is None:
+            at += 1
+            continue
+        if rest < at:
+            yield tokens[rest][0], tokens[at - 1][1]
+        yield tokens[at][0], tokens[to - 1][1]
+        rest = at = to
+    if rest < len(tokens):
+        yield tokens[rest][0], tokens[-1][1]
+
+
 def add_document(graph: Graph, doc: int, text: str, base: list[Span]) -> None:
     """Adds the nodes of a text: its base spans, and the other tokens with a digit or an at sign.
 
-    Numeric tokens that follow each other by one blank form one node.  Neighbours are linked in a chain;
-    a node is also linked to the last one before it with the same key, however far, so that all equal
-    ones are connected by as many links as there are nodes.
+    Numeric tokens that follow each other by one blank form one node, unless parts of them would be base spans
+    alone.  Neighbours are linked in a chain; nodes with equal keys are all linked to one of them, the first base
+    span or else the first node, so that what is known of one is two links from each other, however far.
     """
-    taken = sorted((a, b, LABELS.index(k)) for k, a, b in base)
     nodes: list[tuple[int, int, int]] = []
     reach = 0
-    for a, b, label in taken:
+    for a, b, label in sorted((a, b, LABELS.index(k)) for k, a, b in base):
         if a >= reach:
             nodes.append((a, b, label))
             reach = b
     inside = iter([*nodes, (len(text) + 1, len(text) + 1, 0)])
     low, high, _ = next(inside)
-    run: tuple[int, int] | None = None
+    run: list[tuple[int, int]] = []
+
+    def close() -> None:
+        nodes.extend((a, b, -1) for a, b in _segments(text, run))
+        run.clear()
+
     for m in _TOKEN.finditer(text):
         a, b = m.span()
         while high <= a:
@@ -157,16 +196,18 @@ def add_document(graph: Graph, doc: int, text: str, base: list[Span]) -> None:
         if a >= b:
             continue
         numeric = bool(_NUMERIC.match(text, a, b))
-        if run and numeric and run[1] + 1 == a and text[run[1]] == " " and nodes and nodes[-1][:2] == run:
-            nodes[-1] = (run[0], b, -1)
+        if run and not (numeric and run[-1][1] + 1 == a and text[a - 1] == " "):
+            close()
+        if numeric:
+            run.append((a, b))
         else:
             nodes.append((a, b, -1))
-        run = nodes[-1][:2] if numeric else None
+    close()
     nodes.sort()
-    last: dict[str, int] = {}
+    hubs: dict[str, int] = {}
+    keys = []
     first = len(graph.doc)
-    for a, b, label in nodes:
-        here = len(graph.doc)
+    for here, (a, b, label) in enumerate(nodes, first):
         s = text[a:b]
         prior = text[max(0, a - 24) : a].split()
         graph.doc.append(doc)
@@ -176,10 +217,10 @@ def add_document(graph: Graph, doc: int, text: str, base: list[Span]) -> None:
         graph.features.append(_features(s, prior[-1] if prior else ""))
         if here > first and a - graph.end[here - 1] <= REACH:
             graph.chain.append((here - 1, here))
-        key = _key(s)
-        if key in last:
-            graph.skip.append((last[key], here))
-        last[key] = here
+        keys.append(_key(s))
+        if keys[-1] not in hubs or (label >= 0 > graph.label[hubs[keys[-1]]]):
+            hubs[keys[-1]] = here
+    graph.skip += [(hubs[key], here) for here, key in enumerate(keys, first) if hubs[key] != here]
 
 
 @dataclass
@@ -191,19 +232,23 @@ class Field:
     skip: float
 
 
-def _matrix(features: list[list[int]]) -> np.ndarray:
-    x = np.zeros((len(features), N_FEATURES), np.float32)
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    x[rows, [k for f in features for k in f]] = 1
-    return x
+def _matrix(bits: np.ndarray) -> np.ndarray:
+    return ((bits[:, None] >> np.arange(N_FEATURES)) & 1).astype(np.float32)
+
 
+def fit(
+    x: np.ndarray, y: np.ndarray, before: np.ndarray, after: np.ndarray, times: np.ndarray, agree: int, differ: int,
+    rounds: int = 300, rate: float = 0.1, decay: float = 1e-4,
+) -> Field:
+    """Maximum pseudo-likelihood: the label of each node given its features and its neighbours' labels (-1: hidden or none).
 
-def fit(x: np.ndarray, y: np.ndarray, before: np.ndarray, after: np.ndarray, agree: int, differ: int, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Field:
-    """Maximum pseudo-likelihood: the label of each node given its features and its neighbours' labels (-1: none)."""
+    ``times`` says how often each row was seen.
+    """
     skip = float(np.clip(np.log((agree + 1) / (differ + 1)), 1, 6))
     if not len(y):
         return Field(np.zeros((N_FEATURES, K)), np.zeros((K, K)), skip)
     want = np.eye(K, dtype=np.float32)[y]
+    share = (times / times.sum()).astype(np.float32)[:, None]
     sides = [np.where((s >= 0)[:, None], np.eye(K, dtype=np.float32)[np.maximum(s, 0)], 0) for s in (before, after)]
     design = np.concatenate([x, *sides], 1)
     weights = np.zeros((design.shape[1], K), np.float32)
@@ -213,7 +258,7 @@ def fit(x: np.ndarray, y: np.ndarray, before: np.ndarray, after: np.ndarray, agr
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
-        grad = design.T @ (p - want) / len(y) + decay * weights
+        grad = design.T @ ((p - want) * share) + decay * weights
         m += 0.1 * (grad - m)
         v += 0.01 * (grad * grad - v)
         weights -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -227,8 +272,12 @@ def _soft(x: np.ndarray) -> np.ndarray:
 
 
 def beliefs(graph: Graph, model: Field, rounds: int = ROUNDS) -> np.ndarray:
-    """Log-beliefs of all nodes after damped loopy message passing along the chain and skip links."""
-    unary = _matrix(graph.features) @ model.unary
+    """Log-beliefs of all nodes after damped loopy message passing along the chain and skip links.
+
+    Each document stops by its own messages, so none depends on which others are passed beside it.
+    """
+    sizes = [len(f) for f in graph.features]
+    unary = np.add.reduceat(model.unary[np.concatenate([np.array(f, np.int64) for f in graph.features])], np.cumsum(sizes) - sizes, axis=0)
     known = np.flatnonzero(np.array(graph.label) >= 0)
     unary[known] = -50
     unary[known, np.array(graph.label)[known]] = 0
@@ -241,62 +290,73 @@ def beliefs(graph: Graph, model: Field, rounds: int = ROUNDS) -> np.ndarray:
     back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
     same = np.eye(K) * model.skip
     pair = np.concatenate([np.broadcast_to(w, (k, K, K)) for w, k in ((model.chain, c), (model.chain.T, c), (same, s), (same, s))])
+    doc = np.unique(np.array(graph.doc), return_inverse=True)[1][source]
     message = np.zeros((len(source), K))
+    open_ = np.arange(len(source))
     for _ in range(rounds):
         total = unary.copy()
         for k in range(K):
             total[:, k] += np.bincount(target, message[:, k], n)
-        out = (total[source] - message[back])[:, :, None] + pair
+        out = (total[source[open_]] - message[back[open_]])[:, :, None] + pair[open_]
         top = out.max(1)
         new = _soft(top + np.log(np.exp(out - top[:, None, :]).sum(1)))
-        step = np.abs(new - message).max()
-        message = 0.5 * message + 0.5 * new
-        if step < 1e-3:
+        step = np.zeros(int(doc.max()) + 1)
+        np.maximum.at(step, doc[open_], np.abs(new - message[open_]).max(1))
+        message[open_] = 0.5 * message[open_] + 0.5 * new
+        open_ = open_[step[doc[open_]] > SETTLED]
+        if not len(open_):
             break
     for k in range(K):
         unary[:, k] += np.bincount(target, message[:, k], n)
     return _soft(unary)
 
 
+def _examples(doc: str, text: str) -> Iterator[tuple[int, int, int, int]]:
+    """Feature bits, label and the neighbours' labels of the nodes that train the field; label -1 for skip links.
+
+    Nodes that would be base spans alone, and those that a skip link ties to one, are examples of nothing: what they
+    are is for the field to say.  Of the neighbours' labels a checksum hides half, as they are hidden where no pattern
+    says them, so that shape, context and neighbours each learn to do without the others.
+    """
+    g = Graph()
+    add_document(g, 0, text, base_spans(text))
+    tied = {b for a, b in g.skip if g.label[a] >= 0} | {a for a, b in g.skip if g.label[b] >= 0}
+    for a, b in g.skip:
+        if g.label[a] >= 0 and g.label[b] >= 0:
+            yield int(g.label[a] == g.label[b]), -1, -1, -1
+    open_ = {k for k in range(len(g.doc)) if g.label[k] < 0 and (k in tied or alone(text[g.start[k] : g.end[k]]))}
+    label = [max(k, 0) for k in g.label]
+    mark = [crc32(f"{doc} {k}".encode()) for k in g.start]
+    before, after = {b: a for a, b in g.chain}, {a: b for a, b in g.chain}
+    use = sorted((k for k in range(len(label)) if k not in open_), key=mark.__getitem__)[:MAX_TRAIN_NODES]
+    for k in use:
+        sides = (before.get(k), after.get(k))
+        seen = [-1 if o is None or o in open_ or mark[k] >> bit & 1 else label[o] for bit, o in enumerate(sides)]
+        yield sum(1 << f for f in g.features[k]), label[k], *seen
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAIN_DOCS) -> Field:
-    """Fits the field on about ``max_docs`` documents that a hash of the id picks.
+    """Fits the field on about ``max_docs`` documents that a hash of id and text picks.
 
-    Base spans are the examples of each kind and the other nodes those of none, but for nodes that are
-    linked to a base span by a skip link: what these are is for the field to say.
+    Base spans are the examples of each kind and the other nodes those of none (see ``_examples``).  Equal
+    examples are counted before they reach the driver, so repeated rows only raise a count.
     """
     n = docs.count()
-    some = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    some = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     if n > max_docs:
-        some = some.where(F.pmod(F.xxhash64(F.lit("pii"), "id"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30)))
+        some = some.where(F.pmod(F.xxhash64(F.lit("pii"), "id", "text"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30)))
+    names = ["bits", "label", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("id", "features", "label", "before", "after", "agree", "differ")}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                g = Graph()
-                add_document(g, 0, text, base_spans(text))
-                tied = {b for a, b in g.skip if g.label[a] >= 0} | {a for a, b in g.skip if g.label[b] >= 0}
-                label = [max(k, 0) for k in g.label]
-                before, after = {b: label[a] for a, b in g.chain}, {a: label[b] for a, b in g.chain}
-                use = [k for k in range(len(label)) if g.label[k] >= 0 or k not in tied][:MAX_TRAIN_NODES]
-                both = [(g.label[a], g.label[b]) for a, b in g.skip if g.label[a] >= 0 and g.label[b] >= 0]
-                out["id"].append(doc or "")
-                out["features"].append([sum(1 << f for f in g.features[k] if f < 63) for k in use])
-                out["label"].append([label[k] for k in use])
-                out["before"].append([before.get(k, -1) for k in use])
-                out["after"].append([after.get(k, -1) for k in use])
-                out["agree"].append(sum(a == b for a, b in both))
-                out["differ"].append(sum(a != b for a, b in both))
-            types = [pa.string(), *[pa.list_(pa.int64())] * 4, pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
-
-    schema = "id string, features array<long>, label array<long>, before array<long>, after array<long>, agree long, differ long"
-    rows = sorted(some.mapInArrow(run, schema).toLocalIterator(), key=lambda r: (r.id, r.features))
-    bits = np.array([f for r in rows for f in r.features], np.int64)
-    x = ((bits[:, None] >> np.arange(N_FEATURES - 1)) & 1).astype(np.float32) if len(bits) else np.zeros((0, N_FEATURES - 1), np.float32)
-    x = np.concatenate([x, np.zeros((len(x), 1), np.float32)], 1)
-    y, before, after = (np.array([v for r in rows for v in r[c]], np.int64) for c in ("label", "before", "after"))
-    return fit(x, y, before, after, sum(r.agree for r in rows), sum(r.differ for r in rows))
+            rows = [r for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in _examples(doc or "", text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names)
+
+    counted = some.mapInArrow(run, ", ".join(f"{n} long" for n in names)).groupBy(*names).agg(F.count(F.lit(1)).alias("times"))
+    rows = np.array(sorted(map(tuple, counted.toLocalIterator())), np.int64).reshape(-1, 5)
+    skips = {int(r[0]): int(r[4]) for r in rows if r[1] < 0}
+    rows = rows[rows[:, 1] >= 0]
+    return fit(_matrix(rows[:, 0]), *rows[:, 1:].T, skips.get(1, 0), skips.get(0, 0))
 
 
 def find(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
