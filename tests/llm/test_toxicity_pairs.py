@@ -38,7 +38,7 @@ def test_score_is_the_plain_double_sum():
 
 def test_search_in_tasks_is_the_search_here(spark):
     rng = np.random.default_rng(2)
-    rows = [np.unique(np.append(rng.integers(10, 900, 40), [t for t in (3, 5) if rng.random() < 0.5])).astype(np.int32) for _ in range(400)]
+    rows = [np.unique(np.append(rng.integers(10, 700, 250), [t for t in (3, 5) if rng.random() < 0.5])).astype(np.int32) for _ in range(400)]
     labels = np.array([int((3 in r) == (5 in r)) for r in rows])
     search = toxicity._pair_search(rows, labels, toxicity._counts(rows, np.flatnonzero(labels)), toxicity._counts(rows, np.arange(400)), np.zeros(0, int), 7)
     here = toxicity._pair_terms(search, toxicity._here)
