@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import vec
 from assayer.llm.shared import Scratch
+from assayer.operators.joins import small
 
 #: Bytes of an n-gram; up to five fit a key beside a row number.
 ORDER = 5
-#: Entries of the model that one pass over the documents holds; a larger model is scored in several passes.
-SHARD_ENTRIES = 6_000_000
+#: Texts are taken together up to so many bytes, and ask for each of their n-grams once; a longer text is alone.
+BLOCK_BYTES = 16 << 20
 #: Share of trusted documents, by language, whose perplexity is accepted.
 QUANTILE = 0.99
 #: Perplexities are binned to this step of their logarithm for the quantiles.
 STEP = 0.001
-_ROW_BITS = np.uint64(64 - 8 * ORDER)
 
 
 def _grams(chunk: vec.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -44,34 +45,109 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return every[first], np.add.reduceat(each, first)
 
 
+def _tally(chunks: Iterator[vec.Chunk]) -> Iterator[pa.RecordBatch]:
+    """``gram`` and ``n``, added up over the chunks as far as memory allows."""
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], ["gram", "n"])
+
+    for chunk in chunks:
+        if not len(chunk.data):
+            continue
+        grams = np.sort(_grams(chunk)[0])
+        first = np.flatnonzero(np.concatenate([np.ones(1, bool), grams[1:] != grams[:-1]]))
+        keys.append(grams[first])
+        counts.append(np.diff(np.append(first, len(grams))))
+        if sum(map(len, keys)) > 2_000_000:
+            keys[:], counts[:] = ([x] for x in _merged(keys, counts))
+            if len(keys[0]) > 1_500_000:
+                yield out()
+                keys, counts = [], []
+    if keys:
+        keys[:], counts[:] = ([x] for x in _merged(keys, counts))
+        yield out()
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
     """``gram`` and ``n`` over all rows of the single column; tasks add up what they hold before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        yield from _tally(chunk for batch in batches for chunk in vec.chunks(batch.column(0)))
+
+    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """The rows of ``text`` and further columns in blocks: ``block``, the further columns as arrays, ``data`` and ``sizes``.
+
+    A block travels as one row of compressed text.  Its number is a hash of its place and content: a plan that reads
+    the rows again in the same partitions numbers them alike.
+    """
+    names = rows.columns[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, columns in _numbered(batches, size):
+            whole = [pa.ListArray.from_arrays(pa.array([0, chunk.rows], pa.int32()), c) for c in columns[1:]]
+            data = pa.compress(chunk.data.tobytes(), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([columns[0]]), *whole, pa.array([data], pa.binary()), pa.array([np.diff(chunk.offsets)], pa.list_(pa.int64()))], ["block", *names, "data", "sizes"]
+            )
+
+    kinds = [f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in names]
+    return rows.mapInArrow(run, ", ".join(["block long", *kinds, "data binary, sizes array<long>"]))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[vec.Chunk, list]]:
+    """Blocks of the batches' first column, each with its number and the other columns' rows."""
+    at = f"{TaskContext.get().partitionId()} ".encode()
+    count = 0
+    for batch in batches:
+        for chunk in vec.chunks(batch.column(0), size):
+            count += 1
+            number = xxhash.xxh3_64(at + str(count).encode())
+            number.update(np.ascontiguousarray(chunk.offsets).tobytes())
+            number.update(chunk.data.tobytes())
+            yield chunk, [number.intdigest() - (1 << 63), *(c.slice(chunk.first, chunk.rows) for c in batch.columns[1:])]
+
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], ["gram", "n"])
+def _parts(block: vec.Chunk) -> Iterator[vec.Chunk]:
+    """A block cut into chunks of whole texts, as they fit the processor's caches."""
+    return vec.chunks(pa.Array.from_buffers(pa.large_utf8(), block.rows, [None, pa.py_buffer(np.ascontiguousarray(block.offsets)), pa.py_buffer(np.ascontiguousarray(block.data))]))
 
+
+def _opened(data: bytes, sizes: np.ndarray) -> Iterator[vec.Chunk]:
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    text = pa.decompress(data, decompressed_size=int(offsets[-1]), codec="zstd")
+    return vec.chunks(pa.Array.from_buffers(pa.large_utf8(), len(sizes), [None, pa.py_buffer(offsets), text]))
+
+
+def trusted_counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The n-gram counts of the documents whose id is in ``trusted`` and not held out.
+
+    Ids alone are joined to the labels; the blocks then learn which of their texts count.
+    """
+    rows = docs.where(~held_out(F.col(id_col))).select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    blocks = _blocks(rows, block_bytes)
+    each = blocks.select("block", F.posexplode("id").alias("at", "id"))
+    wanted = each.join(trusted.hint("merge"), "id", "left_semi").groupBy("block").agg(F.collect_list("at").alias("at"))
+    some = blocks.select("block", "data", "sizes").join(wanted.hint("merge"), "block").select("data", "sizes", "at")
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[vec.Chunk]:
         for batch in batches:
-            for chunk in vec.chunks(batch.column(0)):
-                if not len(chunk.data):
-                    continue
-                grams = np.sort(_grams(chunk)[0])
-                first = np.flatnonzero(np.concatenate([np.ones(1, bool), grams[1:] != grams[:-1]]))
-                keys.append(grams[first])
-                counts.append(np.diff(np.append(first, len(grams))))
-                if sum(map(len, keys)) > 2_000_000:
-                    keys[:], counts[:] = ([x] for x in _merged(keys, counts))
-                    if len(keys[0]) > 1_500_000:
-                        yield out()
-                        keys, counts = [], []
-        if keys:
-            keys[:], counts[:] = ([x] for x in _merged(keys, counts))
-            yield out()
+            for data, sizes, at in zip(*batch.columns):
+                use = np.zeros(len(sizes), bool)
+                use[at.values.to_numpy()] = True
+                for chunk in _opened(data.as_py(), sizes.values.to_numpy()):
+                    mine = use[chunk.first : chunk.first + chunk.rows]
+                    size = np.diff(chunk.offsets)
+                    yield vec.Chunk(0, chunk.data[np.repeat(mine, size)], np.append(0, np.cumsum(size[mine])))
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _tally(chosen(batches))
+
+    return some.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -85,6 +161,11 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def train(texts: DataFrame) -> DataFrame:
+    """The model of the texts in the single column, see ``model_of``."""
+    return model_of(gram_counts(texts))
+
+
+def model_of(grams: DataFrame) -> DataFrame:
     """The model, a row for every n-gram and context seen: ``size``, ``gram``, ``logp``, ``logb``.
 
     ``logp`` is the interpolated log-probability of the last byte of a seen n-gram of that size, ``logb``
@@ -92,14 +173,14 @@ def train(texts: DataFrame) -> DataFrame:
     the context of ``size`` - 1 bytes).  The highest order counts occurrences, the lower orders count in how many n-grams
     of the next higher order a gram is the ending.  All counts are joined in shards by n-gram.
     """
-    scratch = Scratch(texts.sparkSession)
-    counts = {ORDER: scratch.write(gram_counts(texts))}
+    scratch = Scratch(grams.sparkSession)
+    counts = {ORDER: scratch.write(grams)}
     for size in range(ORDER - 1, 0, -1):
         tail = F.col("gram").bitwiseAND(F.lit((1 << (8 * size)) - 1))
         counts[size] = scratch.write(counts[size + 1].groupBy(tail.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
     total = counts[1].agg(F.sum("n")).first()[0] or 1
     # Of one byte: add one half to each of the 256, so that none is impossible.
-    every = texts.sparkSession.range(256).withColumnRenamed("id", "gram").join(counts[1], "gram", "left")
+    every = grams.sparkSession.range(256).withColumnRenamed("id", "gram").join(counts[1], "gram", "left")
     model = every.select(F.lit(1).alias("size"), "gram", ((F.coalesce("n", F.lit(0)) + 0.5) / (total + 128.0)).alias("p"))
     shorter, parts, weights = model, [model], []
     for size in range(2, ORDER + 1):
@@ -125,105 +206,68 @@ def train(texts: DataFrame) -> DataFrame:
     return scratch.write(out)
 
 
-def _last_context_byte(size: Column, gram: Column, context: Column) -> Column:
-    """What all n-grams and contexts that meet in one score share: the byte before the scored one."""
-    return F.when(context, gram.bitwiseAND(F.lit(255))).otherwise(F.shiftrightunsigned(gram, 8).bitwiseAND(F.lit(255)))
-
-
-@dataclass
-class Tables:
-    """One shard of the model as sorted arrays, by n-gram size."""
-
-    seen: dict[int, tuple[np.ndarray, np.ndarray]]
-    back: dict[int, tuple[np.ndarray, np.ndarray]]
-    shards: int
-    shard: int
-
-    def logp(self, grams: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the last byte of distinct sorted n-grams."""
-        out = np.zeros(len(grams))
-        open_ = np.arange(len(grams))
-        for size in range(ORDER, 0, -1):
-            tail = grams[open_] & np.uint64((1 << (8 * size)) - 1)
-            keys, values = self.seen[size]
-            found, value = _look(keys, values, tail)
-            out[open_] += value
-            if size == 1:  # all bytes are there
-                break
-            open_, tail = open_[~found], tail[~found]
-            out[open_] += _look(*self.back[size], tail >> np.uint64(8))[1]
-        return out
-
-
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    found = keys[at] == wanted
-    return found, np.where(found, values[at], 0.0)
-
-
-def _tables(model: DataFrame, shards: int, shard: int) -> Tables:
-    """A shard of the model, at most about SHARD_ENTRIES rows, as arrays on the driver for a broadcast."""
-    byte = _last_context_byte(F.col("size"), F.col("gram"), F.col("logb").isNotNull())
-    part = model.where((F.col("size") == 1) | (F.pmod(byte * 167, F.lit(shards)) == shard)).toArrow()
-    size, gram = part["size"].to_numpy(), part["gram"].to_numpy().view(np.uint64)
-    logp, logb = part["logp"].to_numpy(zero_copy_only=False), part["logb"].to_numpy(zero_copy_only=False)
-    seen, back = {}, {}
-    for n in range(1, ORDER + 1):
-        for into, value in ((seen, logp), (back, logb)):
-            rows = np.flatnonzero((size == n) & ~np.isnan(value))
-            rows = rows[np.argsort(gram[rows])]
-            into[n] = (gram[rows], value[rows].astype(np.float32))
-    return Tables(seen, back, shards, shard)
-
-
-def _pass(rows: DataFrame, tables: Tables, keep: list[str]) -> DataFrame:
-    """``keep``, ``row`` and the part of ``logp`` and ``bytes`` that the shard's contexts give."""
-    model = rows.sparkSession.sparkContext.broadcast(tables)
-    names = [*keep, "logp", "bytes"]
+def _resolved(grams: DataFrame, model: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """``gram`` and ``value``, the log-probability of the last byte of each of the distinct n-grams of ``size`` bytes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = model.value
-        for batch in batches:
-            sums, sizes = [], []
-            for chunk in vec.chunks(batch.column(0)):
-                grams, row = _grams(chunk)
-                sizes.append(np.bincount(row, minlength=chunk.rows))
-                if t.shards > 1:
-                    mine = ((grams >> np.uint64(8)) & np.uint64(255)) * np.uint64(167) % np.uint64(t.shards) == np.uint64(t.shard)
-                    grams, row = grams[mine], row[mine]
-                # Sorted by n-gram, equal ones are looked up once, next to each other.
-                both = np.sort((grams << _ROW_BITS) | row.astype(np.uint64))
-                grams, row = both >> _ROW_BITS, (both & np.uint64((1 << int(_ROW_BITS)) - 1)).astype(np.int64)
-                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(grams)), bool), grams[1:] != grams[:-1]]))
-                value = np.repeat(t.logp(grams[first]), np.diff(np.append(first, len(grams))))
-                sums.append(np.bincount(row, value, chunk.rows))
-            both = [np.concatenate(x) if x else np.zeros(0) for x in (sums, sizes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(both[0].astype(np.float64)), pa.array(both[1].astype(np.int64))], names)
-
-    types = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([*types, "logp double", "bytes long"]))
-
-
-def perplexities(docs: DataFrame, model: DataFrame, keep: tuple[str, ...], text_col: str = "text", shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    Seen ones are joined to the counts' table by n-gram; the others join the weight of their context, and the
+    distinct shorter n-grams that they leave are resolved alike.
+    """
+    seen = model.where((F.col("size") == size) & F.col("logp").isNotNull()).select("gram", F.col("logp").alias("value"))
+    if size == 1:
+        return grams.join(seen, "gram")
+    met = scratch.write(grams.join(seen.hint("merge"), "gram", "left"))
+    back = model.where((F.col("size") == size) & F.col("logb").isNotNull()).select(F.col("gram").alias("context"), "logb")
+    tail = F.col("gram").bitwiseAND(F.lit((1 << (8 * (size - 1))) - 1))
+    rest = met.where("value is null").select("gram", F.shiftrightunsigned("gram", 8).alias("context"), tail.alias("tail"))
+    less = _resolved(rest.select(F.col("tail").alias("gram")).distinct(), model, size - 1, scratch)
+    less = less.select(F.col("gram").alias("tail"), F.col("value").alias("less"))
+    unseen = rest.join(back.hint("merge"), "context", "left").join(less.hint("merge"), "tail")
+    unseen = unseen.select("gram", (F.coalesce("logb", F.lit(0.0)) + F.col("less")).alias("value"))
+    return met.where("value is not null").unionByName(unseen)
+
+
+def perplexities(docs: DataFrame, model: DataFrame, keep: tuple[str, ...], text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns ``keep`` of every row and its ``perplexity`` by byte, null for null and empty texts.
 
-    The model's size is counted; as many passes as it needs shards each broadcast one of a bounded size
-    and score the bytes whose context belongs to it; only several passes need a join of their sums.
+    Blocks of texts ask for their distinct n-grams.  These are counted down to the distinct ones of the corpus, joined
+    to the model in shards of n-grams and contexts, and the values join the questions and go back to their blocks,
+    which add them up by document.  No part of the model is gathered anywhere.
     """
     names = [f"keep_{k}" for k in range(len(keep))]
     rows = docs.select(F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(keep, names)))
-    shards = min(256, max(1, -(-model.count() // shard_entries)))
-    if shards == 1:
-        found = _pass(rows, _tables(model, 1, 0), names)
-    else:
-        rows = rows.withColumn("row", F.monotonically_increasing_id())
-        parts = None
-        for shard in range(shards):
-            one = _pass(rows, _tables(model, shards, shard), [*names, "row"])
-            parts = one if parts is None else parts.unionByName(one)
-        found = parts.groupBy("row").agg(*(F.first(n).alias(n) for n in names), F.sum("logp").alias("logp"), F.max("bytes").alias("bytes"))
+    scratch = Scratch(docs.sparkSession)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, columns in _numbered(batches, block_bytes):
+            grams = [np.unique(_grams(chunk)[0]) for chunk in _parts(block)]
+            grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+            for k in range(0, len(grams), 100_000):
+                some = pa.array(grams[k : k + 100_000].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), columns[0])), some], ["block", "gram"])
+
+    asked = scratch.write(rows.mapInArrow(ask, "block long, gram long"))
+    values = scratch.write(_resolved(asked.select("gram").distinct(), model, ORDER, scratch))
+    answers = asked.join(values.hint("merge"), "gram").select("block", "gram", F.col("value").cast("float").alias("value"))
+    kinds = [rows.schema[n].dataType.simpleString() for n in names]
+
+    def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, value = answers["gram"].to_numpy().view(np.uint64), answers["value"].to_numpy()
+        by = np.argsort(grams)
+        grams, value = grams[by], value[by].astype(np.float64)
+        sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for data, size in zip(blocks["data"], blocks["sizes"]):
+            for chunk in _opened(data.as_py(), size.values.to_numpy()):
+                wanted, row = _grams(chunk)
+                at = np.minimum(np.searchsorted(grams, wanted), max(0, len(grams) - 1))
+                if len(wanted) and not (len(grams) and np.array_equal(grams[at], wanted)):
+                    raise ValueError("a block was numbered otherwise when it was read again: give a table that reads alike each time")
+                sums.append(np.bincount(row, value[at] if len(wanted) else None, chunk.rows))
+                sizes.append(np.diff(chunk.offsets))
+        columns = [pa.chunked_array([c.values for c in blocks[n]], blocks[n].type.value_type) for n in names]
+        return pa.table([*columns, pa.array(np.concatenate(sums), pa.float64()), pa.array(np.concatenate(sizes), pa.int64())], [*names, "logp", "bytes"])
+
+    schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), "logp double", "bytes long"])
+    found = _blocks(rows, block_bytes).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
     perplexity = F.when(F.col("bytes") > 0, F.exp(-F.col("logp") / F.col("bytes")))
     return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), perplexity.alias("perplexity"))
 
@@ -256,15 +300,13 @@ def classify(
     all texts are kept.
     """
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
-    mine = docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # A merge at any size: where labels are few a broadcast would do, but it would not last.
-    model = train(mine.join(trusted.hint("merge"), "id", "left_semi").select("text"))
+    model = model_of(trusted_counts(docs, trusted, id_col, text_col))
     scratch = Scratch(docs.sparkSession)
     scored = scratch.write(perplexities(docs, model, (id_col, lang_col), text_col).select(F.col(id_col).alias("id"), F.coalesce(lang_col, F.lit("")).alias("lang"), F.col(lang_col).alias("own"), "perplexity"))
     known = scored.where(held_out(F.col("id"))).join(trusted, "id", "left_semi").select("lang", "perplexity")
     by_lang = quantile_by(known, "lang", quantile)
     overall = quantile_by(known.withColumn("lang", F.lit("all")), "lang", quantile).agg(F.max("threshold").alias("any"))
-    judged = scored.join(by_lang, "lang", "left").crossJoin(F.broadcast(overall))
+    judged = scored.join(small(by_lang), "lang", "left").crossJoin(F.broadcast(overall))
     limit = F.coalesce("threshold", "any")
     kept = F.col("perplexity").isNotNull() & (limit.isNull() | (F.col("perplexity") <= limit))
     return judged.select(F.col("id").alias(id_col), F.col("own").alias(lang_col), "perplexity", limit.alias("threshold"), kept.alias("kept"))

@@ -381,14 +381,23 @@ def kneser_ney(texts, order):
     return p
 
 
-@pytest.mark.parametrize("entries", [6_000_000, 200])
-def test_perplexity_by_plain_formula(spark, entries):
-    """One shard or several give the plain formula's perplexity."""
+@pytest.mark.parametrize("block", [1 << 24, 30])
+def test_perplexity_by_plain_formula(spark, block):
+    """One block of texts or several give the plain formula's perplexity."""
     texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "then the cat ran"]
     trained = docs(spark, texts)
+    some = quality.trusted_counts(trained, trained.where("doc_id > 0").select(F.col("doc_id").alias("id")), "doc_id", "text", block)
+    ids = {r.doc_id for r in trained.where((F.col("doc_id") > 0) & ~quality.held_out(F.col("doc_id"))).collect()}
+    counts = {}
+    for k in ids:
+        padded = b"\0" * (quality.ORDER - 1) + texts[k].encode()
+        for j in range(len(texts[k])):
+            gram = int.from_bytes(padded[j : j + quality.ORDER], "big")
+            counts[gram] = counts.get(gram, 0) + 1
+    assert ids and {r.gram: r.n for r in some.collect()} == counts
     model = quality.train(trained.select("text"))
     probe = docs(spark, ["the cat ran on", "zzz", "the dog sat on the log", "", None, "é"])
-    got = {r.doc_id: r.perplexity for r in quality.perplexities(probe, model, ("doc_id",), shard_entries=entries).collect()}
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(probe, model, ("doc_id",), block_bytes=block).collect()}
     p = kneser_ney([t.encode() for t in texts], quality.ORDER)
     for k, t in enumerate(["the cat ran on", "zzz", "the dog sat on the log"]):
         padded = b"\0" * (quality.ORDER - 1) + t.encode()
