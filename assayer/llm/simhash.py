@@ -1,9 +1,9 @@
-"""SimHash near-duplicates: fingerprints, pigeonring candidate filter and components."""
+"""SimHash near-duplicates: fingerprints, candidates by the pigeonring principle and components."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,8 @@ from assayer.llm.components import components
 from assayer.llm.shared import Scratch
 
 BITS = 64
-#: Buckets of more fingerprints are not paired but linked through the points one bit away.
-PAIRED_BUCKET = 48
+#: Keys of more fingerprints are split by finer masks before pairs are made.
+CROWD = 64
 _CHUNK = 1 << 16
 
 
@@ -48,62 +48,71 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
-def _segment(fp: Column, k: int, m: int) -> Column:
-    low, high = BITS * k // m, BITS * (k + 1) // m
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+def _bits(at: int, n: int) -> int:
+    return ((1 << n) - 1) << at
 
 
-def viable(x: Column, distance: int, m: int) -> Column:
-    """Pigeonring: from some segment on, every chain of 1, 2, ... m segments differs in at most its share of the budget."""
-    d = [F.bit_count(_segment(x, k, m)) for k in range(m)]
-    starts = []
-    for k in range(m):
-        ok, total = F.lit(True), F.lit(0)
-        for n in range(1, m + 1):
-            total = total + d[(k + n - 1) % m]
-            ok = ok & (total <= n * distance // m)
-        starts.append(ok)
-    out = starts[0]
-    for s in starts[1:]:
-        out = out | s
-    return out
+def ring_masks(distance: int) -> list[int]:
+    """The bits on which fingerprints within ``distance`` agree for at least one mask, by the pigeonring principle.
+
+    Of the ring of four segments there is one from which on every chain of 1, 2, 3 and 4 segments differs in at most
+    its share of the budget, rounded down: for two bits that is 0, 1, 1 and 2.  So the first segment agrees, and of
+    the four bytes of the two segments that follow it all but one do: 40 bits.  For one bit the shares are 0, 0, 0
+    and 1, and three segments agree: 48 bits.  Two agreeing segments, as the pigeonhole principle has it, are 32 bits.
+    """
+    segment = BITS // 4
+    masks = []
+    for first in range(4):
+        chain = [_bits(segment * ((first + k) % 4), segment) for k in range(3)]
+        if distance == 1:
+            masks.append(chain[0] | chain[1] | chain[2])
+        else:
+            parts = [_bits(segment * ((first + k) % 4) + 8 * half, 8) for k in (1, 2) for half in (0, 1)]
+            masks += [chain[0] | sum(parts) - free for free in parts]
+    return masks
+
+
+def finer_masks(mask: int, distance: int) -> list[int]:
+    """Masks that agree on all of ``mask`` and on all but ``distance`` of the four-bit groups of the rest.
+
+    What they leave open is ``4 * distance`` bits, so at most 256 different fingerprints have a key in common.
+    """
+    groups = [_bits(k, 4) for k in range(0, BITS, 4) if not mask >> k & 1]
+    whole = _bits(0, BITS)
+    return [whole - sum(free) for free in combinations(groups, distance)]
+
+
+def _lit(mask: int) -> Column:
+    return F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask).cast("long")
+
+
+def _met(posted: DataFrame, distance: int) -> DataFrame:
+    """The pairs ``a`` < ``b`` of fingerprints with a key in common that differ in at most ``distance`` bits."""
+    x, y = (posted.select("kind", "key", F.col("fp").alias(c)) for c in ("a", "b"))
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    return x.join(y, ["kind", "key"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
 
 
-def links(prints: DataFrame, distance: int = 2, m: int = 4) -> DataFrame:
-    """Edges ``a``, ``b`` that connect all fingerprints (column ``fp``, distinct) within ``distance`` bits.
+def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame:
+    """All pairs ``a``, ``b`` of fingerprints (column ``fp``, distinct) within ``distance`` bits; a pair may repeat.
 
-    Of ``m`` segments at least two agree (m >= distance + 2), so fingerprints meet in buckets keyed by
-    two segments.  Pairs of a bucket pass the chain filter, then the full Hamming check.  A crowded
-    bucket, as of one large group of near copies, would give a square of pairs: its members are linked
-    through the points at most one bit away from them, which holds all links of distance 2 with at most
-    65 members a point, so the work stays linear and exact.
+    Fingerprints are filed under the bits of each of the ring's masks (see ``ring_masks``), so pairs are made only where
+    the chain condition holds, and then pass the full Hamming check.  Where more than ``crowd`` share a key, as in a
+    large group of near copies, they are filed under its finer masks instead, which bound what shares one.
     """
-    if not 0 <= distance <= min(2, m - 2):
-        raise ValueError("distance must be 0, 1 or 2, and m at least two more")
-    keys = [
-        F.struct(F.lit(i * m + j).alias("kind"), _segment(F.col("fp"), i, m).alias("x"), _segment(F.col("fp"), j, m).alias("y"))
-        for i in range(m) for j in range(i + 1, m)
-    ]
-    posted = prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.*")
-    on = ["kind", "x", "y"]
-    sizes = posted.groupBy(on).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = Scratch(prints.sparkSession).write(posted.join(sizes, on))
-    some = met.where(F.col("size") <= PAIRED_BUCKET)
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = (
-        some.select(*on, F.col("fp").alias("a")).join(some.select(*on, F.col("fp").alias("b")), on).where("a < b")
-        .where(viable(x, distance, m)).where(F.bit_count(x) <= distance).select("a", "b")
-    )
-    crowded = met.where(F.col("size") > PAIRED_BUCKET).select("fp").distinct()
-    ball = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
-    if distance == 2:
-        around = crowded.select("fp", F.explode(ball).alias("point"))
-        near = around.groupBy("point").agg(F.array_sort(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
-        stars = near.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, BITS)).alias("b"))
-    else:  # a point itself must be a member: the distance is one at most
-        reach = crowded.select(F.col("fp").alias("b"), F.explode(ball if distance else F.array("fp")).alias("a"))
-        stars = reach.join(crowded.select(F.col("fp").alias("a")), "a").where("a < b").select("a", "b")
-    return pairs.unionByName(stars)
+    if distance not in (0, 1, 2):
+        raise ValueError("distance must be 0, 1 or 2")
+    if distance == 0:
+        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    masks = ring_masks(distance)
+    keys = [F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(_lit(m)).alias("key")) for k, m in enumerate(masks)]
+    posted = prints.select("fp", F.explode(F.array(*keys)).alias("at")).select("fp", "at.*")
+    sizes = posted.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = Scratch(prints.sparkSession).write(posted.join(sizes, ["kind", "key"]))
+    finer = F.array(*(F.array(*map(_lit, finer_masks(m, distance))) for m in masks))
+    crowded = met.where(F.col("size") > crowd).select("fp", F.explode(F.get(finer, F.col("kind"))).alias("kind")).distinct()
+    crowded = crowded.withColumn("key", F.col("fp").bitwiseAND(F.col("kind")))
+    return _met(met.where(F.col("size") <= crowd), distance).unionByName(_met(crowded, distance))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
@@ -127,7 +136,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents whose id is the smallest of their group, with all columns."""
+    """The documents whose id is the smallest of their group, with all columns; of a repeated id all rows stay."""
     groups = near_groups(docs, id_col, text_col, **how)
     kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")

@@ -151,10 +151,22 @@ def union(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("bucket", [2, 1000])
-def test_links_by_brute_force(spark, monkeypatch, bucket):
-    """Random fingerprints, chains of neighbours and one crowded ball, paired or through the points around."""
-    monkeypatch.setattr(simhash, "PAIRED_BUCKET", bucket)
+def test_every_near_pair_agrees_on_a_mask():
+    """All differences of one and two bits; finer masks miss none of those that a mask lets through, and bound a key."""
+    for distance in (1, 2):
+        masks = simhash.ring_masks(distance)
+        for a in range(64):
+            for b in range(a, 64 if distance == 2 else a + 1):
+                x = 1 << a | 1 << b
+                through = [m for m in masks if not x & m]
+                assert through and all(any(not x & f for f in simhash.finer_masks(m, distance)) for m in through)
+        assert {bin(m).count("1") for m in masks} == {40 if distance == 2 else 48}
+        assert all(bin(f).count("1") == 64 - 4 * distance and f & m == m for m in masks for f in simhash.finer_masks(m, distance))
+
+
+@pytest.mark.parametrize("crowd", [2, 1000])
+def test_links_by_brute_force(spark, crowd):
+    """Random fingerprints, chains of neighbours and one crowded ball, by the ring's masks or the finer ones."""
     rng = random.Random(9)
     prints = {rng.getrandbits(64) for _ in range(60)}
     base = rng.getrandbits(64)
@@ -167,10 +179,9 @@ def test_links_by_brute_force(spark, monkeypatch, bucket):
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
     for distance in (1, 2):
-        got = [(r.a, r.b) for r in simhash.links(df, distance).collect()]
+        got = [(r.a, r.b) for r in simhash.links(df, distance, crowd).collect()]
         near = [(a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= distance]
-        assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= distance for a, b in got)
-        assert union(got, signed) == union(near, signed)
+        assert set(got) == set(near)
 
 
 def test_components(spark):
