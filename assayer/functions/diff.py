@@ -18,26 +18,31 @@ def _rows(text: str | None) -> list[str]:
     return [s.strip() for s in (text or "").splitlines()]
 
 
+def _edits(left: list[str], right: list[str]) -> list[tuple[range, range]]:
+    """The lines of each side in every place where they differ; an insertion has no line on the left."""
+    blocks = difflib.SequenceMatcher(None, left, right, autojunk=False).get_matching_blocks()
+    out, i, j = [], 0, 0
+    for block in blocks:
+        if block.a > i or block.b > j:
+            out.append((range(i, block.a), range(j, block.b)))
+        i, j = block.a + block.size, block.b + block.size
+    return out
+
+
 def changed_lines(a: str | None, b: str | None) -> list[int]:
-    """Lines of ``a`` (from 0) that an edit to ``b`` touches; an insertion touches the line it stands before."""
-    left, right = _rows(a), _rows(b)
+    """Lines of ``a`` (from 0) that an edit to ``b`` removes or replaces; an insertion counts as the line before it.
+
+    At the very start that is line 0.
+    """
     out: set[int] = set()
-    for tag, i1, i2, _, _ in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        if tag == "insert":
-            out.add(min(i1, max(len(left) - 1, 0)))
-        elif tag != "equal":
-            out.update(range(i1, i2))
+    for old, _ in _edits(_rows(a), _rows(b)):
+        out.update(old if len(old) else [max(0, old.start - 1)])
     return sorted(out)
 
 
-def edit_lines(a: str | None, b: str | None) -> tuple[int, int]:
-    """How many lines are removed and added."""
-    left, right = _rows(a), _rows(b)
-    removed = added = 0
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        if tag != "equal":
-            removed, added = removed + i2 - i1, added + j2 - j1
-    return removed, added
+def edit_size(a: str | None, b: str | None) -> int:
+    """How many lines a line-by-line delta marks as removed or added."""
+    return sum(line.startswith(("+ ", "- ")) for line in difflib.ndiff(_rows(a), _rows(b)))
 
 
 def unified(a: str | None, b: str | None, context: int = 2) -> str:
@@ -45,51 +50,27 @@ def unified(a: str | None, b: str | None, context: int = 2) -> str:
 
 
 def apply_patch(before: str | None, after: str | None, target: str | None) -> tuple[bool, str | None]:
-    """Applies the change from ``before`` to ``after`` to ``target`` where each hunk's old lines stand exactly once."""
-    old, new, text = (before or "").splitlines(), (after or "").splitlines(), (target or "").splitlines()
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-        if tag == "equal":
-            continue
-        start, end = max(0, i1 - 1), min(len(old), i2 + 1)
-        want = old[start:end]
-        places = [k for k in range(len(text) - len(want) + 1) if text[k : k + len(want)] == want] if want else []
-        if len(places) != 1:
-            return False, None
-        text[places[0] : places[0] + len(want)] = old[start:i1] + new[j1:j2] + old[i2:end]
-    return True, "\n".join(text)
-
+    """Applies the change from ``before`` to ``after`` to ``target`` by context, without fuzz.
 
-_WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
-
-
-def variant(text: str | None, seed: int) -> tuple[str, dict[str, str]]:
-    """A renamed and re-spaced copy, and the map from new to old names.
-
-    The most frequent words of four letters or more get new names that do not occur; blank runs at line
-    starts change.  Undoing the names and the spacing gives the source back.
+    The replaced lines of each place, or the line before an insertion, are looked for in the target at or after the
+    place of the last ones, blanks around lines aside; the first match counts.  A place that is not found, or an
+    insertion before the first line, which has no context, refuses the whole.
     """
-    source = text or ""
-    names = _WORD.findall(source)
-    count: dict[str, int] = {}
-    for n in names:
-        if len(n) >= 4:
-            count[n] = count.get(n, 0) + 1
-    chosen = sorted(count, key=lambda n: (-count[n], n))[:5]
-    taken, renames = set(names), {}
-    for k, n in enumerate(chosen):
-        new = f"v{seed}_{k}"
-        while new in taken:
-            new += "_"
-        taken.add(new)
-        renames[n] = new
-    out = _WORD.sub(lambda m: renames.get(m[0], m[0]), source)
-    return "\n".join("  " + s.strip() for s in out.splitlines()), {v: k for k, v in renames.items()}
-
-
-def certify(source: str | None, changed: str, names: dict[str, str]) -> bool:
-    """Whether the variant is the source again when names and spacing are undone."""
-    back = _WORD.sub(lambda m: names.get(m[0], m[0]), changed)
-    return _rows(back) == _rows(source)
+    old, new, text = ([line.rstrip() for line in (t or "").splitlines()] for t in (before, after, target))
+    keys = [line.strip() for line in text]
+    out: list[str] = []
+    done = 0
+    for lines, added in _edits(old, new):
+        context = list(lines) or list(range(max(0, lines.start - 1), lines.start))
+        wanted = [old[k].strip() for k in context]
+        fits = (k for k in range(done, len(keys) - len(wanted) + 1) if keys[k : k + len(wanted)] == wanted)
+        place = next(fits, None) if wanted else None
+        if place is None:
+            return False, None
+        kept = place if len(lines) else place + 1
+        out += text[done:kept] + [new[k] for k in added]
+        done = place + len(wanted)
+    return True, "\n".join(out + text[done:])
 
 
 def functions_of(text: str | None) -> list[tuple[str, str]]:
@@ -112,9 +93,9 @@ def changed_lines_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([changed_lines(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf(T.StructType([T.StructField("removed", T.IntegerType()), T.StructField("added", T.IntegerType())]))
-def edit_lines_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([edit_lines(x, y) for x, y in zip(a, b)], columns=["removed", "added"])
+@F.pandas_udf(T.IntegerType())
+def edit_size_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edit_size(x, y) for x, y in zip(a, b)])
 
 
 @F.pandas_udf(T.StringType())
@@ -127,12 +108,6 @@ def apply_patch_udf(before: pd.Series, after: pd.Series, target: pd.Series) -> p
     return pd.DataFrame([apply_patch(x, y, z) for x, y, z in zip(before, after, target)], columns=["applied", "text"])
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("names", T.MapType(T.StringType(), T.StringType())), T.StructField("certified", T.BooleanType())]))
-def variant_udf(text: pd.Series, seed: pd.Series) -> pd.DataFrame:
-    made = [variant(t, int(s)) for t, s in zip(text, seed)]
-    return pd.DataFrame({"text": [m[0] for m in made], "names": [m[1] for m in made], "certified": [certify(t, *m) for t, m in zip(text, made)]})
-
-
 @F.udtf(returnType=T.StructType([T.StructField("name", T.StringType()), T.StructField("code", T.StringType())]))
 class SplitFunctions:
     """Table function: one row for each function in a text."""

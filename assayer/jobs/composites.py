@@ -67,19 +67,6 @@ def map_invert(spark, sf_dir):
     return g.select("conv_id", F.array_join(pairs, ",").alias("inverted"), F.size("m").cast("bigint").alias("keys"))
 
 
-@query("""
-WITH v AS (SELECT l_orderkey AS unit, list_distinct(list(l_linenumber)) AS defs, list_distinct(list(l_suppkey % 7)) AS uses, count(*) AS m, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1)
-SELECT unit, round(len(list_distinct(list_concat(defs, uses)))::DOUBLE / m, 6) AS sc, round(len(defs)::DOUBLE / greatest(m, 1), 6) AS scvg, round(len(uses)::DOUBLE / greatest(parts, 1), 6) AS si, round(len(list_intersect(defs, uses))::DOUBLE / m, 6) AS ss FROM v""")
-def slice_vector(spark, sf_dir):
-    """Four ratios of a slice: size, coverage, identifiers and overlap."""
-    v = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(
-        F.collect_set(F.col("l_linenumber").cast("bigint")).alias("defs"), F.collect_set(F.col("l_suppkey") % 7).alias("uses"), F.count(F.lit(1)).alias("m"), F.count_distinct("l_partkey").alias("parts"))
-    size = lambda c: F.size(c).cast("double")
-    return v.select(
-        F.col("l_orderkey").alias("unit"), _r(size(F.array_union("defs", "uses")) / F.col("m")).alias("sc"), _r(size("defs") / F.greatest("m", F.lit(1))).alias("scvg"),
-        _r(size("uses") / F.greatest("parts", F.lit(1))).alias("si"), _r(size(F.array_intersect("defs", "uses")) / F.col("m")).alias("ss"))
-
-
 @query("""
 WITH e AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 2 = 0) GROUP BY ALL),
 f AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 2 = 1) GROUP BY ALL),
@@ -96,27 +83,6 @@ def variable_mapping(spark, sf_dir):
     return s.groupBy("a").agg(best).select("a", (-F.col("m.minus")).alias("mapped"), _r(F.col("m.sim")).alias("similarity"))
 
 
-@query("""
-WITH l AS (SELECT item_id, text, string_split(text, '. ') AS p FROM benchmark)
-SELECT item_id, kind, md5(t) AS digest FROM (SELECT item_id, unnest(['delete', 'comment', 'break']) AS kind, unnest([array_to_string(list_filter(p, lambda x: NOT contains(x, 'the')), '. '), '/* no change */ ' || text, regexp_replace(text, 'th', '!!')]) AS t FROM l)""")
-def bad_patches(spark, sf_dir):
-    """Known bad candidates: sentences deleted, a comment only, the first match broken."""
-    kept = F.array_join(F.filter(F.split("text", r"\. "), lambda x: ~F.contains(x, F.lit("the"))), ". ")
-    broken = F.expr("case when instr(text, 'th') > 0 then overlay(text placing '!!' from instr(text, 'th') for 2) else text end")
-    made = F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("t")) for k, t in (("delete", kept), ("comment", F.concat(F.lit("/* no change */ "), "text")), ("break", broken))))
-    return Tables(spark, sf_dir).benchmark.select("item_id", F.inline(made)).select("item_id", "kind", F.md5("t").alias("digest"))
-
-
-@query("""
-WITH g AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1)
-SELECT CASE WHEN r = 0 AND o = n THEN 'faithful' WHEN r > 0 AND o = 0 THEN 'omitting' WHEN r > 0 THEN 'extra' ELSE 'mixed' END AS split, count(*) AS units, sum(n)::BIGINT AS lines FROM g GROUP BY 1""")
-def port_split(spark, sf_dir):
-    """Ports that keep all lines, omit some, or add some."""
-    g = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_linestatus") == "O").alias("o"))
-    split = F.when((F.col("r") == 0) & (F.col("o") == F.col("n")), "faithful").when((F.col("r") > 0) & (F.col("o") == 0), "omitting").when(F.col("r") > 0, "extra").otherwise("mixed")
-    return g.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("lines"))
-
-
 @query("""
 WITH v AS (SELECT quality = 1 AS certified, n_chars, lang FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0::DOUBLE AS rk FROM v),
 c AS (SELECT certified, lang, count(*) AS k FROM v GROUP BY ALL)

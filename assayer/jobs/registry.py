@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.jobs import aggregates, composites, relational, similarity, star, statistics, streams, texts, transforms  # noqa: F401  the job modules register their queries
+from assayer.jobs import aggregates, answers, composites, relational, repair, similarity, star, statistics, streams, texts, transforms, variants  # noqa: F401  the job modules register their queries
 from assayer.jobs.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

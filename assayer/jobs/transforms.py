@@ -6,10 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assayer.functions import diff as D
-from assayer.functions import stats
-from assayer.functions import text as X
 from assayer.jobs.base import Tables, query
-from assayer.operators import aggregates as A
 from assayer.operators import graphs, ladder, sampling
 from assayer.operators import windows as W
 
@@ -20,12 +17,6 @@ def _turn_pairs(t):
     return t.conversations.select("conv_id", "turn", F.col("text").alias("a"), after.alias("b")).where("b is not null")
 
 
-@query()
-def diff_lines(spark, sf_dir):
-    """Lines of a turn that an edit to the next turn touches."""
-    return _turn_pairs(Tables(spark, sf_dir)).select("conv_id", "turn", D.changed_lines_udf("a", "b").alias("changed")).withColumn("n", F.size("changed"))
-
-
 @query("""
 WITH p AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
 x AS (SELECT conv_id, turn, unnest(string_split(a, chr(10))) AS l, 1 AS i, 0 AS j FROM p WHERE b IS NOT NULL UNION ALL SELECT conv_id, turn, unnest(string_split(b, chr(10))), 0, 1 FROM p WHERE b IS NOT NULL),
@@ -40,31 +31,6 @@ def line_delta(spark, sf_dir):
     return c.groupBy("conv_id", "turn").agg(F.sum(F.greatest(F.col("x") - F.col("y"), F.lit(0))).alias("removed"), F.sum(F.greatest(F.col("y") - F.col("x"), F.lit(0))).alias("added"))
 
 
-@query()
-def edit_size(spark, sf_dir):
-    p = _turn_pairs(Tables(spark, sf_dir)).select("conv_id", "turn", D.edit_lines_udf("a", "b").alias("e"), D.unified_udf("a", "b").alias("d"))
-    return p.select("conv_id", "turn", "e.removed", "e.added", F.md5("d").alias("diff_digest"))
-
-
-@query()
-def naive_patch(spark, sf_dir):
-    """Applies an edit of each text to a renamed copy and to itself: the first seldom fits, the second does."""
-    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
-    after = F.regexp_replace("text", r"(?s)^([^\n]*)\n", "$1 edited\n")
-    p = docs.select("doc_id", D.apply_patch_udf("text", after, "text").alias("own"), D.apply_patch_udf("text", after, F.upper("text")).alias("other"), after.alias("after"))
-    same = F.col("own.text") == F.regexp_replace("after", r"\n\z", "")
-    return p.select("doc_id", F.col("own.applied").alias("own_applied"), same.alias("own_equal"), F.col("other.applied").alias("other_applied"))
-
-
-@query()
-def variant_certify(spark, sf_dir):
-    """Variants of each benchmark item under three seeds, their certificate and similarity to the source."""
-    items = Tables(spark, sf_dir).benchmark.select("item_id", "text", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("seed"))
-    v = items.select("item_id", "seed", "text", D.variant_udf("text", "seed").alias("v"))
-    similar = X.jaccard(F.array_distinct(X.code_tokens(F.col("text"))), F.array_distinct(X.code_tokens(F.col("v.text"))))
-    return v.select("item_id", "seed", F.col("v.certified").alias("certified"), F.size("v.names").alias("renamed"), F.round(similar, 6).alias("token_jaccard"), F.round(X.line_distance(F.col("text"), F.col("v.text")), 6).alias("edit_norm"))
-
-
 def _code(t):
     """Source files of three functions, rendered from parts."""
     name = F.concat(F.lit("f_"), F.col("p_partkey").cast("string"))
@@ -108,58 +74,19 @@ def ladder_summary(spark, sf_dir):
     return s.select("arm", "n", "k", F.round("vpr", 6).alias("vpr"), F.round("iterations", 6).alias("iterations"))
 
 
-def _outcomes(t):
-    """Each turn as a fault, the next as its fix and the one after as a patch, over sets of words."""
-    by = Window.partitionBy("conv_id").orderBy("turn")
-    rows = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("v"), F.lead("text").over(by).alias("f"), F.lead("text", 2).over(by).alias("p")).where("p is not null")
-    words = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z]+"), F.lit(0))))
-    return rows.select("conv_id", "turn", "role", ladder.verdict(F.col("v"), F.col("f"), F.col("p"), words).alias("reason"))
-
-
-_OUTCOMES = """
-x AS (SELECT conv_id, turn, role, text AS v, lead(text) OVER w AS f, lead(text, 2) OVER w AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-s AS (SELECT conv_id, turn, role, list_sort(list_distinct(regexp_extract_all(v, '[a-z]+'))) AS v, list_sort(list_distinct(regexp_extract_all(f, '[a-z]+'))) AS f, list_sort(list_distinct(regexp_extract_all(p, '[a-z]+'))) AS p FROM x WHERE p IS NOT NULL),
-d AS (SELECT *, list_filter(f, lambda z: NOT list_contains(v, z)) AS added, list_filter(v, lambda z: NOT list_contains(f, z)) AS removed FROM s),
-o AS (SELECT conv_id, turn, role, CASE WHEN p = v THEN 'unchanged' WHEN p = f THEN 'exact' WHEN len(list_filter(added, lambda z: NOT list_contains(p, z))) = 0 AND len(list_intersect(removed, p)) = 0 THEN 'covers_delta'
-  WHEN len(list_intersect(added, p)) > 0 THEN 'partial' ELSE 'wrong_place' END AS reason FROM d)"""
-
-
-@query(f"WITH {_OUTCOMES} SELECT conv_id, turn, reason FROM o")
-def oracle_verdict(spark, sf_dir):
-    return _outcomes(Tables(spark, sf_dir)).select("conv_id", "turn", "reason")
-
-
-@query(f"""WITH {_OUTCOMES} SELECT role, count(*) AS n, count(*) FILTER (reason = 'exact') AS exact, count(*) FILTER (reason = 'covers_delta') AS covers_delta, count(*) FILTER (reason = 'partial') AS partial,
-count(*) FILTER (reason = 'unchanged') AS unchanged, count(*) FILTER (reason = 'wrong_place') AS wrong_place FROM o GROUP BY role""")
-def outcome_shares(spark, sf_dir):
-    kinds = ("exact", "covers_delta", "partial", "unchanged", "wrong_place")
-    return _outcomes(Tables(spark, sf_dir)).groupBy("role").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("reason") == k).alias(k) for k in kinds))
-
-
 @query("""
-WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS a, list_distinct(regexp_extract_all(lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)), '[a-z]+')) AS b, role FROM conversations),
-c AS (SELECT role, sum(len(list_intersect(a, b)))::DOUBLE AS tp, sum(len(a)) AS na, sum(len(b)) AS nb FROM w WHERE b IS NOT NULL GROUP BY role)
-SELECT role, round(tp / na, 6) AS precision, round(tp / nb, 6) AS recall, round(2 * tp / (na + nb), 6) AS f1 FROM c""")
-def line_evidence(spark, sf_dir):
-    """Micro-averaged precision, recall and F1 of one set against the next."""
-    w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    roles = Tables(spark, sf_dir).conversations.select("conv_id", "turn", "role")
-    p = _turn_pairs(Tables(spark, sf_dir)).select("conv_id", "turn", w("a").alias("a"), w("b").alias("b")).join(roles, ["conv_id", "turn"])
-    c = p.groupBy("role").agg(F.sum(F.size(F.array_intersect("a", "b"))).alias("tp"), F.sum(F.size("a")).alias("na"), F.sum(F.size("b")).alias("nb"))
-    precision, recall, f1 = stats.prf(F.col("tp"), F.col("na") - F.col("tp"), F.col("nb") - F.col("tp"))
-    return c.select("role", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1, 6).alias("f1"))
-
-
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS cost FROM lineitem WHERE l_quantity > 45 AND l_suppkey % 10 = l_linenumber),
-r(start, node, depth, step) AS (SELECT DISTINCT s_suppkey, s_suppkey, 0, 0 FROM supplier UNION SELECT start, dst, depth + cost, step + 1 FROM r JOIN e ON node = src WHERE depth + cost <= 2 AND step < 2)
+WITH RECURSIVE e AS (SELECT k AS src, k + 1 AS dst, 0 AS cost FROM (SELECT p_partkey AS k, p_size FROM part) WHERE p_size > 20 UNION SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_size % 2 = 1 UNION SELECT p_partkey, p_partkey - 1, 0 FROM part WHERE p_size > 40),
+r(start, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT start, dst, depth + cost FROM r JOIN e ON node = src WHERE depth + cost <= 3)
 SELECT start, node, min(depth) AS depth FROM r GROUP BY ALL""")
 def graph_closure(spark, sf_dir):
-    """Nodes within two steps along weighted links, by two frontier joins."""
-    t = Tables(spark, sf_dir)
-    links = t.lineitem.where("l_quantity > 45 and l_suppkey % 10 = l_linenumber")
-    edges = links.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("cost")).distinct()
-    return graphs.closure(t.supplier.select(F.col("s_suppkey").alias("start")), edges, 2)
+    """Nodes that each part reaches over links at its depth, back links among them, and links that go one deeper, to depth 3."""
+    k, part = F.col("p_partkey"), Tables(spark, sf_dir).part
+    links = ((part.where("p_size > 20"), k + 1, 0), (part.where("p_size % 2 = 1"), F.floor(k / 2), 1), (part.where("p_size > 40"), k - 1, 0))
+    edges = None
+    for rows, dst, cost in links:
+        one = rows.select(k.alias("src"), dst.alias("dst"), F.lit(cost).alias("cost"))
+        edges = one if edges is None else edges.unionByName(one)
+    return graphs.closure(part.select(k.alias("start")), edges.distinct(), 3)
 
 
 @query("""
@@ -216,18 +143,6 @@ def first_write_wins(spark, sf_dir):
     return old.unionByName(new.join(old.select("k"), "k", "left_anti"))
 
 
-@query("""
-WITH u AS (SELECT user_id, coalesce(sum((value > 100)::INT) FILTER (event_type = 'click'), 0) AS x, coalesce(sum((value > 100)::INT) FILTER (event_type = 'view'), 0) AS y FROM events GROUP BY user_id),
-s AS (SELECT user_id % 4 AS g, count(*) AS n, avg(x) AS mx, avg(y) AS my, count(*) FILTER (x > y) AS better, count(*) FILTER (x < y) AS worse FROM u GROUP BY 1)
-SELECT g, n, round(mx, 6) AS mx, round(my, 6) AS my, better, worse FROM s""")
-def localisation_t6(spark, sf_dir):
-    """Unit sums over repeats of two arms, and how many units are better or worse."""
-    hit = lambda k: F.coalesce(F.sum(F.when(F.col("event_type") == k, (F.col("value") > 100).cast("int"))), F.lit(0))
-    u = Tables(spark, sf_dir).events.groupBy("user_id").agg(hit("click").alias("x"), hit("view").alias("y"))
-    return u.groupBy((F.col("user_id") % 4).alias("g")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mx"), F.round(F.avg("y"), 6).alias("my"), F.count_if(F.col("x") > F.col("y")).alias("better"), F.count_if(F.col("x") < F.col("y")).alias("worse"))
-
-
 @query("""
 WITH s AS (SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('e4-' || doc_id), doc_id) <= 20),
 r AS (SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS k, avg((quality = 1)::INT) AS rate, avg(((quality = 1) = (toxic = 0))::INT) AS agree FROM s GROUP BY lang),
@@ -245,18 +160,6 @@ def rater_audit(spark, sf_dir):
     return both.select("lang", "n", "k", F.round("rate", 6).alias("rate"), F.round("agree", 6).alias("agreement"), F.round(F.col("pool") * F.col("rate") / F.col("all"), 6).alias("share"))
 
 
-@query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), h AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 2 THEN 0 ELSE 1 END AS new FROM l WHERE length(line) < 40),
-a AS (SELECT doc_id, count(*) AS touched, sum(new)::BIGINT AS hunks, min(i) AS first_line FROM h GROUP BY doc_id)
-SELECT CASE WHEN hunks = 1 AND touched = 1 THEN 'single' WHEN hunks = 1 THEN 'block' ELSE 'scattered' END AS kind, count(*) AS n, round(avg(touched), 6) AS lines, round(avg(hunks), 6) AS hunks FROM a GROUP BY 1""")
-def anatomy(spark, sf_dir):
-    """What kind of edit the short lines of each text would make, by runs and size."""
-    rows = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.length("line") < 40)
-    a = W.islands(rows.select("doc_id", "i"), ["doc_id"], "i", 2, "h").groupBy("doc_id").agg(F.count(F.lit(1)).alias("touched"), F.max("h").alias("hunks"))
-    kind = F.when((F.col("hunks") == 1) & (F.col("touched") == 1), "single").when(F.col("hunks") == 1, "block").otherwise("scattered")
-    return a.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("touched"), 6).alias("lines"), F.round(F.avg("hunks"), 6).alias("hunks"))
-
-
 @query("""
 WITH f AS (SELECT conv_id, bool_or(contains(text, 'the')) FILTER (role = 'user') AS a, bool_or(contains(text, 'the')) FILTER (role = 'assistant') AS b FROM conversations GROUP BY conv_id)
 SELECT count(*) AS n, count(*) FILTER (a AND NOT b) AS correct, count(*) FILTER (a AND b) AS both, count(*) FILTER (NOT a AND NOT b) AS neither, count(*) FILTER (NOT a AND b) AS reversed FROM f WHERE a IS NOT NULL AND b IS NOT NULL""")
@@ -268,14 +171,3 @@ def pairwise_t3(spark, sf_dir):
     return f.agg(F.count(F.lit(1)).alias("n"), F.count_if(a & ~b).alias("correct"), F.count_if(a & b).alias("both"), F.count_if(~a & ~b).alias("neither"), F.count_if(~a & b).alias("reversed"))
 
 
-@query("""
-WITH c AS (SELECT doc_id, 'good' AS candidate, text AS p, text AS f, true AS truth FROM documents UNION ALL SELECT doc_id, 'upper', upper(text), text, false FROM documents UNION ALL SELECT doc_id, 'cut', substr(text, 1, length(text) // 2), text, false FROM documents),
-v AS (SELECT *, p = f AS accepted FROM c)
-SELECT candidate, count(*) FILTER (truth AND accepted) AS tp, count(*) FILTER (NOT truth AND accepted) AS fp, count(*) FILTER (NOT truth AND NOT accepted) AS tn, count(*) FILTER (truth AND NOT accepted) AS fn FROM v GROUP BY candidate""")
-def oracle_calibration(spark, sf_dir):
-    """One good and two known bad candidates for each text, judged and counted."""
-    docs = Tables(spark, sf_dir).documents
-    half = F.expr("substring(text, 1, int(length(text) / 2))")
-    made = F.array(*(F.struct(F.lit(n).alias("candidate"), p.alias("p"), F.lit(t).alias("truth")) for n, p, t in (("good", F.col("text"), True), ("upper", F.upper("text"), False), ("cut", half, False))))
-    v = docs.select(F.inline(made), "text")
-    return A.confusion(v, ["candidate"], F.col("truth"), F.col("p") == F.col("text"))

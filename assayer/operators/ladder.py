@@ -25,14 +25,3 @@ def summary(runs: DataFrame, arm: list[str], budget: int = 5) -> DataFrame:
     return runs.groupBy(*arm).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("validated").alias("k"), F.avg(F.col("validated").cast("int")).alias("vpr"),
         F.coalesce(F.avg(F.when(F.col("validated"), F.col("iterations"))), F.lit(float(budget))).alias("iterations"))
-
-
-def verdict(vulnerable: Column, fixed: Column, patch: Column, statements) -> Column:
-    """Why a patch is accepted or not: its statements must change and cover the official additions and removals.
-
-    ``statements`` maps a text column to its array of normalised statements.
-    """
-    v, f, p = statements(vulnerable), statements(fixed), statements(patch)
-    added, removed = F.array_except(f, v), F.array_except(v, f)
-    covers = (F.size(F.array_except(added, p)) == 0) & (F.size(F.array_intersect(removed, p)) == 0)
-    return F.when(p == v, "unchanged").when(p == f, "exact").when(covers, "covers_delta").when(F.size(F.array_intersect(added, p)) > 0, "partial").otherwise("wrong_place")

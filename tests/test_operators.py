@@ -68,9 +68,12 @@ def test_quota(spark):
 
 
 def test_closure(spark):
-    edges = spark.createDataFrame([(1, 2, 0), (2, 3, 1), (3, 4, 1), (4, 5, 1), (2, 1, 0)], "src int, dst int, cost int")
-    got = graphs.closure(spark.createDataFrame([(1,)], "start int"), edges, 2).collect()
-    assert {r.node: r.depth for r in got} == {1: 0, 2: 0, 3: 1}
+    """Links at one depth are followed to their end; a later way that is less deep counts."""
+    chain = [(k, k + 1, 0) for k in range(1, 9)] + [(9, 1, 0), (9, 20, 1), (20, 21, 1), (21, 22, 1), (1, 22, 1), (22, 23, 1), (23, 24, 0)]
+    edges = spark.createDataFrame(chain, "src int, dst int, cost int")
+    got = {(r.start, r.node): r.depth for r in graphs.closure(spark.createDataFrame([(1,), (23,)], "start int"), edges, 2).collect()}
+    want = {(1, k): 0 for k in range(1, 10)} | {(1, 20): 1, (1, 21): 2, (1, 22): 1, (1, 23): 2, (1, 24): 2, (23, 23): 0, (23, 24): 0}
+    assert got == want
 
 
 def test_replay(spark):
@@ -94,20 +97,30 @@ def test_balance_and_lines(spark):
     assert spark.range(1).select(X.lines(F.lit("a\nb\n"))).first()[0] == ["a", "b"]
 
 
-def test_diff_helpers():
+def test_changed_lines_and_anchors():
+    """An insertion counts as the line before it, at the start as line 0."""
     assert D.changed_lines("a\nb\nc", "a\nx\nc") == [1]
+    assert D.changed_lines("a\nb\nc", "a\nX\nb\nc") == [0]
+    assert D.changed_lines("a\nb\nc", "a\nb\nX\nc") == [1]
+    assert D.changed_lines("a\nb\nc", "X\na\nb\nc") == [0]
     assert D.changed_lines("a\nb", "a\nb\nc") == [1]
-    assert D.changed_lines("a", "a") == [] and D.changed_lines(None, None) == []
-    assert D.edit_lines("a\nb", "a\nc\nd") == (1, 2)
-    assert D.apply_patch("a\nb\nc", "a\nx\nc", "q\na\nb\nc") == (True, "q\na\nx\nc")
-    assert D.apply_patch("a\nb\nc", "a\nx\nc", "q\nz") == (False, None)
+    assert D.changed_lines("a\nb\nc\nd", "a\nd") == [1, 2]
+    assert D.changed_lines("  a\nb", "a\n\tb") == []
+    assert D.changed_lines("a", "a") == [] and D.changed_lines(None, None) == [] and D.changed_lines("", "a") == [0]
+    assert D.edit_size("a\nb", "a\nc\nd") == 3 and D.edit_size("x\nx\ny", "x\ny") == 1
 
 
-def test_variant_certifies():
-    source = "int value = count + value;\n  return value;"
-    changed, names = D.variant(source, 3)
-    assert changed != source and D.certify(source, changed, names)
-    assert not D.certify(source, changed.replace("+", "-"), names)
+def test_apply_patch():
+    assert D.apply_patch("a\nb\nc", "a\nx\nc", "q\nb\nc") == (True, "q\nx\nc")
+    assert D.apply_patch("a\nb\nc", "a\nx\nc", "q\nz") == (False, None)
+    # The first match counts, and blanks around lines do not.
+    assert D.apply_patch("a\nb\nc", "a\nx\nc", "q\n  b\nz\nb") == (True, "q\nx\nz\nb")
+    # An insertion follows the line before it; at the start it has no context.
+    assert D.apply_patch("a\nb", "a\nn\nb", "a\nq\nb") == (True, "a\nn\nq\nb")
+    assert D.apply_patch("a\nb", "n\na\nb", "a\nb") == (False, None)
+    # A second place is looked for after the first.
+    assert D.apply_patch("a\nb\nc\nd", "x\nb\nc\ny", "d\na\nk\nd") == (True, "d\nx\nk\ny")
+    assert D.apply_patch("a\nb\nc\nd", "x\nb\nc\ny", "d\na\nk") == (False, None)
 
 
 def test_functions_of():
