@@ -19,6 +19,8 @@ from assayer.operators.joins import small
 ORDER = 5
 #: Texts are taken together up to so many bytes, and ask for each of their n-grams once; a longer text is alone.
 BLOCK_BYTES = 16 << 20
+#: Of the compression of blocks that travel.
+LEVEL = 6
 #: Share of trusted documents, by language, whose perplexity is accepted.
 QUANTILE = 0.99
 #: Perplexities are binned to this step of their logarithm for the quantiles.
@@ -88,9 +90,10 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     names = rows.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=LEVEL)
         for chunk, columns in _numbered(batches, size):
             whole = [pa.ListArray.from_arrays(pa.array([0, chunk.rows], pa.int32()), c) for c in columns[1:]]
-            data = pa.compress(chunk.data.tobytes(), codec="zstd", asbytes=True)
+            data = codec.compress(chunk.data.tobytes(), asbytes=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([columns[0]]), *whole, pa.array([data], pa.binary()), pa.array([np.diff(chunk.offsets)], pa.list_(pa.int64()))], ["block", *names, "data", "sizes"]
             )
