@@ -14,8 +14,6 @@ from assayer.llm import vec
 from assayer.llm.shared import Scratch
 
 SIMILARITY = 0.8
-#: Lines of fewer different words, such as headings and list marks, are left alone.
-MIN_WORDS = 5
 #: Words are counted by the top bits of their code; the order by these counts need only be the same everywhere.
 COUNT_BITS = 16
 _CODE_BITS = 44
@@ -35,7 +33,7 @@ _TABLE = vec.byte_class("all but blanks")
 
 @dataclass
 class Lines:
-    """The lines of a chunk with enough words: their distinct words lie at ``first`` to ``first + n`` of ``codes``."""
+    """The lines of a chunk that have words: their distinct words lie at ``first`` to ``first + n`` of ``codes``."""
 
     row: np.ndarray
     line: np.ndarray
@@ -69,15 +67,14 @@ def _lines(chunk: vec.Chunk, rank: np.ndarray | None = None, back: np.ndarray |
     line_s, codes = line_s[new], codes[new]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(line_s)), bool), line_s[1:] != line_s[:-1]]))
     n = np.diff(np.append(first, len(line_s)))
-    long = n >= MIN_WORDS
     plain = codes if back is None else (back[codes >> _LOW] << _LOW) | (codes & np.uint64((1 << int(_LOW)) - 1))
     sums = [np.zeros(0, np.uint64)] * 2
     if len(first):
         one = vec.mix(plain + np.uint64(1))
-        sums = [vec.mix(np.add.reduceat(x, first))[long] for x in (one, vec.mix(one ^ np.uint64(0x5851F42D4C957F2D)))]
-    which = line_s[first][long]
+        sums = [vec.mix(np.add.reduceat(x, first)) for x in (one, vec.mix(one ^ np.uint64(0x5851F42D4C957F2D)))]
+    which = line_s[first]
     row = np.searchsorted(base, which, "right") - 1
-    return Lines(row, which - base[row], first[long], n[long], codes, *sums)
+    return Lines(row, which - base[row], first, n, codes, *sums)
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
@@ -170,7 +167,8 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, rank: np.ndarray, bac
                 pad = np.zeros(1, np.uint64)
                 bits = [np.bitwise_xor.reduceat(np.concatenate([np.where(side == s, bit, np.uint64(0)), pad]), spans)[::2] for s in (np.uint64(0), np.uint64(1))]
                 n = got.n[one]
-                size = n - _ceil(t * n) + 1
+                # So few words have no similar set but their own: one word more or less is too far.
+                size = np.where(n * (1 - t) < t - 1e-9, 0, n - _ceil(t * n) + 1)
                 line = np.repeat(one, size)
                 place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
                 meta = (got.n[line] << 40) | (np.minimum(place, _MOST) << 20) | np.minimum(got.line[line], _MOST)
@@ -387,7 +385,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A line is the text between line feeds, its set the different words between ASCII blanks with A-Z
     lower-cased.  A line goes when an earlier line, by document id and line number, has a set with a
     Jaccard similarity of ``similarity`` or more; whether that one goes itself does not matter.  Lines of
-    fewer than five different words stay.
+    few words, as in scripts without blanks, go as exact copies; blank lines stay.
 
     Integer ids give the order of documents, other ids by a hash; beyond a million lines of one document a
     hash orders the further ones.
@@ -395,7 +393,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal sets are merged first.  Each different set posts its rarest words, as many as the prefix
     filter needs; sets that meet at a word pass the length and position filters and a bitmap bound on
     the symmetric difference, and the Jaccard similarity of the rest is computed from their whole sets.
-    Words are 44-bit codes and sets have 128-bit keys, so equality is as sure as those hashes.
+    Words are 44-bit codes; copies are grouped by 128-bit keys and pairs named by the first 64 of these bits, so
+    equality is as sure as those hashes.
 
     Null and empty texts lose nothing; repeated rows of one id are one document; a null id comes first.
     """
@@ -419,9 +418,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document whose every non-blank line was removed is dropped; one that was blank before stays.
     """
-    gone = later_matches(docs, id_col, text_col, similarity).select(F.col("id").alias("__id"), F.col("removed").alias("__removed"))
-    met = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
-    left = F.filter(F.split(F.col(text_col), "\n"), lambda line, k: ~F.array_contains("__removed", k))
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    free = (f"gone_{k}" for k in range(len(docs.columns) + 2) if f"gone_{k}" not in docs.columns)
+    own, removed = next(free), next(free)
+    gone = later_matches(docs, id_col, text_col, similarity).select(F.col("id").alias(own), F.col("removed").alias(removed))
+    met = docs.join(gone, docs[id_col].eqNullSafe(gone[own]), "left")
+    left = F.filter(F.split(F.col(text_col), "\n"), lambda line, k: ~F.array_contains(removed, k))
+    text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     met = met.withColumn(text_col, text)
-    return met.where(F.col("__removed").isNull() | (F.trim(F.regexp_replace(F.col(text_col), r"[\x09-\x0D]", " ")) != "")).select(docs.columns)
+    return met.where(F.col(removed).isNull() | (F.trim(F.regexp_replace(F.col(text_col), r"[\x09-\x0D]", " ")) != "")).select(docs.columns)

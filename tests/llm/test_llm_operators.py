@@ -198,7 +198,7 @@ def removed_lines(texts, t):
     for k, text in enumerate(texts):
         for i, line in enumerate((text or "").encode().lower().split(b"\n")):
             s = frozenset(line.split())
-            if len(s) >= 5:
+            if s:
                 occurrences.append((k, i, s))
                 first.setdefault(s, (k, i))
     late = {s for s in first for o in first if o != s and first[o] < first[s] and len(s & o) >= t * len(s | o) - 1e-9}
