@@ -32,12 +32,44 @@ def log_choose_half(n: Column, k: Column) -> Column:
 
 
 def binomial_two_sided(b: Column, c: Column) -> Column:
-    """Exact two-sided p of b against c at one half (McNemar's exact test); 1 for none."""
+    """Exact two-sided p of b against c at one half (McNemar's exact test); 1 for none.
+
+    The largest term of the tail comes from logarithms, each smaller one from the term before it.
+    """
     n, m = (b + c).cast("long"), F.least(b, c).cast("long")
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), m), _d(0), lambda acc, k: acc + F.exp(log_choose_half(n, k)))
+    start = F.exp(log_choose_half(n, m))
+    down = F.when(m > 0, F.sequence(m, F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+    def step(acc: Column, k: Column) -> Column:
+        term = acc["term"] * k / (n - k + 1)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    tail = F.aggregate(down, F.struct(start.alias("term"), start.alias("total")), step)["total"]
     return F.when((n == 0) | (b == c), _d(1)).otherwise(F.least(_d(1), 2 * tail))
 
 
+def t_share(t: float, nu: int) -> float:
+    """The probability that Student's t with ``nu`` degrees of freedom lies within plus or minus ``t``."""
+    angle = math.atan(t / math.sqrt(nu))
+    sine, square = math.sin(angle), math.cos(angle) ** 2
+    term, total = 1.0, 0.0
+    for k in range(1 + nu % 2, nu, 2):  # odd numbers for even degrees, and the other way round
+        total += term
+        term *= square * k / (k + 1)
+    if nu % 2 == 0:
+        return sine * total
+    return 2 / math.pi * (angle + (sine * math.cos(angle) * total if nu > 1 else 0.0))
+
+
+def t_quantile(share: float, nu: int) -> float:
+    """The bound within which that share of Student's t lies, by bisection."""
+    low, high = 0.0, 1e4
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_share(middle, nu) < share else (low, middle)
+    return (low + high) / 2
+
+
 def mcc(tp: Column, fp: Column, tn: Column, fn: Column) -> Column:
     """Matthews correlation; 0 where a row or column of the table is empty."""
     tp, fp, tn, fn = map(_d, (tp, fp, tn, fn))
@@ -94,35 +126,67 @@ def chi2_sf(x: float, df: int) -> float:
     return min(1.0, total)
 
 
-def wilcoxon_exact(n: int, w: float) -> float:
-    """Two-sided p of the smaller signed-rank sum under the tie-free null; half ranks round to the centre."""
+def wilcoxon_exact(n: int, w: float, greater: bool = False) -> float:
+    """p of the signed-rank sum under the tie-free null; half ranks round to the centre.
+
+    Two-sided by the smaller sum, or that of a sum of positive ranks as large as ``w`` or larger.
+    """
     if n == 0:
         return 1.0
     ways = [1] + [0] * (n * (n + 1) // 2)
     for r in range(1, n + 1):
         for s in range(len(ways) - 1, r - 1, -1):
             ways[s] += ways[s - r]
+    if greater:
+        return min(1.0, sum(ways[math.floor(w) :]) / 2**n)
     low = min(w, n * (n + 1) / 2 - w)
     return min(1.0, 2 * sum(ways[: math.ceil(low) + 1]) / 2**n)
 
 
-def wilcoxon_normal(n: int, w: float, ties: float = 0.0, correction: bool = False) -> float:
-    """Two-sided p by the normal approximation; ``ties`` is the sum of t^3 - t over tied groups."""
+def normal_upper(z: float) -> float:
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def wilcoxon_normal(n: int, w: float, ties: float = 0.0, correction: bool = False, greater: bool = False) -> float:
+    """p by the normal approximation; ``ties`` is the sum of t^3 - t over tied groups."""
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     if var <= 0:
         return 1.0
-    d = abs(w - mean) - (0.5 if correction else 0.0)
-    return normal_two_sided(max(d, 0.0) / math.sqrt(var))
+    shift = 0.5 if correction else 0.0
+    if greater:
+        return normal_upper((w - mean - shift) / math.sqrt(var))
+    return normal_two_sided(max(abs(w - mean) - shift, 0.0) / math.sqrt(var))
+
+
+def mann_whitney_ways(n1: int, n2: int) -> list[int]:
+    """In how many ways two samples without ties can have each U, from 0 to n1 * n2."""
+    ways = [1] + [0] * (n1 * n2)
+    for k in range(1, n1 + 1):
+        for u in range(len(ways) - 1, n2 + k - 1, -1):
+            ways[u] -= ways[u - n2 - k]
+        for u in range(k, len(ways)):
+            ways[u] += ways[u - k]
+    return ways
+
 
+def mann_whitney_p(u: float, n1: int, n2: int, ties: float = 0.0, greater: bool = False) -> float:
+    """p of the rank-sum test; two-sided, or that the first sample is greater.
 
-def mann_whitney_p(u: float, n1: int, n2: int, ties: float = 0.0) -> float:
-    """Two-sided p by the normal approximation with continuity and tie correction."""
+    Exact without ties where a sample has eight values or fewer (and the other so few that n1 * n2 is 10,000 at most,
+    beyond which the difference is lost), else normal with continuity and tie correction.
+    """
     n = n1 + n2
     if not n1 or not n2 or n < 2:
         return 1.0
+    if not ties and min(n1, n2) <= 8 and n1 * n2 <= 10_000:
+        ways = mann_whitney_ways(n1, n2)
+        top = u if greater else max(u, n1 * n2 - u)
+        return min(1.0, (1 if greater else 2) * sum(ways[math.ceil(top) :]) / sum(ways))
     var = n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))
     if var <= 0:
         return 1.0
+    if greater:
+        return normal_upper((u - n1 * n2 / 2 - 0.5) / math.sqrt(var))
     return min(1.0, normal_two_sided(max(abs(u - n1 * n2 / 2) - 0.5, 0.0) / math.sqrt(var)))
 
 

@@ -11,6 +11,7 @@ from assayer.functions import stats
 from assayer.jobs.base import Tables, query
 from assayer.operators import sampling
 from assayer.operators import tests as T
+from assayer.operators.windows import holm
 
 
 def _r(c, n=6):
@@ -293,16 +294,18 @@ def min_detectable(spark, sf_dir):
     return n.select(_r(2.801585218 * math.sqrt(2) * F.sqrt(F.lit(0.25) / F.col("n"))).alias("mde"), "n")
 
 
-@query("""
-SELECT l_returnflag, count(*) AS n, round(avg(l_discount), 6) AS mean, round(avg(l_discount) - 1.959963985::DOUBLE * stddev_samp(l_discount) / sqrt(count(*)), 6) AS lo FROM lineitem GROUP BY l_returnflag""")
+_T95 = {n: round(stats.t_quantile(0.95, n - 1), 9) for n in range(2, 30)}
+
+
+@query(f"""
+WITH t(n, q) AS (VALUES {", ".join(f"({n}, {q}::DOUBLE)" for n, q in _T95.items())}), g AS (SELECT p_brand, p_size, count(*) AS n, avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s FROM part GROUP BY ALL)
+SELECT p_brand, p_size, g.n, round(m, 6) AS mean, round(m - CASE WHEN g.n < 30 THEN q ELSE 1.959963985::DOUBLE END * s / sqrt(g.n), 6) AS lo, round(m + CASE WHEN g.n < 30 THEN q ELSE 1.959963985::DOUBLE END * s / sqrt(g.n), 6) AS hi FROM g LEFT JOIN t ON t.n = g.n""")
 def t_interval(spark, sf_dir):
-    """Intervals of a mean: Student's for few rows, the normal limit for many."""
-    g = Tables(spark, sf_dir).lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("m"), F.stddev_samp("l_discount").alias("s"))
-    nu = (F.col("n") - 1).cast("double")
-    z = 1.959963985
-    # Cornish-Fisher expansion of the quantile in 1/nu; negligible beyond a few hundred rows.
-    q = F.when(F.col("n") < 30, z + (z**3 + z) / (4 * nu) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * nu * nu)).otherwise(z)
-    return g.select("l_returnflag", "n", _r(F.col("m")).alias("mean"), _r(F.col("m") - q * F.col("s") / F.sqrt("n")).alias("lo"))
+    """Intervals of a mean: Student's quantile under 30 rows, the normal one from there, none for a single row."""
+    g = Tables(spark, sf_dir).part.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"), F.avg("p_retailprice").alias("m"), F.stddev_samp("p_retailprice").alias("s"))
+    small = F.element_at(F.array(*(F.lit(q) for q in (None, *_T95.values()))).cast("array<double>"), F.least(F.col("n"), F.lit(29)).cast("int"))
+    half = F.when(F.col("n") < 30, small).otherwise(1.959963985) * F.col("s") / F.sqrt("n")
+    return g.select("p_brand", "p_size", "n", _r(F.col("m")).alias("mean"), _r(F.col("m") - half).alias("lo"), _r(F.col("m") + half).alias("hi"))
 
 
 @query("""
@@ -312,3 +315,67 @@ def median_difference(spark, sf_dir):
     even = F.col("user_id") % 2 == 0
     e = Tables(spark, sf_dir).events
     return e.groupBy("event_type").agg(_r(F.percentile(F.when(even, F.col("value")), 0.5) - F.percentile(F.when(~even, F.col("value")), 0.5)).alias("d"))
+
+
+@query("WITH u AS (SELECT event_type || '-' || (user_id % 2) AS g, round(avg(value), 2) AS v FROM events GROUP BY event_type, user_id)," + _DRAWS.format(seed="b5", draws=100).replace("avg(v) AS mean", "median(v) AS mean") + """,
+d AS (SELECT split_part(g, '-', 1) AS event_type, b, max(mean) FILTER (g LIKE '%-0') - max(mean) FILTER (g LIKE '%-1') AS d FROM s GROUP BY ALL),
+pt AS (SELECT split_part(g, '-', 1) AS event_type, median(v) FILTER (g LIKE '%-0') - median(v) FILTER (g LIKE '%-1') AS estimate FROM u GROUP BY 1)
+SELECT event_type, round(estimate, 6) AS estimate, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi FROM d JOIN pt USING (event_type) GROUP BY event_type, estimate""")
+def median_boot(spark, sf_dir):
+    """Bootstrap interval of the difference of two independent samples' medians, each resampled by itself."""
+    u = Tables(spark, sf_dir).events.groupBy("event_type", "user_id").agg(F.round(F.avg("value"), 2).alias("v"))
+    u = u.select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 2).cast("string")).alias("g"), "v")
+    kind, even, odd = F.substring_index("g", "-", 1).alias("event_type"), F.col("g").endswith("-0"), F.col("g").endswith("-1")
+    draws = T.bootstrap(u, ["g"], "v", 100, "b5", F.percentile("v", 0.5))
+    d = draws.groupBy(kind, "draw").agg((F.max(F.when(even, F.col("mean"))) - F.max(F.when(odd, F.col("mean")))).alias("mean"))
+    p = u.groupBy(kind).agg((F.percentile(F.when(even, F.col("v")), 0.5) - F.percentile(F.when(odd, F.col("v")), 0.5)).alias("estimate"))
+    return p.join(T.interval(d, ["event_type"]), "event_type").select("event_type", _r(F.col("estimate")).alias("estimate"), _r(F.col("lo")).alias("lo"), _r(F.col("hi")).alias("hi"))
+
+
+_DID_UNITS = """u AS (SELECT (user_id % 5) || '-' || (user_id % 3 = 0)::INT AS g, round(avg(value) FILTER (event_type = 'purchase') - avg(value) FILTER (event_type = 'click'), 2) AS v FROM events GROUP BY user_id HAVING v IS NOT NULL)"""
+
+
+def _did_units(t):
+    """Each unit's change, by detector and whether it was unseen, as ``g``."""
+    a = _pre_post(t).where("pre is not null and post is not null")
+    return a.select(F.concat((F.col("user_id") % 5).cast("string"), F.lit("-"), F.col("unseen").cast("int").cast("string")).alias("g"), F.round(F.col("post") - F.col("pre"), 2).alias("v"))
+
+
+@query(f"WITH {_DID_UNITS}," + _DRAWS.format(seed="b6", draws=100) + """,
+d AS (SELECT split_part(g, '-', 1) AS detector, b, max(mean) FILTER (g LIKE '%-0') - max(mean) FILTER (g LIKE '%-1') AS d FROM s GROUP BY ALL),
+pt AS (SELECT split_part(g, '-', 1) AS detector, avg(v) FILTER (g LIKE '%-0') - avg(v) FILTER (g LIKE '%-1') AS did, count(*) AS n FROM u GROUP BY 1)
+SELECT detector, n, round(did, 6) AS did, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS clear FROM d JOIN pt USING (detector) GROUP BY detector, n, did""")
+def did_report(spark, sf_dir):
+    """Difference in differences of each detector with its bootstrap interval."""
+    u = _did_units(Tables(spark, sf_dir))
+    name, seen, unseen = F.substring_index("g", "-", 1).alias("detector"), F.col("g").endswith("-0"), F.col("g").endswith("-1")
+    d = T.bootstrap_means(u, ["g"], "v", 100, "b6").groupBy(name, "draw").agg((F.max(F.when(seen, F.col("mean"))) - F.max(F.when(unseen, F.col("mean")))).alias("mean"))
+    p = u.groupBy(name).agg(F.count(F.lit(1)).alias("n"), (F.avg(F.when(seen, F.col("v"))) - F.avg(F.when(unseen, F.col("v")))).alias("did"))
+    lo, hi = F.col("lo"), F.col("hi")
+    return p.join(T.interval(d, ["detector"]), "detector").select("detector", "n", _r(F.col("did")).alias("did"), _r(lo).alias("lo"), _r(hi).alias("hi"), ((lo > 0) | (hi < 0)).alias("clear"))
+
+
+@query()
+def did_tests(spark, sf_dir):
+    """Rank test of each detector's changes on seen against unseen units, corrected over the detectors."""
+    u = _did_units(Tables(spark, sf_dir)).select(F.substring_index("g", "-", 1).alias("detector"), F.col("g").endswith("-0").alias("seen"), "v")
+    m = T.mann_whitney_test(u, ["detector"], "v", F.col("seen")).withColumn("family", F.lit("did"))
+    return holm(m, ["family"], "p", ["detector"], "p_holm").select("detector", "n1", "n2", "effect", "p", "p_holm")
+
+
+@query(_DIFFS.replace("WHERE d <> 0)", "WHERE d IS NOT NULL)").replace("d > 0 AS up", "d > 0 AS up, d < 0 AS down").replace("CASE WHEN up THEN 0 ELSE rk END", "CASE WHEN down THEN rk ELSE 0 END")
+       .replace("count(*) FILTER (up) AS k", "count(*) FILTER (up) AS k, count(*) FILTER (down) AS j")
+       + " SELECT g, n, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, round((k - j)::DOUBLE / n, 6) AS sign_r FROM w")
+def wilcoxon_zeros_kept(spark, sf_dir):
+    """Signed-rank sums where zeros take part in the ranking, and the difference of the signs' shares."""
+    w = T.signed_ranks(_differences(Tables(spark, sf_dir)), ["g"], "d", zeros="keep")
+    return w.select("g", "n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"), _r((F.col("better") - F.col("worse")) / F.col("n")).alias("sign_r"))
+
+
+@query()
+def one_sided_p(spark, sf_dir):
+    """One-sided p values, that the first is greater, of the signed-rank and the rank-sum test."""
+    t = Tables(spark, sf_dir)
+    w = T.wilcoxon(_differences(t), ["g"], "d", alternative="greater").select(F.lit("signed_rank").alias("test"), F.col("g").cast("string").alias("unit"), "p")
+    m = T.mann_whitney_test(_lengths(t), ["lang"], "n_chars", F.col("quality") == 1, alternative="greater").select(F.lit("rank_sum").alias("test"), F.col("lang").alias("unit"), "p")
+    return w.unionByName(m)

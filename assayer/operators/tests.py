@@ -3,32 +3,38 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import stats
+from assayer.operators.sampling import counter
 from assayer.operators.windows import holm, mid_ranks_by_count
 
 
-def signed_ranks(diffs: DataFrame, group: list[str], diff: str) -> DataFrame:
-    """``n`` non-zero differences, W+ and W-, the sum of t^3 - t over ties, and the rank-biserial ``r``."""
-    signs = diffs.where(F.col(diff) != 0).select(*group, F.abs(diff).alias("size"), (F.col(diff) > 0).cast("int").alias("up"))
-    ups = signs.groupBy(*group, "size").agg(F.sum("up").alias("ups"))
-    ranked = mid_ranks_by_count(signs, group, "size").join(ups, [*group, "size"])
+def signed_ranks(diffs: DataFrame, group: list[str], diff: str, zeros: str = "drop") -> DataFrame:
+    """``n`` differences, W+ and W-, the sum of t^3 - t over ties, how many are ``better`` and ``worse``, and ``r``.
+
+    ``r`` is the rank-biserial of the sums, ``sign_r`` that of the signs.  Zeros are dropped before the ranking, or
+    with "keep" take part in it and in ``n``, and count for neither side.
+    """
+    rows = diffs.where(F.col(diff).isNotNull() if zeros == "keep" else F.col(diff) != 0)
+    signs = rows.select(*group, F.abs(diff).alias("size"), (F.col(diff) > 0).cast("int").alias("up"), (F.col(diff) < 0).cast("int").alias("down"))
+    sides = signs.groupBy(*group, "size").agg(F.sum("up").alias("ups"), F.sum("down").alias("downs"))
+    ranked = mid_ranks_by_count(signs, group, "size").join(sides, [*group, "size"])
     out = ranked.groupBy(*group).agg(
-        F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("ups")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("ups"))).alias("w_minus"),
-        F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double").alias("ties"), F.sum("ups").alias("better"))
+        F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("ups")).alias("w_plus"), F.sum(F.col("rank") * F.col("downs")).alias("w_minus"),
+        F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double").alias("ties"), F.sum("ups").alias("better"), F.sum("downs").alias("worse"))
     total = F.col("w_plus") + F.col("w_minus")
-    return out.withColumn("r", (F.col("w_plus") - F.col("w_minus")) / total).withColumn("sign_r", (2 * F.col("better") - F.col("n")) / F.col("n").cast("double"))
+    return out.withColumn("r", (F.col("w_plus") - F.col("w_minus")) / total).withColumn("sign_r", (F.col("better") - F.col("worse")) / F.col("n").cast("double"))
 
 
-def wilcoxon(diffs: DataFrame, group: list[str], diff: str, exact_up_to: int = 50, correction: bool = False) -> DataFrame:
-    """Signed-rank test by group: exact up to so many non-zero differences, else normal."""
-    limit = exact_up_to
+def wilcoxon(diffs: DataFrame, group: list[str], diff: str, exact_up_to: int = 50, correction: bool = False, alternative: str = "two-sided") -> DataFrame:
+    """Signed-rank test by group: exact up to so many non-zero differences, else normal; two-sided, or that differences are "greater"."""
+    limit, upper = exact_up_to, alternative == "greater"
 
     @F.pandas_udf("double")
     def p(n: pd.Series, w: pd.Series, ties: pd.Series) -> pd.Series:
-        return pd.Series([stats.wilcoxon_exact(int(a), b) if a <= limit else stats.wilcoxon_normal(int(a), b, t, correction) for a, b, t in zip(n, w, ties)])
+        return pd.Series([stats.wilcoxon_exact(int(a), b, upper) if a <= limit else stats.wilcoxon_normal(int(a), b, t, correction, upper) for a, b, t in zip(n, w, ties)])
 
     return signed_ranks(diffs, group, diff).withColumn("p", p("n", "w_plus", "ties"))
 
@@ -46,10 +52,13 @@ def mann_whitney(df: DataFrame, group: list[str], value: str, first: Column) ->
     return out.withColumn("auc", auc).withColumn("effect", 2 * F.col("auc") - 1)
 
 
-def mann_whitney_test(df: DataFrame, group: list[str], value: str, first: Column) -> DataFrame:
+def mann_whitney_test(df: DataFrame, group: list[str], value: str, first: Column, alternative: str = "two-sided") -> DataFrame:
+    """Normal approximation with ties and continuity; two-sided, or that the first sample is "greater"."""
+    upper = alternative == "greater"
+
     @F.pandas_udf("double")
     def p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
-        return pd.Series([stats.mann_whitney_p(a, int(b), int(c), d) for a, b, c, d in zip(u, n1, n2, ties)])
+        return pd.Series([stats.mann_whitney_p(a, int(b), int(c), d, upper) for a, b, c, d in zip(u, n1, n2, ties)])
 
     return mann_whitney(df, group, value, first).withColumn("p", p("u", "n1", "n2", "ties"))
 
@@ -73,22 +82,22 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     return grid.agg(F.sum((F.coalesce("o", F.lit(0)) - e) ** 2 / e).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"), F.max("n").alias("n"))
 
 
-def bootstrap_means(units: DataFrame, group: list[str], value: str, draws: int, seed: str) -> DataFrame:
-    """``group``, ``draw`` and the resampled ``mean``.
+def bootstrap(units: DataFrame, group: list[str], value: str, draws: int, seed: str, statistic: Column) -> DataFrame:
+    """``group``, ``draw`` and the ``statistic`` of the resampled values, as ``mean``.
 
     The i-th member of draw b is the unit that a counter hash of (seed, b, i) picks, so any engine can
     repeat it.  Units of a group are few (they are aggregates); draws times units is what is joined.
     """
-    from pyspark.sql import Window
-
-    from assayer.operators.sampling import counter
-
     part = Window.partitionBy(*group)
     numbered = units.select(*group, value, (F.row_number().over(part.orderBy(value)) - 1).cast("bigint").alias("i"), F.count(F.lit(1)).over(part).alias("m"))
     picks = numbered.select(*group, "m", F.col("i").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     text = F.concat_ws("-", F.lit(seed), F.col("draw").cast("string"), F.col("at").cast("string"))
     picks = picks.select(*group, "draw", counter(text, F.col("m")).alias("i"))
-    return picks.join(numbered.select(*group, "i", value), [*group, "i"]).groupBy(*group, "draw").agg(F.avg(value).alias("mean"))
+    return picks.join(numbered.select(*group, "i", value), [*group, "i"]).groupBy(*group, "draw").agg(statistic.alias("mean"))
+
+
+def bootstrap_means(units: DataFrame, group: list[str], value: str, draws: int, seed: str) -> DataFrame:
+    return bootstrap(units, group, value, draws, seed, F.avg(value))
 
 
 def interval(means: DataFrame, group: list[str], alpha: float = 0.05) -> DataFrame:
@@ -105,7 +114,7 @@ def order_interval(means: DataFrame, group: list[str], low: int, high: int) -> D
 class Results:
     """Gathers test rows by name and writes one corrected table; a thin face of DataFrame unions."""
 
-    COLUMNS = "rq comparison metric test n estimate ci95_low ci95_high effect_size_name effect_size_value statistic p_raw".split()
+    COLUMNS = ("rq", "comparison", "metric", "test", "n", "estimate", "ci95_low", "ci95_high", "effect_size_name", "effect_size_value", "statistic", "p_raw")
 
     def __init__(self) -> None:
         self._rows: DataFrame | None = None

@@ -93,3 +93,46 @@ def test_results_correct_within_question(spark):
     b = spark.createDataFrame([("z", 0.5), ("w", float("nan"))], "comparison string, p_raw double")
     out = T.Results().add(a, rq="1", metric="m", test="t").add(b.where("comparison = 'z'"), rq="2", metric="m", test="t").finite()
     assert {r.comparison: r.p_corrected for r in out.collect()} == {"x": 0.02, "y": 0.04, "z": 0.5}
+
+
+def test_student_quantiles():
+    """Published values."""
+    known = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 7: 2.365, 10: 2.228, 29: 2.045, 120: 1.980}
+    assert {n: round(stats.t_quantile(0.95, n), 3) for n in known} == known
+    assert round(stats.t_quantile(0.99, 2), 3) == 9.925
+
+
+def test_rank_sum_exact_by_all_splits():
+    """All ways to split the ranks, two-sided and one-sided."""
+    import itertools
+
+    for n1, n2 in ((1, 1), (2, 3), (3, 4), (4, 4)):
+        us = [sum(c) - n1 * (n1 - 1) // 2 for c in itertools.combinations(range(n1 + n2), n1)]
+        assert [us.count(u) for u in range(n1 * n2 + 1)] == stats.mann_whitney_ways(n1, n2)
+        for u in range(n1 * n2 + 1):
+            assert stats.mann_whitney_p(u, n1, n2, greater=True) == pytest.approx(sum(x >= u for x in us) / len(us))
+            assert stats.mann_whitney_p(u, n1, n2) == pytest.approx(min(1, 2 * sum(x >= max(u, n1 * n2 - u) for x in us) / len(us)))
+
+
+def test_signed_rank_one_sided_by_all_signs():
+    import itertools
+
+    for n in (1, 3, 5):
+        sums = [sum(r for r, s in zip(range(1, n + 1), signs) if s) for signs in itertools.product((0, 1), repeat=n)]
+        for w in range(n * (n + 1) // 2 + 1):
+            assert stats.wilcoxon_exact(n, w, True) == pytest.approx(sum(x >= w for x in sums) / len(sums))
+    assert stats.wilcoxon_normal(60, 60 * 61 / 4, greater=True) == pytest.approx(0.5)
+
+
+def test_exact_binomial_of_many_discordants(spark):
+    """The recurrence gives the plain sums, also where powers of two underflow."""
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    cases = [(0, 0), (4, 0), (0, 4), (5, 5), (3, 11), (600, 700), (2000, 2100)]
+    df = spark.createDataFrame(cases, "b long, c long").select("b", "c", stats.binomial_two_sided(F.col("b"), F.col("c")).alias("p"))
+    for r in df.collect():
+        n, m = r.b + r.c, min(r.b, r.c)
+        plain = 1.0 if r.b == r.c else min(1.0, 2 * sum(comb(n, k) for k in range(m + 1)) / 2**n)
+        assert r.p == pytest.approx(plain, rel=1e-9)
