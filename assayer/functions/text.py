@@ -9,9 +9,26 @@ from pyspark.sql import functions as F
 CODE_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[^\sA-Za-z_]"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 SHINGLE_TOKEN = r"[A-Za-z_][A-Za-z_0-9]*|[0-9]+|\S"
-# Phrases that say what was remedied, and commit trailers.
-REMEDY = r"(?i)(fix(ed|es)?|patch(ed)?|add(ed|s)? (a )?check|validat\w*|sanitiz\w*|bounds? check)"
-TRAILER = r"(?i)^(signed-off-by|reviewed-by|acked-by|tested-by|cc|fixes|link|change-id):"
+# Phrases that say what was amiss, trailers of commit messages, and lines of differences.
+REMEDY = (
+    r"(?i)\b(missing|lack(s|ing)? of|lacks|without (a |any |proper(ly)? )?(check|valid|verif|bound|sanit|limit)|"
+    r"does not (properly |correctly |always )?(check|validat|verif|ensure|handle|sanitiz|limit|bound|free|release|"
+    r"initializ|restrict|reject|account|consider|enforce|clear|reset|lock|prevent|confirm|compare|detect|test)|"
+    r"doesn'?t (check|validat|verif|ensure|handle)|fail(s|ed|ing)? to|improper(ly)?|insufficient(ly)?|"
+    r"incorrect(ly)? (check|validat|verif|handl|comput|calculat|bound|limit|compar|account)|"
+    r"unchecked|unvalidated|unverified|unbounded|unsanitized|uninitiali[sz]ed|not (properly |correctly )?"
+    r"(checked|validated|verified|bounded|sanitized|initialized|handled|released|freed)|should (be |have )?|must (be )?|"
+    r"off[- ]by[- ]one|wrong (check|comparison|bound|length|size|sign|type|order)|"
+    r"mishandl|miscalculat|miscomput|forget(s)? to|neglect(s)? to|omit(s|ted)? )"
+)
+TRAILER = (
+    r"(?i)^((signed-off-by|reviewed-by|reviewed-on|tested-by|acked-by|cc|change-id|bug|fixes|link|"
+    r"reported-by|suggested-by|co-authored-by|closes|resolves|see-also|commit-queue|cr-commit-position|"
+    r"review url|bug-?id|tbr|r|notry|notreechecks|cq-include-trybots)\s*[:=]|"
+    r"(merged|merge) (from|revision|r\d)|\(cherry picked|\[\d+\.\d+(\.\d+)?\]\s*$)"
+)
+REFERENCE = r"^[A-Za-z-]+:\s*(https?://|\S+@\S+)"
+DIFF_LINE = r"^(\+|-|@@|```|diff |index |--- |\+\+\+ )|[;{}]$"
 
 
 def let(value: Column, body) -> Column:
@@ -95,11 +112,59 @@ def line_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def clean_message(text: Column, most: int = 1500) -> Column:
-    """Lines that are neither trailers nor diff lines, cut at a blank before ``most`` characters."""
-    kept = F.filter(lines(text), lambda s: ~s.rlike(TRAILER) & ~s.rlike(r"^(\+\+\+|---|@@|diff )"))
-    whole = strip(F.array_join(kept, "\n"))
-    return F.when(F.length(whole) <= most, whole).otherwise(F.regexp_replace(F.substring(whole, 1, most), r"\s\S*\z", ""))
+def clean_message(text: Column, added: Column, most: int = 1500) -> Column:
+    """Struct of a ``cleaned`` message, how many lines were removed as ``code``, ``leak`` and ``trailer``, and ``truncated``.
+
+    Trailers, lines of differences or code, and lines of eight characters or more that the fix adds (``added``, without
+    blanks) go; what is longer than ``most`` characters is cut at a blank and marked.
+    """
+
+    def kind(s: Column) -> Column:
+        bare = F.regexp_replace(s, r"\s+", "")
+        leaks = (F.length(bare) >= 8) & F.array_contains(added, bare)
+        return F.when(s == "", "").when(s.rlike(TRAILER) | s.rlike(REFERENCE), "trailer").when(s.rlike(DIFF_LINE), "code").when(leaks, "leak").otherwise("")
+
+    def done(rows: Column) -> Column:
+        count = lambda k: F.size(F.filter(rows, lambda r: r["kind"] == k)).alias(k)
+        kept = F.array_join(F.transform(F.filter(rows, lambda r: r["kind"] == ""), lambda r: r["s"]), "\n")
+        whole = strip(F.regexp_replace(kept, r"\n{3,}", "\n\n"))
+        cut = F.concat(F.regexp_replace(F.substring(whole, 1, most), r"(?s) [^ ]*\z", ""), F.lit(" [...]"))
+        return F.struct(F.when(F.length(whole) > most, cut).otherwise(whole).alias("cleaned"), count("code"), count("leak"), count("trailer"), (F.length(whole) > most).alias("truncated"))
+
+    rows = F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), lambda line: F.struct(strip(line).alias("s"), kind(strip(line)).alias("kind")))
+    return let(rows, done)
+
+
+def resolve_link(link: Column, forges: dict[str, str], mirrors: dict[str, str]) -> Column:
+    """Struct of ``kind``, ``repo`` and ``sha`` of a link to a change, null for unknown hosts.
+
+    ``forges`` maps repositories of the freedesktop host to their new names, ``mirrors`` parts of links to repositories.
+    """
+
+    def found(kind: str, pattern: str, repo=None) -> Column:
+        name, sha = F.regexp_extract(link, pattern, 1), F.regexp_extract(link, pattern, 2)
+        name = name if repo is None else repo(name)
+        return F.when((sha != "") & name.isNotNull(), F.struct(F.lit(kind).alias("kind"), name.alias("repo"), sha.alias("sha")))
+
+    picks = [
+        found("github", r"^https?://github\.com/([^/]+/[^/]+)/(?:commit|pull/[0-9]+/commits)/([0-9a-f]{7,40})"),
+        found("gsource", r"^https?://android\.googlesource\.com/(.+?)/\+/([0-9a-f]{40})"),
+    ]
+    if forges:
+        known = F.create_map(*(F.lit(x) for pair in forges.items() for x in pair))
+        picks.append(found("gitlab", r"^https?://cgit\.freedesktop\.org/(.+?)/commit/.*?id=([0-9a-f]{40})", lambda n: F.try_element_at(known, n)))
+    sha = F.regexp_extract(link, r"(?:[?;&]h=|[?&]id=)([0-9a-f]{40})", 1)
+    picks += [F.when(F.contains(link, F.lit(part)) & (sha != ""), F.struct(F.lit("github").alias("kind"), F.lit(repo).alias("repo"), sha.alias("sha"))) for part, repo in mirrors.items()]
+    return F.coalesce(*picks)
+
+
+def cues(description: Column, fix_text: Column, function: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Struct of what a description gives away: ``location_hits`` (at most eight names of the fix), ``names_function``, ``remedy_phrase``, ``words``."""
+    names = lambda t: F.array_distinct(F.transform(identifiers(t, 4), F.lower))
+    said = names(description)
+    hits = F.slice(F.array_sort(F.array_except(F.array_intersect(said, names(fix_text)), F.array(*map(F.lit, stop)).cast("array<string>"))), 1, 8)
+    own = (function != "") & F.array_contains(said, F.lower(function))
+    return F.struct(hits.alias("location_hits"), own.alias("names_function"), F.regexp_extract(description, REMEDY, 0).alias("remedy_phrase"), F.regexp_count(description, F.lit(r"\S+")).alias("words"))
 
 
 def balance(text: Column, opening: str = "(", closing: str = ")") -> Column:
@@ -115,18 +180,6 @@ def balance(text: Column, opening: str = "(", closing: str = ")") -> Column:
     return F.aggregate(chars, start, step)
 
 
-def slice_lines(text: Column, sink: str) -> Column:
-    """Lines with a sink pattern, and lines that share an identifier with those."""
-    def ids(line: Column) -> Column:
-        return F.regexp_extract_all(line, F.lit(IDENTIFIER), F.lit(0))
-
-    def kept(rows: Column) -> Column:
-        names = F.array_distinct(F.flatten(F.transform(F.filter(rows, lambda s: s.rlike(sink)), ids)))
-        return let(names, lambda n: F.filter(rows, lambda s: s.rlike(sink) | F.arrays_overlap(ids(s), n)))
-
-    return let(lines(text), kept)
-
-
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     """Jaccard similarity of two arrays of different elements; ``empty`` for two empty ones."""
     common = F.size(F.array_intersect(a, b))

@@ -44,17 +44,6 @@ def slice_render(spark, sf_dir):
     return folded.select("doc_id", F.md5(F.array_join("out", "\n")).alias("digest"), F.size("out").cast("bigint").alias("n"))
 
 
-@query("""
-SELECT page_id, CASE WHEN regexp_matches(url, '://[^/]*example\\.org') THEN 'forge' WHEN regexp_matches(url, '://[^/]*example\\.net') THEN 'mirror' ELSE 'other' END AS kind,
- coalesce(nullif(regexp_extract(url, '://[^/]+/([a-z]+)/', 1), ''), nullif(regexp_extract(url, '://(?:www\\.)?([a-z-]+)\\.', 1), ''), 'none') AS repo, regexp_extract(url, '/([0-9]+)', 1) AS rev FROM pages""")
-def url_resolver(spark, sf_dir):
-    """What kind of host, which repository and which revision an address names."""
-    kind = F.when(F.col("url").rlike(r"://[^/]*example\.org"), "forge").when(F.col("url").rlike(r"://[^/]*example\.net"), "mirror").otherwise("other")
-    pick = lambda pattern: F.nullif(F.regexp_extract("url", pattern, 1), F.lit(""))
-    repo = F.coalesce(pick("://[^/]+/([a-z]+)/"), pick(r"://(?:www\.)?([a-z-]+)\."), F.lit("none"))
-    return Tables(spark, sf_dir).pages.select("page_id", kind.alias("kind"), repo.alias("repo"), F.regexp_extract("url", "/([0-9]+)", 1).alias("rev"))
-
-
 @query("""
 WITH m AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL), i AS (SELECT conv_id, n, max(role) AS role FROM m GROUP BY ALL)
 SELECT conv_id, string_agg(n || ':' || role, ',' ORDER BY n) AS inverted, count(*) AS keys FROM i GROUP BY conv_id""")

@@ -96,38 +96,6 @@ def lev_norm(spark, sf_dir):
     return met.select("a", "b", F.levenshtein("a", "b").cast("bigint").alias("d"), F.round(X.line_distance(F.col("a"), F.col("b")), 6).alias("norm"))
 
 
-@query("""
-WITH w AS (SELECT page_id, html, list_filter(list_distinct(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*')), lambda t: length(t) >= 4) AS ids, regexp_extract_all(url, '[A-Za-z_][A-Za-z0-9_]*') AS names FROM pages)
-SELECT page_id, len(list_intersect(ids, list_distinct(names))) AS hits, regexp_matches(html, '(?i)(fix(ed|es)?|patch(ed)?|add(ed|s)? (a )?check|validat\\w*|sanitiz\\w*|bounds? check)') AS remedy,
-  len(regexp_extract_all(html, '\\S+')) AS words FROM w""")
-def cues(spark, sf_dir):
-    """Which of a url's names a text holds, and whether it says what was remedied."""
-    ids, names = X.identifiers(F.col("html"), 4), X.identifiers(F.col("url"))
-    return Tables(spark, sf_dir).pages.select(
-        "page_id", _n(F.array_intersect(ids, names)).alias("hits"), F.col("html").rlike(X.REMEDY).alias("remedy"), F.regexp_count("html", F.lit(r"\S+")).cast("bigint").alias("words"))
-
-
-@query("""
-WITH k AS (SELECT doc_id, trim(array_to_string(list_filter(string_split(regexp_replace(text, '\\n$', ''), chr(10)),
-  lambda s: NOT regexp_matches(s, '(?i)^(signed-off-by|reviewed-by|acked-by|tested-by|cc|fixes|link|change-id):') AND NOT regexp_matches(s, '^(\\+\\+\\+|---|@@|diff )')), chr(10))) AS w FROM documents),
-s AS (SELECT doc_id, regexp_replace(w, '^\\s+|\\s+$', '', 'g') AS w FROM k)
-SELECT doc_id, md5(CASE WHEN length(w) <= 1500 THEN w ELSE regexp_replace(substr(w, 1, 1500), '\\s\\S*$', '') END) AS digest FROM s""")
-def clean_lines(spark, sf_dir):
-    """Messages without trailers and diff lines, cut at a blank."""
-    return Tables(spark, sf_dir).documents.select("doc_id", F.md5(X.clean_message(F.col("text"))).alias("digest"))
-
-
-@query("""
-WITH l AS (SELECT page_id, string_split(regexp_replace(html, '\\n$', ''), chr(10)) AS ls FROM pages),
-v AS (SELECT page_id, ls, list_distinct(flatten([regexp_extract_all(x, '[A-Za-z_][A-Za-z0-9_]*') for x in ls if contains(x, 'track(')])) AS ids FROM l)
-SELECT page_id, len(k) AS n, md5(array_to_string(k, chr(1))) AS digest FROM (
-  SELECT page_id, list_filter(ls, lambda x: contains(x, 'track(') OR list_has_any(regexp_extract_all(x, '[A-Za-z_][A-Za-z0-9_]*'), ids)) AS k FROM v)""")
-def slice_lines(spark, sf_dir):
-    """Lines with a sink and lines that share an identifier with them."""
-    k = X.slice_lines(F.col("html"), r"track\(")
-    return Tables(spark, sf_dir).pages.select("page_id", _n(k).alias("n"), _joined(k).alias("digest"))
-
-
 @query("""
 SELECT conv_id, turn, md5(coalesce(list_reduce(b, lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END), '')) AS longest, CAST(coalesce(len(b), 0) AS BIGINT) AS n FROM (
   SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text, '[^.]+')) > 0 THEN regexp_extract_all(text, '[^.]+') END AS b FROM conversations)""")
@@ -171,22 +139,6 @@ def text_sizes(spark, sf_dir):
         F.format_string("%.2f [%d]", F.lit(0.25), F.length("text")).alias("shown"))
 
 
-@query("""
-WITH g AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM benchmark), h AS (SELECT item_id, md5('7' || t) AS m FROM g),
-v AS (SELECT item_id, ('0x' || substr(m, 31, 2))::BIGINT % 256 AS idx, CASE WHEN ('0x' || substr(m, 29, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END AS s FROM h),
-a AS (SELECT item_id, idx, sum(s)::DOUBLE AS x FROM v GROUP BY ALL)
-SELECT item_id, idx, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS w FROM a WHERE x <> 0""")
-def hashed_embed(spark, sf_dir):
-    """Signed feature hashing of tokens to 256 slots at unit length, kept sparse."""
-    t = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))
-    m = F.md5(F.concat(F.lit("7"), "t"))
-    slots = Tables(spark, sf_dir).benchmark.select("item_id", t.alias("t")).select(
-        "item_id", F.conv(F.substring(m, 31, 2), 16, 10).cast("bigint").alias("idx"), F.when(F.conv(F.substring(m, 29, 2), 16, 10).cast("bigint") % 2 == 1, 1).otherwise(-1).alias("s"))
-    a = slots.groupBy("item_id", "idx").agg(F.sum("s").cast("double").alias("x"))
-    norm = a.groupBy("item_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
-    return a.where("x <> 0").join(norm, "item_id").select("item_id", "idx", F.round(F.col("x") / F.col("len"), 6).alias("w"))
-
-
 @query("""
 SELECT doc_id, md5(regexp_replace(lower(text), '\\s+', '', 'g')) AS norm_md5, sha256(text) AS sha, ('0x' || substr(sha256(text), 1, 8))::BIGINT AS seed FROM documents""")
 def content_keys(spark, sf_dir):
