@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,10 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.operators.joins import small
+
 #: Kinds of files by extension.
 EXTENSIONS = {"json": ("json", "jsonl", "ndjson"), "table": ("csv", "tsv", "parquet"), "code": ("c", "h", "cc", "cpp"), "archive": ("zip", "tar", "tgz", "gz")}
 #: The columns by which a modality is known, in order of precedence.
 MODALITIES = {"patch": ("vulnerable_code", "fixed_code", "func_before", "func_after"), "code": ("code", "func", "function"), "text": ("text", "label", "sentence")}
+#: Formats in the order in which they are read.
+FORMATS = ("jsonl", "json", "csv", "tsv", "parquet")
 _CORRUPT = "_corrupt"
 
 
@@ -72,40 +78,62 @@ def modality(columns: list[str]) -> str | None:
     return best if score[best] else None
 
 
-def discover(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``length`` and ``kind`` of the files under a folder, without reading them."""
+def discover(spark: SparkSession, path: str, first: tuple[str, ...] = ()) -> DataFrame:
+    """``path``, ``length``, ``kind`` and ``priority`` of the files under a folder, without reading them.
+
+    Files in the folders named ``first`` come before others, in that order; among equals the order is that of the kinds
+    of formats, then of the paths: ``orderBy("priority", "format", "path")`` is the order of reading.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.coalesce(*(F.when(ext.isin(*names), k) for k, names in EXTENSIONS.items()), F.lit("other"))
-    return files.select("path", "length", kind.alias("kind"))
+    priority = F.coalesce(*(F.when(F.col("path").contains(f"/{name}/"), k) for k, name in enumerate(first)), F.lit(len(first)))
+    order = F.array_position(F.array(*map(F.lit, FORMATS)), ext)
+    return files.select("path", "length", kind.alias("kind"), priority.alias("priority"), F.when(order > 0, order).otherwise(len(FORMATS) + 1).cast("int").alias("format"))
 
 
 def archive_members(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
-    """``path``, ``name`` and ``text`` of the files in zip and tar archives, read in memory on the executors.
+    """``path``, ``name``, ``text`` and ``problem`` of the files in zip, tar and gzip files, read in memory on the executors.
 
-    Nothing is written, so names that climb out of a folder can do no harm; they are left out all the
-    same, as are members larger than ``most_bytes``.
+    Nothing is written, so names that climb out of a folder can do no harm; they, members larger than ``most_bytes`` and
+    archives that cannot be read have a row without a text that says so.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
-    def members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
+    def members(name: str, data: bytes) -> Iterator[tuple[str, bytes | None]]:
         if zipfile.is_zipfile(io.BytesIO(data)):
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 for info in z.infolist():
-                    if not info.is_dir() and info.file_size <= most_bytes:
-                        yield info.filename, z.read(info)
+                    if not info.is_dir():
+                        yield info.filename, z.read(info) if info.file_size <= most_bytes else None
         elif name.endswith((".tar", ".tgz", ".tar.gz")):
             with tarfile.open(fileobj=io.BytesIO(data)) as t:
                 for m in t:
-                    if m.isfile() and m.size <= most_bytes:
-                        yield m.name, t.extractfile(m).read()
+                    if m.isfile():
+                        yield m.name, t.extractfile(m).read() if m.size <= most_bytes else None
+        elif name.endswith(".gz"):
+            with gzip.open(io.BytesIO(data)) as g:
+                text = g.read(most_bytes + 1)
+            yield name.rsplit("/", 1)[-1].removesuffix(".gz"), text if len(text) <= most_bytes else None
+
+    def rows_of(name: str, data: bytes) -> Iterator[tuple[str, str | None, str | None, str | None]]:
+        try:
+            for member, content in members(name, data):
+                if member.startswith("/") or ".." in member.split("/"):
+                    yield name, member, None, "climbs out of the archive"
+                elif content is None:
+                    yield name, member, None, "too large"
+                else:
+                    yield name, member, content.decode("utf-8", "replace"), None
+        except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, zlib.error) as broken:
+            yield name, None, None, f"cannot be read: {type(broken).__name__}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, n, d.decode("utf-8", "replace")) for p, c in zip(pdf["path"], pdf["content"]) for n, d in members(p, bytes(c)) if not n.startswith("/") and ".." not in n.split("/")]
-            yield pd.DataFrame(rows, columns=["path", "name", "text"])
+            rows = [r for p, c in zip(pdf["path"], pdf["content"]) for r in rows_of(p, bytes(c))]
+            yield pd.DataFrame(rows, columns=["path", "name", "text", "problem"])
 
-    return files.mapInPandas(run, "path string, name string, text string")
+    return files.mapInPandas(run, "path string, name string, text string, problem string")
 
 
 def sections(spark: SparkSession, path: str, heading: str = r"(?m)^## ") -> DataFrame:
@@ -131,14 +159,64 @@ def families(functions: DataFrame, order: list[str]) -> DataFrame:
     return g.where(F.size("all") >= 2).select("cve_id", "function", F.col("all")[0].alias("source"), F.expr("slice(all, 2, size(all) - 1)").alias("targets"))
 
 
-def fixes(commits: DataFrame, before: DataFrame, after: DataFrame, since: str) -> DataFrame:
-    """Mined pairs: of commits that name an id since a date, the function that changed most.
+def source_file(path: Column, own: tuple[str, ...] = ("c",)) -> Column:
+    """Whether a path is that of a source file of the wanted kinds that is no test."""
+    kind = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return kind.isin(*own) & ~F.contains(path, F.lit("/test")) & ~path.startswith("test")
+
+
+def names_project(record: Column, aliases: Column) -> Column:
+    """Whether a record's text names a project by any of its aliases, in any case."""
+    return F.exists(aliases, lambda a: F.contains(F.lower(record), F.lower(a)))
 
-    ``commits`` has ``commit``, ``day``, ``message``; ``before`` and ``after`` have ``commit``, ``function``, ``code``.
+
+def fixes(commits: DataFrame, before: DataFrame, after: DataFrame, since: str, records: DataFrame | None = None) -> DataFrame:
+    """Mined pairs: of commits that name one id, have one parent and come at a date or later, the function that changed most.
+
+    ``commits`` has ``commit``, ``day``, ``message`` and, where known, ``parents`` (a count); ``before`` and ``after`` have
+    ``commit``, ``function``, ``code`` and, where known, ``path``: only source files that are no tests count.  ``records``
+    (``cve_id``, ``state``, ``published``) keeps published ids of that date or later.
     """
-    named = commits.where(F.col("day") >= since).withColumn("cve_id", F.regexp_extract("message", r"CVE-[0-9]{4}-[0-9]{4,}", 0)).where("cve_id <> ''")
-    met = before.withColumnRenamed("code", "func_before").join(after.withColumnRenamed("code", "func_after"), ["commit", "function"]).where("func_before <> func_after")
+    ids = F.array_distinct(F.regexp_extract_all("message", F.lit(r"CVE-[0-9]{4}-[0-9]{4,}"), F.lit(0)))
+    named = commits.where(F.col("day") >= since).withColumn("ids", ids).where(F.size("ids") == 1).withColumn("cve_id", F.col("ids")[0])
+    if "parents" in commits.columns:
+        named = named.where("parents = 1")
+    if records is not None:
+        kept = records.where((F.col("state") == "PUBLISHED") & (F.substring("published", 1, 10) >= since)).select("cve_id").distinct()
+        named = named.join(kept, "cve_id", "left_semi")
+    sides = [side.where(source_file(F.col("path"))) if "path" in side.columns else side for side in (before, after)]
+    on = [c for c in ("commit", "path", "function") if all(c in side.columns for side in sides)]
+    met = sides[0].select(*on, F.col("code").alias("func_before")).join(sides[1].select(*on, F.col("code").alias("func_after")), on).where("func_before <> func_after")
     a, b = F.split("func_before", "\n"), F.split("func_after", "\n")
     changed = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
     best = F.max(F.struct(changed.alias("changed"), "function", "func_before", "func_after")).alias("f")
     return named.join(met, "commit").groupBy("cve_id", "commit", "day").agg(best).select("cve_id", "commit", "day", "f.*")
+
+
+def vetted_sample(records: DataFrame, kept: Column, n: int, most: int = 3000, seed: str = "0") -> DataFrame:
+    """Records that pass a filter, the first of each id (by ``at``), ``most`` of these at most, and of them ``n`` drawn, in order of id.
+
+    The cap and the draw are the sampler's; draws come from a hash of seed and id.
+    """
+    rest = [c for c in records.columns if c != "cve_id"]
+    first = records.where(kept).groupBy("cve_id").agg(F.min(F.struct("at", *(c for c in rest if c != "at"))).alias("r")).select("cve_id", "r.*")
+    pool = first.orderBy("at", "cve_id").limit(most)
+    return pool.orderBy(F.md5(F.concat_ws("-", F.lit(seed), "cve_id")), "cve_id").limit(n).orderBy("cve_id").select(*records.columns)
+
+
+def simplified(text: Column) -> Column:
+    """Lower-case letters and digits only, so that names match whatever their punctuation."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "")
+
+
+def resolve_names(keys: DataFrame, entries: DataFrame, key: str, name: str, order: str) -> DataFrame:
+    """Left join of keys to the first entry (by ``order``) whose simplified name holds the key's or is held by it, equal names first.
+
+    The entries' side is a manifest of some thousands at most; it is counted before it is broadcast.
+    """
+    k = keys.withColumn("__k", simplified(F.col(key)))
+    e = entries.select(*(F.col(c).alias(f"entry_{c}") for c in entries.columns)).withColumn("__n", simplified(F.col(f"entry_{name}"))).where("__n <> ''")
+    met = k.join(small(e), (F.col("__k") != "") & (F.contains("__n", F.col("__k")) | F.contains("__k", F.col("__n"))), "left")
+    pick = F.min(F.struct((F.col("__k") != F.col("__n")).alias("other"), F.col(f"entry_{order}").alias("order"), F.col(f"entry_{name}").alias("entry")))
+    best = met.groupBy(key).agg(pick.alias("b"))
+    return best.select(key, F.col("b.entry").alias("entry"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,8 @@ def latex(df: DataFrame, most: int = 1000) -> str:
     clean = lambda c: "" if c is None else str(c).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
     body = "\n".join(" & ".join(map(clean, r)) + r" \\" for r in [df.columns, *rows])
     return "\\begin{tabular}{" + "l" * len(df.columns) + "}\n" + body + "\n\\end{tabular}"
+
+
+def require(df: DataFrame, holds: Column, what: str) -> DataFrame:
+    """The rows as they are; reading one for which a control does not hold, or is unknown, fails with its name."""
+    return df.withColumn("__held", F.assert_true(F.coalesce(holds, F.lit(False)), F.lit(f"control failed: {what}"))).where("__held is null").drop("__held")

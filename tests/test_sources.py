@@ -1,6 +1,8 @@
 """Readers and sinks on files of their own."""
 
+import gzip
 import json
+import tarfile
 import zipfile
 
 import pytest
@@ -27,15 +29,53 @@ def test_tabular_needs_a_column(spark, tmp_path):
     assert readers.modality(["func_before", "func_after", "text"]) == "patch" and readers.modality(["q"]) is None
 
 
-def test_archives_leave_out_climbing_names(spark, tmp_path):
+def test_archives_report_what_they_leave_out(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("ok/x.c", "int a;")
         z.writestr("../evil.c", "no")
-    got = readers.archive_members(spark, str(tmp_path)).collect()
-    assert [(r.name, r.text) for r in got] == [("ok/x.c", "int a;")]
+        z.writestr("big.c", "x" * 200)
+    (tmp_path / "b.jsonl.gz").write_bytes(gzip.compress(b"{}\n"))
+    (tmp_path / "c.gz").write_bytes(b"broken")
+    with tarfile.open(tmp_path / "d.tgz", "w:gz") as t:
+        t.add(tmp_path / "b.jsonl.gz", "in/b.gz")
+    got = {(r.name, r.text, r.problem) for r in readers.archive_members(spark, str(tmp_path), most_bytes=100).where("name is null or name not like 'in/%'").collect()}
+    assert got == {("ok/x.c", "int a;", None), ("../evil.c", None, "climbs out of the archive"), ("big.c", None, "too large"), ("b.jsonl", "{}\n", None), (None, None, "cannot be read: BadGzipFile")}
     assert {r.kind for r in readers.discover(spark, str(tmp_path)).collect()} == {"archive"}
 
 
+def test_discovery_order(spark, tmp_path):
+    for name in ("z/a.csv", "z/a.jsonl", "best/b.parquet", "best/a.json", "other/q.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    got = readers.discover(spark, str(tmp_path), ("best", "other")).orderBy("priority", "format", "path").collect()
+    assert ["/".join(r.path.rsplit("/", 2)[1:]) for r in got] == ["best/a.json", "best/b.parquet", "other/q.txt", "z/a.jsonl", "z/a.csv"]
+
+
+def test_samples_gates_and_names(spark):
+    rows = [("c1", 2, 10), ("c1", 1, 7), ("c2", 3, 500), ("c3", 4, 20), ("c4", 5, 6)]
+    df = spark.createDataFrame(rows, "cve_id string, at int, lines int")
+    got = readers.vetted_sample(df, F.col("lines").between(5, 120), 2, most=2).collect()
+    assert [(r.cve_id, r.at) for r in got] == [("c1", 1), ("c3", 4)]
+    keys = spark.createDataFrame([("Big-Vul",), ("none",), ("",)], "key string")
+    entries = spark.createDataFrame([("bigvul extended", 1), ("BIG vul", 2), ("", 3)], "name string, at int")
+    assert {r.key: r.entry for r in readers.resolve_names(keys, entries, "key", "name", "at").collect()} == {"Big-Vul": "BIG vul", "none": None, "": None}
+    paths = {"src/a.c": True, "src/tests/a.c": False, "test_a.c": False, "a.h": False, "a.C": True}
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", readers.source_file(F.col("p")).alias("ok"))
+    assert {r.p: r.ok for r in df.collect()} == paths
+    named = spark.range(1).select(readers.names_project(F.lit("a flaw in PHP 8"), F.array(F.lit("zend"), F.lit("php")))).first()[0]
+    assert named is True
+
+
+def test_fixes_gates(spark):
+    """One id, one parent, a published record of that date, a source file that is no test."""
+    commits = [("c1", "2025-09-01", "CVE-2025-1111", 1), ("c2", "2025-09-01", "CVE-2025-2222 CVE-2025-3333", 1), ("c3", "2025-09-01", "CVE-2025-4444", 2), ("c4", "2025-09-01", "CVE-2025-5555", 1), ("c5", "2025-09-01", "CVE-2025-6666", 1)]
+    commits = spark.createDataFrame(commits, "commit string, day string, message string, parents int")
+    code = lambda v: spark.createDataFrame([(c, "f", p, v) for c, p in (("c1", "a.c"), ("c2", "a.c"), ("c3", "a.c"), ("c4", "a.c"), ("c5", "test/a.c"))], "commit string, function string, path string, code string")
+    records = spark.createDataFrame([("CVE-2025-1111", "PUBLISHED", "2025-09-02T00"), ("CVE-2025-5555", "REJECTED", "2025-09-02"), ("CVE-2025-6666", "PUBLISHED", "2025-09-02")], "cve_id string, state string, published string")
+    got = readers.fixes(commits, code("a"), code("b"), "2025-08-01", records).collect()
+    assert [r.cve_id for r in got] == ["CVE-2025-1111"]
+
+
 def test_sections_splits_and_families(spark, tmp_path):
     (tmp_path / "a.md").write_text("intro\n## one\nbody\n## two\nmore\n")
     assert [(r.title, r.body) for r in readers.sections(spark, str(tmp_path / "a.md")).orderBy("at").collect()] == [("one", "body\n"), ("two", "more\n")]
@@ -69,3 +109,10 @@ def test_sinks(spark, tmp_path):
     sheet, key = sinks.blind_sheet(spark.createDataFrame([(1, "arm", "t")], "case int, arm string, text string"), ["arm"], "case", "s")
     assert sheet.columns == ["case", "text"] and key.columns == ["case", "arm"]
     assert sinks.markdown(new.orderBy("rq")).splitlines()[2] == "| b | 9.0 |" and "\\\\" in sinks.latex(new)
+
+
+def test_controls(spark):
+    df = spark.createDataFrame([(1, True), (2, True)], "x int, ok boolean")
+    assert sinks.require(df, F.col("ok"), "self similarity").count() == 2
+    with pytest.raises(Exception, match="self similarity"):
+        sinks.require(df, F.col("x") < 2, "self similarity").collect()
