@@ -23,7 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes what is no longer read."""
+    """Tables written to the shared folder to cut lineage; ``drop`` removes what is no longer read.
+
+    Results may read the others until the application ends, and they are removed then.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/assayer-{uuid.uuid4().hex}"
@@ -33,6 +36,9 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
+        if self.count == 1:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
