@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.operators.joins import small
+
 #: Beyond so many known texts the digest table is not broadcast but joined by a shuffle.
 MAX_BROADCAST_TEXTS = 100_000
 
@@ -25,6 +27,22 @@ _ISC_REST = (
     "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
     "THIS SOFTWARE."
 )
+_NO_LIABILITY = (
+    "ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, "
+    "OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_REST = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE " + _NO_LIABILITY
+)
 KNOWN = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
      'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
@@ -35,6 +53,34 @@ KNOWN = (
     ("MIT", "Licensed under the MIT License."),
     ("ISC", _ISC + ", provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_REST),
     ("0BSD", _ISC + ". " + _ISC_REST),
+    ("BSD-2-Clause", _BSD + _BSD_REST),
+    ("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+     "derived from this software without specific prior written permission. " + _BSD_REST),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+     "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and "
+     "to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+     "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+     "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+     "software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization "
+     'obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, '
+     "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished "
+     "to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this "
+     "restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the "
+     "Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+     "FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE "
+     "FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+     "OTHER DEALINGS IN THE SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+     "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In "
+     "jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+     "public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+     "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN "
+     "AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. "
+     "For more information, please refer to <https://unlicense.org>"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
      "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
@@ -72,8 +118,13 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark, known=KNOWN) -> DataFrame:
-    """``license``, ``chars`` and ``digest`` of the canonical known texts; one licence per digest."""
-    texts = spark.createDataFrame(list(known), "license string, text string").select("license", canonical(F.col("text")).alias("c"))
+    """``license``, ``chars`` and ``digest`` of the canonical known texts; one licence per digest.
+
+    ``known`` is pairs of name and whole text, or a table of them with the columns ``license`` and ``text``.
+    """
+    if not isinstance(known, DataFrame):
+        known = spark.createDataFrame(list(known), "license string, text string")
+    texts = known.where("license is not null and text is not null").select("license", canonical(F.col("text")).alias("c")).where("c <> ''")
     rows = texts.select("license", F.char_length("c").alias("chars"), F.sha2("c", 256).alias("digest"))
     return rows.groupBy("digest", "chars").agg(F.min("license").alias("license"))
 
@@ -87,9 +138,7 @@ def scan_licenses(docs: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col
     that is nothing but a copyright notice becomes empty and is no licence.  Null and empty texts have
     the digest of the empty text and no licence; repeated rows each keep a row.
     """
-    digests = known_digests(docs.sparkSession, known)
-    if len(known) <= MAX_BROADCAST_TEXTS:
-        digests = F.broadcast(digests)
+    digests = small(known_digests(docs.sparkSession, known), MAX_BROADCAST_TEXTS)
     row = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw")).withColumn("row", F.monotonically_increasing_id())
     row = row.select("id", "row", canonical(F.col("raw")).alias("whole"), F.split("raw", r"\r?\n").alias("lines"))
     row = row.select("id", "row", F.sha2("whole", 256).alias("digest"), F.char_length("whole").alias("whole_chars"), "lines")

@@ -8,21 +8,78 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.shared import Scratch
+
 #: Beyond so many rules the index is not broadcast but joined by a shuffle.
 MAX_BROADCAST_RULES = 100_000
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is matched against host + path; ``tokens`` are literals that any match holds whole."""
+    """``pattern`` is matched against host + path; ``tokens`` are literals that any match holds whole (none given: see ``literals``)."""
 
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[str, ...] | None
     rank: int
 
 
+def literals(pattern: str) -> tuple[str, ...]:
+    """Tokens that each match of a pattern holds whole, as far as that is plain from it.
+
+    Runs of letters a-z and digits count where a literal mark, or an anchored start or end, stands on both sides.  What may
+    be missing, and all inside groups, classes and alternatives, says nothing.
+    """
+    out: list[str] = []
+    word, closed, at = "", False, 0  # whether the run began behind a mark
+
+    def end(by_mark: bool) -> None:
+        nonlocal word, closed
+        if word and closed and by_mark:
+            out.append(word)
+        word, closed = "", by_mark
+
+    pattern = re.sub(r"^\(\?[a-z]+\)", "", pattern)
+    while at < len(pattern):
+        c, size = pattern[at], 1
+        if c == "\\":
+            size = 2
+            c = pattern[at + 1 : at + 2]
+            mark = not c.isalnum()
+            literal = None
+        elif c == "[":
+            size = re.match(r"\[\^?\]?(?:\\.|[^\]\\])*\]?", pattern[at:]).end()
+            mark, literal = False, None
+        elif c in "(":
+            depth, size = 1, 1
+            while depth and at + size < len(pattern):
+                step = pattern[at + size]
+                if step == "[":
+                    size += re.match(r"\[\^?\]?(?:\\.|[^\]\\])*\]?", pattern[at + size :]).end()
+                    continue
+                depth += (step == "(") - (step == ")")
+                size += 2 if step == "\\" else 1
+            mark, literal = False, None
+        elif c == "|":
+            return ()
+        else:
+            literal = c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else None
+            mark = literal is None and c not in ".)ABCDEFGHIJKLMNOPQRSTUVWXYZ" and ord(c) < 128
+        more = re.match(r"[*+?]+|\{[0-9,]*\}[?+]?", pattern[at + size :])
+        if more:
+            # A repeated part neither belongs to a whole token nor bounds one for certain.
+            end(False)
+            at += size + more.end()
+            continue
+        if literal:
+            word += literal
+        else:
+            end(mark)
+        at += size
+    return tuple(dict.fromkeys(out))
+
+
 def host_rule(verdict: str, host: str, path: str) -> Rule:
     """A rule for a host, its subdomains and all paths that start with ``path``; longer ones win."""
     open_end = re.sub(r"[^a-z0-9]", " ", path.lower()).split(" ")[:-1]
@@ -65,10 +122,13 @@ def path(url: Column) -> Column:
 
 
 def judge_urls(
-    pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_id", url_col: str = "url", default: str = "allow"
+    pages: DataFrame, rules: tuple[Rule, ...] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow"
 ) -> DataFrame:
     """One row per page: id, ``host``, ``path``, ``rule`` (name of the rule that decides) and ``verdict``.
 
+    ``rules`` are ``Rule`` objects, or a table with their columns ``name``, ``verdict``, ``pattern`` and ``rank``,
+    whose tokens are taken from the patterns.
+
     The pages' URLs are cut into tokens; the tokens that rules name are counted over all URLs, and every
     rule is filed under its rarest one.  A URL fetches the rules filed under its tokens and runs the
     regular expressions of those alone.  The rule of highest rank decides, then block before allow,
@@ -78,15 +138,21 @@ def judge_urls(
     keep a row.  Rules without tokens run on every URL.
     """
     spark = pages.sparkSession
-    table = [(k, r.name, r.verdict, r.pattern, list(r.tokens), r.rank) for k, r in enumerate(rules)]
-    known = spark.createDataFrame(table, "rule_no int, name string, verdict string, pattern string, tokens array<string>, rank int")
+    if isinstance(rules, DataFrame):
+        found = F.udf(lambda p: list(literals(p or "")), "array<string>")  # of rules, which are few beside the pages
+        known = rules.where("pattern is not null").select(F.xxhash64("name", "pattern", "verdict").alias("rule_no"), "name", "verdict", "pattern", found("pattern").alias("tokens"), F.col("rank").cast("int").alias("rank")).dropDuplicates(["rule_no"])
+        known = Scratch(spark).write(known)
+        few = known.count() <= MAX_BROADCAST_RULES
+    else:
+        table = [(k, r.name, r.verdict, r.pattern, list(literals(r.pattern) if r.tokens is None else r.tokens), r.rank) for k, r in enumerate(rules)]
+        known = spark.createDataFrame(table, "rule_no long, name string, verdict string, pattern string, tokens array<string>, rank int")
+        few = len(rules) <= MAX_BROADCAST_RULES
     row = pages.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     row = row.withColumn("row", F.monotonically_increasing_id())
     tokens = F.array_distinct(F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+"))
     named = known.select("rule_no", F.explode("tokens").alias("token"))
     wanted = named.select("token").distinct()
-    small = len(rules) <= MAX_BROADCAST_RULES
-    hint = F.broadcast if small else (lambda df: df)
+    hint = F.broadcast if few else (lambda df: df)
     counts = row.select(F.explode(tokens).alias("token")).join(hint(wanted), "token").groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
     rarest = (
         named.join(counts, "token", "left").groupBy("rule_no")
