@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.shared import ascii_lower
+from assayer.llm.shared import Scratch, ascii_lower
+from assayer.operators.joins import small
 
 #: Beyond so many distinct windows the hash set is not broadcast but joined by a shuffle.
 MAX_BROADCAST_WINDOWS = 1_000_000
+#: Beyond so many hit documents their keys are not broadcast either.
+MAX_BROADCAST_HITS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -54,7 +57,8 @@ def _find(
     windows = item_windows(items, item_id, item_text, n)
     sizes = {r["width"]: r["n"] for r in windows.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}  # n rows at most
     widths = sorted(sizes) or [n]
-    if sum(sizes.values()) <= MAX_BROADCAST_WINDOWS:
+    few = sum(sizes.values()) <= MAX_BROADCAST_WINDOWS
+    if few:
         windows = F.broadcast(windows)
     row = docs.select(
         F.col(id_col).alias("id"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)), words(F.col(text_col)).alias("all")
@@ -68,13 +72,17 @@ def _find(
         each = F.array(*(F.struct(F.lit(w).alias("wide"), F.when((F.col("at") >= 0) & (F.col("at") + w <= F.size("all")), _hash(F.col("all"), F.col("at"), w)).alias("key")) for w in widths))
         row = row.withColumn("one", F.explode(each)).withColumns({"key": F.col("one.key"), "wide": F.col("one.wide")}).drop("one")
         row = row.where((F.col("at") >= 0) | (F.col("wide") == widths[0]))
+    row = row.withColumn("size", F.when(F.col("at") < 0, F.size("all")))
+    if not few:  # positions are shuffled with the words of their window alone, not with the whole text's
+        row = row.withColumn("mine", F.when(F.col("at") >= 0, F.slice("all", F.greatest("at", F.lit(0)) + 1, F.col("wide")))).drop("all")
     found = row.join(windows, (row["key"] == windows["key"]) & (row["wide"] == windows["width"]), "left")
     # As a filter, not a join key: else the slice is made for every position instead of the few with an equal hash.
-    same = F.slice(row["all"], F.greatest(row["at"], F.lit(0)) + 1, row["wide"]) == windows["tokens"]
+    mine = F.slice(row["all"], F.greatest(row["at"], F.lit(0)) + 1, row["wide"]) if few else row["mine"]
+    same = mine == windows["tokens"]
     found = found.where((row["at"] < 0) | (windows["width"].isNotNull() & same))
     marker = F.col("at") < 0
     kept = found.select(
-        row["row"], row["id"], F.when(marker, F.size("all")).alias("n_words"),
+        row["row"], row["id"], row["size"].alias("n_words"),
         *(F.when(marker, F.col(f"carry_{k}")).alias(f"carry_{k}") for k in range(len(carry))),
         F.when(~marker, F.struct(F.col("at").alias("start"), F.col("wide").alias("width"))).alias("hit"), windows["items"].alias("items"),
     )
@@ -102,9 +110,17 @@ def _with_hits(docs: DataFrame, items: DataFrame, n: int, id_col: str, text_col:
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without any hit, with all their columns."""
-    found, columns = _with_hits(docs, items, n, id_col, text_col)
-    return found.where(F.size("hits") == 0).select(*(at.alias(c) for c, at in columns.items()))
+    """The documents without any hit, with all their columns.
+
+    Only the ids and text hashes of the hit ones move; they are counted before they are broadcast.  Repeated rows of
+    an id are judged each by its own text.
+    """
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    pair = F.struct("id", "print")
+    hits = find_hits(keyed.select(pair.alias("key"), "text").where("text is not null"), items, n, "key", "text").where(F.size("hits") > 0)
+    bad = small(Scratch(docs.sparkSession).write(hits.select("key.*").distinct()), MAX_BROADCAST_HITS)
+    met = docs[id_col].eqNullSafe(bad["id"]) & (F.xxhash64(docs[text_col]) == bad["print"])
+    return docs.join(bad, met, "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
