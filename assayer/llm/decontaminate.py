@@ -74,7 +74,8 @@ def _find(
         row = row.where((F.col("at") >= 0) | (F.col("wide") == widths[0]))
     row = row.withColumn("size", F.when(F.col("at") < 0, F.size("all")))
     if not few:  # positions are shuffled with the words of their window alone, not with the whole text's
-        row = row.withColumn("mine", F.when(F.col("at") >= 0, F.slice("all", F.greatest("at", F.lit(0)) + 1, F.col("wide")))).drop("all")
+        window = F.slice(F.array(*(F.get("all", F.col("at") + k) for k in range(n))), 1, F.col("wide"))
+        row = row.withColumn("mine", F.when(F.col("at") >= 0, window)).drop("all")
     found = row.join(windows, (row["key"] == windows["key"]) & (row["wide"] == windows["width"]), "left")
     # As a filter, not a join key: else the slice is made for every position instead of the few with an equal hash.
     mine = F.slice(row["all"], F.greatest(row["at"], F.lit(0)) + 1, row["wide"]) if few else row["mine"]
