@@ -46,24 +46,35 @@ def identifiers(text: Column, least: int = 1) -> Column:
     return found if least == 1 else F.filter(found, lambda t: F.length(t) >= least)
 
 
+def windows(items: Column, k: int, joined) -> Column:
+    """``joined`` of every ``k`` neighbours (null beyond the end), of all where there are fewer; none of none.
+
+    Neighbours are read by their place: a slice would copy the whole array for each window.
+    """
+    last = F.greatest(F.size(items) - k, F.lit(0))
+    every = F.transform(F.sequence(F.lit(0), last), lambda i: joined(*(F.get(items, i + j) for j in range(k))))
+    return F.when(F.size(items) > 0, every)
+
+
 def shingles(text: Column, k: int = 5) -> Column:
     """Different runs of ``k`` tokens, joined by a blank; a shorter text that has tokens is one shingle."""
-    def runs(tokens: Column) -> Column:
-        last = F.greatest(F.size(tokens) - (k - 1), F.lit(1))
-        parts = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, k), " ")))
-        return F.when(F.size(tokens) > 0, parts).otherwise(F.array().cast("array<string>"))
+    tokens = F.regexp_extract_all(text, F.lit(SHINGLE_TOKEN), F.lit(0))
+    found = let(tokens, lambda t: windows(t, k, lambda *w: F.concat_ws(" ", *w)))
+    return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
+
 
-    return let(F.regexp_extract_all(text, F.lit(SHINGLE_TOKEN), F.lit(0)), runs)
+def shingle_keys(text: Column, k: int = 5) -> Column:
+    """64-bit hashes of the different shingles."""
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(SHINGLE_TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    found = let(tokens, lambda t: windows(t, k, F.xxhash64))
+    return F.coalesce(F.array_distinct(found), F.array().cast("array<bigint>"))
 
 
 def char_grams(text: Column, k: int = 4) -> Column:
     """Different runs of ``k`` characters after blanks are removed; none for a shorter text."""
-    def runs(z: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(z) - (k - 1), F.lit(1)))
-        parts = F.array_distinct(F.transform(starts, lambda i: F.substring(z, i, F.lit(k))))
-        return F.when(F.length(z) >= k, parts).otherwise(F.array().cast("array<string>"))
-
-    return let(F.regexp_replace(text, r"\s+", ""), runs)
+    chars = F.filter(F.split(F.regexp_replace(text, r"\s+", ""), ""), lambda c: c != "")
+    found = let(chars, lambda c: F.when(F.size(c) >= k, windows(c, k, F.concat)))
+    return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
 
 
 def strip(text: Column) -> Column:

@@ -58,8 +58,8 @@ SELECT doc_id, CAST(len AS BIGINT) AS len, h FROM n WHERE (len, h) IN (SELECT le
 def semi_known_hash(spark, sf_dir):
     """Texts whose normalised hash is known for their length."""
     t = Tables(spark, sf_dir)
-    norm = F.regexp_replace(F.lower("text"), r"\s+", "")
-    hashed = t.documents.select("doc_id", F.length(norm).cast("bigint").alias("len"), F.md5(norm).alias("h"))
+    norm = F.translate(F.lower("text"), " \t\n\r\f\x0b", "")
+    hashed = t.documents.select("doc_id", norm.alias("z")).select("doc_id", F.length("z").cast("bigint").alias("len"), F.md5("z").alias("h"))
     known = hashed.join(t.labels.select("doc_id"), "doc_id", "left_semi").select("len", "h").distinct()
     return hashed.join(known, ["len", "h"], "left_semi").select("doc_id", "len", "h")
 
