@@ -11,6 +11,8 @@ from assayer.functions import text as X
 from assayer.functions.variants import variant_udf
 from assayer.jobs.base import Tables, query
 from assayer.jobs.repair import items
+from assayer.sources import readers, sinks
+from assayer.sources.shared import Scratch
 
 SEED = 42
 
@@ -46,3 +48,21 @@ def variant_yield(spark, sf_dir):
     y = variants(Tables(spark, sf_dir)).rollup("cwe").agg(F.count(F.lit(1)).alias("total"), F.count_if("accepted").alias("accepted"))
     lo, hi = stats.wilson(F.col("accepted"), F.col("total"))
     return y.select(F.coalesce("cwe", F.lit("all")).alias("cwe"), "total", "accepted", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+
+
+def build_artifacts(spark, sf_dir: str, folder: str) -> DataFrame:
+    """Writes the accepted variants as JSON lines under ``folder``, and returns its manifest with this artifact put in or replaced.
+
+    The manifest (name, rows, checksum of the rows in any order) is itself a table in the folder.
+    """
+    accepted = variants(Tables(spark, sf_dir)).where("accepted").select("k", "cwe", F.col("b").alias("code"), "similarity", "edit_norm")
+    sinks.write_json_lines(accepted, f"{folder}/variants")
+    written = spark.read.schema("k bigint, cwe string, code string, similarity double, edit_norm double").json(f"{folder}/variants")
+    digest = F.sha2(F.concat_ws(",", F.count(F.lit(1)).cast("string"), F.sum(F.xxhash64("k", "code").cast("decimal(38,0)")).cast("string")), 256)
+    new = written.agg(F.lit("variants").alias("name"), F.count(F.lit(1)).alias("rows"), digest.alias("sha256"))
+    path = f"{folder}/manifest"
+    old = readers.read_or_empty(spark, path, "name string, rows bigint, sha256 string")
+    # Written anew under another name first: what is read is not what is overwritten.
+    manifest = Scratch(spark).write(sinks.upsert(old, new, ["name"]))
+    manifest.write.mode("overwrite").parquet(path)
+    return manifest

@@ -45,6 +45,13 @@ def tabular(spark: SparkSession, path: str, needed: list[str], kind: str = "csv"
     return df if {c.lower() for c in df.columns} & {c.lower() for c in needed} else None
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table, or an empty one where nothing was written yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def alias(df: DataFrame, names: list[str], default: Column | None = None) -> Column:
     """The first of the named columns that is there and not empty, exact names before others in case."""
     exact = [n for n in names if n in df.columns]

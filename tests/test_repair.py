@@ -135,3 +135,16 @@ def test_names_outside_literals():
 @pytest.mark.parametrize("text,parts", [("a, b{c,d{e}},f", ["a", "b{c,d{e}}", "f"]), ("", [""]), ("{a,b},", ["{a,b}", ""])])
 def test_split_top(spark, text, parts):
     assert spark.range(1).select(answers.split_top(F.lit(text))).first()[0] == parts
+
+
+def test_artifacts_replace_their_manifest_row(spark, tmp_path):
+    from assayer.jobs.variants import build_artifacts
+
+    folder = str(tmp_path)
+    spark.createDataFrame([("variants", 1, "old"), ("other", 2, "kept")], "name string, rows bigint, sha256 string").write.parquet(f"{folder}/manifest")
+    build_artifacts(spark, SF, folder)
+    got = {r.name: (r.rows, r.sha256) for r in spark.read.parquet(f"{folder}/manifest").collect()}
+    assert got["other"] == (2, "kept") and got["variants"][0] == spark.read.json(f"{folder}/variants").count() > 100
+    build_artifacts(spark, SF, folder)
+    assert {r.name: (r.rows, r.sha256) for r in spark.read.parquet(f"{folder}/manifest").collect()} == got
+    assert build_artifacts(spark, SF, f"{folder}/new").count() == 1
