@@ -49,21 +49,31 @@ def first_writes(events: DataFrame, keys: list[str], late: str = "2 days") -> Da
     return events.withColumn("at", event_time()).withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def stop_rule(events: DataFrame, limit: float = 120.0, budget: int = 5) -> DataFrame:
-    """For each user and type the bounded loop as state: attempts until one exceeds ``limit`` or the budget is spent."""
+def stop_rule(events: DataFrame, limit: float = 120.0, budget: int = 5, late: str = "2 days", idle_days: int = 30) -> DataFrame:
+    """For each user and type the bounded loop as state: attempts until one exceeds ``limit`` or the budget is spent.
+
+    The state is the first ``budget`` attempts by time and id, whatever the order in which they arrive, so an attempt
+    that comes late (within the watermark) takes its place and the updated outcome is given out again.  A unit without
+    attempts for ``idle_days`` of event time is forgotten.
+    """
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tried, done = state.get if state.exists else (0, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = list(zip(*state.get)) if state.exists else []
         for pdf in rows:
-            for value in pdf.sort_values(["ts", "event_id"])["value"]:
-                if done or tried >= budget:
-                    break
-                tried, done = tried + 1, value > limit
-        state.update((tried, bool(done)))
-        yield pd.DataFrame({"user_id": [key[0]], "arm": [key[1]], "iterations": [tried], "validated": [bool(done)]})
+            at = pdf["at"].astype("datetime64[us]").astype("int64")
+            first = sorted([*first, *zip(at.tolist(), pdf["event_id"].tolist(), pdf["value"].tolist())])[:budget]
+        state.update(tuple(map(list, zip(*first))))
+        state.setTimeoutTimestamp(max(first[-1][0] // 1000, state.getCurrentWatermarkMs()) + idle_days * 86_400_000)
+        hit = next((k for k, one in enumerate(first, 1) if one[2] > limit), None)
+        yield pd.DataFrame({"user_id": [key[0]], "arm": [key[1]], "iterations": [hit or len(first)], "validated": [hit is not None]})
 
     out = "user_id long, arm string, iterations long, validated boolean"
-    return events.groupBy("user_id", "event_type").applyInPandasWithState(step, out, "tried long, done boolean", "update", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn("at", event_time()).withWatermark("at", late)
+    held = "at array<long>, id array<long>, value array<double>"
+    return timed.groupBy("user_id", "event_type").applyInPandasWithState(step, out, held, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
