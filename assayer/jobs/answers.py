@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import code as C
+from assayer.functions import text as X
 from assayer.jobs.base import Tables, query
 
 #: Replies by kind; {k} is the event.
@@ -73,17 +74,20 @@ def profiles_of(lines: Column) -> Column:
 
     Fields stand between commas: file, function, variable, then def{..}, use{..}, dvars{..}, pointers{..}, cfuncs{name{n},..}.
     """
-    parts = split_top(lines)
 
-    def field(*heads: str) -> Column:
-        found = F.element_at(F.filter(F.slice(parts, 4, 100), lambda f: F.exists(F.array(*map(F.lit, heads)), lambda h: f.startswith(h))), -1)
-        body = F.regexp_extract(found, r"(?s)\{(.*)\}", 1)
-        return F.coalesce(F.filter(split_top(body), lambda x: x != ""), F.array().cast("array<string>"))
+    def parsed(parts: Column) -> Column:
+        def field(*heads: str) -> Column:
+            found = F.element_at(F.filter(F.slice(parts, 4, 100), lambda f: F.exists(F.array(*map(F.lit, heads)), lambda h: f.startswith(h))), -1)
+            return F.coalesce(X.let(F.regexp_extract(found, r"(?s)\{(.*)\}", 1), lambda body: F.filter(split_top(body), lambda x: x != "")), F.array().cast("array<string>"))
 
-    numbers = lambda f: F.transform(F.filter(f, lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
-    return F.when((F.size(parts) >= 4) & lines.contains("{"), F.struct(
-        F.get(parts, 2).alias("variable"), numbers(field("def")).alias("defs"), numbers(field("use")).alias("uses"), field("dvars").alias("dvars"),
-        field("pointers", "ptrs").alias("ptrs"), F.transform(field("cfuncs"), lambda x: F.regexp_extract(x, r"^[^{]*", 0)).alias("cfuncs")))
+        def numbers(rows: Column) -> Column:
+            return F.transform(F.filter(rows, lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
+
+        return F.when((F.size(parts) >= 4) & lines.contains("{"), F.struct(
+            F.get(parts, 2).alias("variable"), numbers(field("def")).alias("defs"), numbers(field("use")).alias("uses"), field("dvars").alias("dvars"),
+            field("pointers", "ptrs").alias("ptrs"), F.transform(field("cfuncs"), lambda x: F.regexp_extract(x, r"^[^{]*", 0)).alias("cfuncs")))
+
+    return X.let(split_top(lines), parsed)
 
 
 def profiles(t: Tables) -> DataFrame:
@@ -100,7 +104,8 @@ _PROFILE = """p AS (SELECT l_orderkey, l_linenumber, 'v' || l_linenumber AS vari
 
 
 def _parsed(t: Tables) -> DataFrame:
-    return profiles(t).withColumn("p", profiles_of(F.col("line"))).select("l_orderkey", "l_linenumber", "p.*")
+    parsed = profiles(t).select("l_orderkey", "l_linenumber", F.explode(F.array(profiles_of(F.col("line")))).alias("p"))
+    return parsed.select("l_orderkey", "l_linenumber", "p.*")
 
 
 @query(f"""WITH {_PROFILE} SELECT l_orderkey, l_linenumber, variable, array_to_string(defs, ',') AS defs, array_to_string(uses, ',') AS uses, array_to_string(dvars, ',') AS dvars, array_to_string(ptrs, ',') AS ptrs, array_to_string(cfuncs, ',') AS cfuncs FROM p""")
