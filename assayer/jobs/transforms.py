@@ -75,13 +75,13 @@ def ladder_summary(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT k AS src, k + 1 AS dst, 0 AS cost FROM (SELECT p_partkey AS k, p_size FROM part) WHERE p_size > 20 UNION SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_size % 2 = 1 UNION SELECT p_partkey, p_partkey - 1, 0 FROM part WHERE p_size > 40),
+WITH RECURSIVE e AS (SELECT k AS src, k + 1 AS dst, 0 AS cost FROM (SELECT p_partkey AS k, p_size FROM part) WHERE p_size > 35 UNION SELECT p_partkey, p_partkey // 2, 1 FROM part WHERE p_size % 2 = 1 UNION SELECT p_partkey, p_partkey - 1, 0 FROM part WHERE p_size > 45),
 r(start, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT start, dst, depth + cost FROM r JOIN e ON node = src WHERE depth + cost <= 3)
 SELECT start, node, min(depth) AS depth FROM r GROUP BY ALL""")
 def graph_closure(spark, sf_dir):
     """Nodes that each part reaches over links at its depth, back links among them, and links that go one deeper, to depth 3."""
     k, part = F.col("p_partkey"), Tables(spark, sf_dir).part
-    links = ((part.where("p_size > 20"), k + 1, 0), (part.where("p_size % 2 = 1"), F.floor(k / 2), 1), (part.where("p_size > 40"), k - 1, 0))
+    links = ((part.where("p_size > 35"), k + 1, 0), (part.where("p_size % 2 = 1"), F.floor(k / 2), 1), (part.where("p_size > 45"), k - 1, 0))
     edges = None
     for rows, dst, cost in links:
         one = rows.select(k.alias("src"), dst.alias("dst"), F.lit(cost).alias("cost"))
