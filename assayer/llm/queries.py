@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, exact_dedup, license_scan, line_dedup, packing, pii, quality, simhash, toxicity, url_filter
+from assayer.llm import align, decontaminate, exact_dedup, license_scan, line_dedup, merkle, packing, pii, quality, simhash, topk, toxicity, url_filter
+from assayer.llm.shared import ascii_lower
 from assayer.sources.tables import table
 
 QUERIES: dict = {}
@@ -153,3 +154,73 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = merkle.leaf(*(ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in fields))
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    proved = merkle.prove(table(spark, sf_dir, "documents"), fields, carry={"tampered": F.when(chosen, F.unhex(changed))})
+    folded = merkle.fold(F.coalesce(F.lower(F.hex("tampered")), "leaf"), F.col("proof"))
+    out = proved.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _field_sql(c: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+_LEAF = " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", "text")))
+_CHANGED = " || ".join([*map(_field_sql, ("doc_id", "source", "lang", "n_chars")), _field_sql(f"translate(text, {_UP}, {_LOW})")])
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, sha256({_LEAF}) AS d, CASE WHEN {_CRC} % 3 = 0 THEN sha256({_CHANGED}) END AS other,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g
+  FROM documents),
+low(g, l, k, n, d) AS (
+  SELECT g, 0, k, n, d FROM leaf UNION ALL
+  SELECT g, l + 1, k // 8, any_value((n + 7) // 8), sha256(string_agg(d, '' ORDER BY k)) FROM low WHERE n > 1 GROUP BY g, l + 1, k // 8),
+sub AS (SELECT g, l, d FROM low WHERE n = 1),
+high(g, l, k, n, d) AS (
+  SELECT -1, 0, g, (SELECT count(*) FROM sub), d FROM sub UNION ALL
+  SELECT -1, l + 1, k // 8, any_value((n + 7) // 8), sha256(string_agg(d, '' ORDER BY k)) FROM high WHERE n > 1 GROUP BY l + 1, k // 8),
+node AS (SELECT * FROM low WHERE n > 1 UNION ALL SELECT * FROM high WHERE n > 1),
+side AS (
+  SELECT g, l, k, coalesce(string_agg(d, '') OVER (PARTITION BY g, l, k // 8 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lo,
+    coalesce(string_agg(d, '') OVER (PARTITION BY g, l, k // 8 ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS hi FROM node),
+link AS (
+  SELECT g, l, k, lo, hi, g AS g2, l + 1 AS l2, k // 8 AS k2 FROM side WHERE g >= 0 OR l > 0 UNION ALL
+  SELECT sub.g, sub.l, 0, lo, hi, -1, 1, side.k // 8 FROM sub JOIN side ON side.g = -1 AND side.l = 0 AND side.k = sub.g),
+walk(doc_id, g, l, k, h, proof) AS (
+  SELECT doc_id, g, 0, k, coalesce(other, d), '' FROM leaf UNION ALL
+  SELECT doc_id, g2, l2, k2, sha256(lo || h || hi), proof || lo || hi FROM walk JOIN link USING (g, l, k)),
+done AS (SELECT doc_id, max_by(h, length(proof)) AS h, max_by(proof, length(proof)) AS proof FROM walk GROUP BY doc_id)
+SELECT leaf.doc_id, leaf.d AS leaf, sub.d AS subroot, (SELECT d FROM high WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+  h AS folded_root, h = (SELECT d FROM high WHERE n = 1) AS verified
+FROM leaf JOIN sub USING (g) JOIN done USING (doc_id)
+"""
+
+
+@query
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op12_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_corpus(table(spark, sf_dir, "documents"))
