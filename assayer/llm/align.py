@@ -14,6 +14,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,8 @@ class Coder:
         if not all(self.a_bytes) or not all(self.b_bytes):
             raise ValueError("an entry without bytes could end where another does")
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_names, self.b_names = (list(map(str, range(len(x)))) for x in (self.a_bytes, self.b_bytes))
+        #: What stands for a token among the groups: its number and the mark behind it, A's first.
+        self.entries = [b"%d%c" % (k, mark) for known, marks in ((self.a_bytes, b",|"), (self.b_bytes, b",;")) for mark in marks for k in range(len(known))]
 
     def linkable(self) -> int:
         """How many pairs of an A and a B entry there are of which one is a suffix of the other."""
@@ -120,28 +122,37 @@ def common_ends(left: np.ndarray, right: np.ndarray, first: np.ndarray) -> np.nd
             waits = waits[cut[waits] < 0]
             if not len(waits):
                 break
-        low, high = np.concatenate([low, seen_high]), np.concatenate([seen_low, high])
+        low, high = np.stack([low, seen_high], 1).ravel(), np.stack([seen_low, high], 1).ravel()  # in order, so that probes read onwards
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids behind one another, and where each text's begin."""
+    first = np.concatenate([[0], np.cumsum(list(map(len, lists)))]).astype(np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(first[-1])), first
 
 
 def _rows(known: Coder, texts: list[str]) -> Iterator[tuple]:
-    """Of each text its counts, the digest of its groups, and its links as pairs with how often each stands there."""
+    """Of each text its counts, the digest of its groups, and its links as pairs with how often each stands there.
+
+    The groups of all texts are written at once: a token's entry is its number with the mark that follows it, a comma, or
+    after the last of its side of a group the bar or the semicolon, and a side's tokens go behind all of the groups before.
+    """
     ids = known.encode(texts)
-    flat_a, flat_b = (np.fromiter((i for pair in ids for i in pair[k]), np.int64) for k in (0, 1))
-    first_a, first_b = (np.concatenate([[0], np.cumsum([len(pair[k]) for pair in ids])]).astype(np.int64) for k in (0, 1))
+    (flat_a, first_a), (flat_b, first_b) = (_flat([pair[k] for pair in ids]) for k in (0, 1))
     ends_a, ends_b = np.cumsum(known.a_sizes[flat_a]), np.cumsum(known.b_sizes[flat_b])
-    cut_a = np.flatnonzero(common_ends(ends_a, ends_b, first_a))
+    last_a, last_b = common_ends(ends_a, ends_b, first_a), np.zeros(len(flat_b), bool)
+    cut_a = np.flatnonzero(last_a)
     cut_b = np.searchsorted(ends_b, ends_a[cut_a])
-    links, text_of = flat_a[cut_a] * _PAIR + flat_b[cut_b], np.searchsorted(cut_a, first_a)
+    last_b[cut_b] = True
+    entries = np.empty(len(flat_a) + len(flat_b), np.int64)
+    entries[np.arange(len(flat_a)) + np.concatenate([[0], cut_b + 1])[np.cumsum(last_a) - last_a]] = flat_a + last_a * len(known.a_bytes)
+    entries[np.arange(len(flat_b)) + np.append(cut_a + 1, 0)[np.cumsum(last_b) - last_b]] = flat_b + last_b * len(known.b_bytes) + 2 * len(known.a_bytes)
+    links, text_of, first = flat_a[cut_a] * _PAIR + flat_b[cut_b], np.searchsorted(cut_a, first_a), first_a + first_b
     for k, (x, y) in enumerate(ids):
         a, b = text_of[k], text_of[k + 1]
-        stops = zip((cut_a[a:b] + 1 - first_a[k]).tolist(), (cut_b[a:b] + 1 - first_b[k]).tolist())
-        names_a, names_b = list(map(known.a_names.__getitem__, x)), list(map(known.b_names.__getitem__, y))
-        groups, i, j = [], 0, 0
-        for p, q in stops:
-            groups.append(f"{names_a[i] if p == i + 1 else ','.join(names_a[i:p])}|{names_b[j] if q == j + 1 else ','.join(names_b[j:q])}")
-            i, j = p, q
+        groups = b"".join(map(known.entries.__getitem__, entries[first[k] : first[k + 1]].tolist()))[:-1]
         pairs, times = np.unique(links[a:b], return_counts=True)
-        yield len(x), len(y), len(groups), b - a, hashlib.sha256(";".join(groups).encode()).hexdigest() if x else "", pairs, times
+        yield len(x), len(y), b - a, b - a, hashlib.sha256(groups).hexdigest() if x else "", pairs, times
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
