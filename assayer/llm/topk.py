@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from assayer.llm.shared import Scratch
 
-#: Rows of a block and queries that are scored together: a score array is a product of both.
-BLOCK, TOGETHER = 4096, 128
+#: Rows of a block and queries that are scored together: the array of their scores stays in a core's cache.
+BLOCK, TOGETHER = 4096, 32
 #: Rows that a group holds about; a task holds one group of them and streams the queries past it.
 GROUP = 131_072
 _LONG = (1 << 63) - 1
@@ -42,23 +42,24 @@ class Postings:
         self.ids, self.rows, weights = ids[order], rows[order], weights[order]
         self.by_row = np.argsort(self.rows)
         held = [np.flatnonzero(weights[:, t]) for t in range(weights.shape[1])]
-        self.terms = [(at, weights[at, t]) for t, at in enumerate(held)]
+        # A term that over half of the rows hold has a weight for every row, zeros too: adding in order beats scattering.
+        held = [np.arange(len(ids)) if 2 * len(at) > len(ids) else at for at in held]
         self.wide = weights.dtype == object
         self.most = int(np.abs(weights).sum(axis=1).max(initial=0))
+        self.narrow = not self.wide and self.most < 1 << 31
+        self.terms = [(at, weights[at, t].astype(np.int32) if self.narrow else weights[at, t]) for t, at in enumerate(held)]
 
     def scores(self, queries: np.ndarray) -> np.ndarray:
         """A dense row of scores for each query: its terms, one after another, are scattered over their postings."""
         out = np.zeros((len(queries), len(self.ids)), queries.dtype)
+        part = np.empty_like(out)
         for t in range(min(queries.shape[1], len(self.terms))):
             at, weights = self.terms[t]
             asked = np.flatnonzero(queries[:, t])
-            if not len(at) or not len(asked):
-                continue
-            part = np.multiply.outer(queries[asked, t], weights)
-            if part.shape == out.shape:
-                out += part
-            else:
-                out[np.ix_(asked, at)] += part
+            if len(at) == out.shape[1] and 2 * len(asked) > len(out):
+                out += np.multiply.outer(queries[:, t], weights, out=part)
+            elif len(at) and len(asked):
+                out[np.ix_(asked, at)] += np.multiply.outer(queries[asked, t], weights)
         return out
 
     def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,12 +68,11 @@ class Postings:
         Score and place are one number, so that of equal scores the smaller id is selected.
         """
         n = len(self.ids)
-        if self.wide or int(np.abs(queries).max(initial=0)) * self.most * n >= 1 << 61:
-            queries = queries.astype(object)
-        none = -(1 << 200) if queries.dtype == object else np.iinfo(np.int64).min
-        scores = self.scores(queries)
-        if scores.dtype == object:
-            scores = np.minimum(np.maximum(scores, -_LONG - 1), _LONG)
+        reach = int(np.abs(queries).max(initial=0)) * self.most
+        wide = self.wide or reach * n >= 1 << 61
+        none = -(1 << 200) if wide else np.iinfo(np.int64).min
+        scores = self.scores(queries.astype(object if wide else np.int32 if self.narrow and reach < 1 << 31 else np.int64))
+        scores = np.minimum(np.maximum(scores, -_LONG - 1), _LONG) if wide else scores.astype(np.int64)
         key = scores * n + (n - 1 - np.arange(n))
         place = self.by_row[np.minimum(np.searchsorted(self.rows, own, sorter=self.by_row), n - 1)]
         hit = self.rows[place] == own
@@ -155,7 +155,7 @@ def search(vectors: DataFrame, asks: Column, k: int = 5, id: str = "vec_id", vec
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // GROUP))
     held = rows.select(F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("g"), F.lit(False).alias("asks"), "id", "row", "w")
     asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(True).alias("asks"), "id", "row", "w")
-    dealt = held.unionByName(asked).repartition(groups, "g").sortWithinPartitions("g", "asks")
+    dealt = held.unionByName(asked).repartitionByRange(groups, "g").sortWithinPartitions("g", "asks")
     found = dealt.mapInArrow(_search(k), "query long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
