@@ -57,7 +57,7 @@ def slice_tokens(text: Column) -> Column:
 
 
 def slice_similarity(a: Column, b: Column) -> Column:
-    return jaccard(slice_tokens(a), slice_tokens(b))
+    return let(slice_tokens(a), lambda x: let(slice_tokens(b), lambda y: jaccard(x, y)))
 
 
 def statements(text: Column) -> Column:
@@ -66,26 +66,30 @@ def statements(text: Column) -> Column:
     return F.filter(bare, lambda s: ~s.isin(*NO_STATEMENT))
 
 
-def times(rows: Column, one: Column) -> Column:
-    return F.size(F.filter(rows, lambda s: s == one))
+def tagged(rows: Column) -> Column:
+    """A multiset as a set: each element with the number of its equals before it, so that set functions count."""
+    return let(F.array_sort(rows), lambda r: F.transform(r, lambda s, i: F.concat(s, F.lit("#"), (i + 1 - F.array_position(r, s)).cast("string"))))
 
 
 def minus(a: Column, b: Column) -> Column:
     """Multiset difference: each element of ``a`` as often as it stands there more than in ``b``."""
-    return F.flatten(F.transform(F.array_distinct(a), lambda s: F.array_repeat(s, F.greatest(times(a, s) - times(b, s), F.lit(0)))))
+    return F.transform(F.array_except(tagged(a), tagged(b)), lambda s: F.regexp_replace(s, r"#[0-9]+\z", ""))
 
 
 def balanced(text: Column) -> Column:
-    """Braces never close what is not open, close all in the end, and there is one at least."""
+    """Braces never close what is not open, close all in the end, and there is one at least.
+
+    Texts whose braces differ in number need no look at their order.
+    """
     braces = F.filter(F.split(F.regexp_replace(text, r"[^{}]", ""), ""), lambda c: c != "")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"))
 
     def step(acc: Column, c: Column) -> Column:
         depth = acc["depth"] + F.when(c == "{", 1).otherwise(-1)
         return F.struct(depth.alias("depth"), F.least(acc["low"], depth).alias("low"))
 
-    end = F.aggregate(braces, start, step)
-    return (end["depth"] == 0) & (end["low"] == 0) & (F.size(braces) > 0)
+    opened = F.regexp_count(text, F.lit(r"\{"))
+    low = F.aggregate(braces, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low")), step, lambda end: end["low"])
+    return F.when((opened > 0) & (opened == F.regexp_count(text, F.lit(r"\}"))), low == 0).otherwise(False)
 
 
 def proper_subset(a: Column, b: Column) -> Column:
@@ -152,12 +156,17 @@ def static_issues(candidate: Column, vulnerable: Column) -> Column:
 
 def intact_rows(candidate: Column, vulnerable: Column, most: int = 12) -> Column:
     """Slice lines of the vulnerable text that still stand in the candidate, at most so many."""
+    return intact_among(candidate, slice_rows(vulnerable), most)
+
+
+def intact_among(candidate: Column, rows: Column, most: int = 12) -> Column:
+    """Those of the lines, at most so many, that still stand in the candidate."""
 
     def one_blank(s: Column) -> Column:
         return F.regexp_replace(s, r"\s+", " ")
 
     have = F.transform(code_lines(candidate), lambda s: one_blank(F.regexp_replace(s, r"^\s+|\s+$", "")))
-    return F.slice(let(have, lambda h: F.filter(slice_rows(vulnerable), lambda s: F.array_contains(h, one_blank(s)))), 1, most)
+    return F.slice(let(have, lambda h: F.filter(rows, lambda s: F.array_contains(h, one_blank(s)))), 1, most)
 
 
 def last_answer(text: Column) -> Column:

@@ -29,15 +29,10 @@ def _edits(left: list[str], right: list[str]) -> list[tuple[range, range]]:
     return out
 
 
-def changed_lines(a: str | None, b: str | None) -> list[int]:
-    """Lines of ``a`` (from 0) that an edit to ``b`` removes or replaces; an insertion counts as the line before it.
-
-    At the very start that is line 0.
-    """
-    out: set[int] = set()
-    for old, _ in _edits(_rows(a), _rows(b)):
-        out.update(old if len(old) else [max(0, old.start - 1)])
-    return sorted(out)
+def script(a: str | None, b: str | None) -> list[tuple[str, int, int, int, int]]:
+    """The edits from ``a`` to ``b`` in order: tag, and the lines (from 0, the end not included) of either side."""
+    found = _edits(_rows(a), _rows(b))
+    return [("replace" if len(x) and len(y) else "delete" if len(x) else "insert", x.start, x.stop, y.start, y.stop) for x, y in found]
 
 
 def edit_size(a: str | None, b: str | None) -> int:
@@ -88,19 +83,18 @@ def functions_of(text: str | None) -> list[tuple[str, str]]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def changed_lines_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([changed_lines(x, y) for x, y in zip(a, b)])
+_EDIT = T.StructType().add("tag", "string").add("a_from", "integer").add("a_to", "integer").add("b_from", "integer").add("b_to", "integer")
 
 
-@F.pandas_udf(T.IntegerType())
-def edit_size_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_size(x, y) for x, y in zip(a, b)])
+@F.pandas_udf(T.StructType().add("edits", T.ArrayType(_EDIT)).add("size", "integer"))
+def compare_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The script of edits between two texts, and its size."""
+    return pd.DataFrame([([dict(zip(_EDIT.names, e)) for e in script(x, y)], edit_size(x, y)) for x, y in zip(a, b)], columns=["edits", "size"])
 
 
 @F.pandas_udf(T.StringType())
 def unified_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([unified(x, y) for x, y in zip(a, b)])
+    return pd.Series([unified(x, y) for x, y in zip(a, b)], dtype=object)
 
 
 @F.pandas_udf(T.StructType([T.StructField("applied", T.BooleanType()), T.StructField("text", T.StringType())]))

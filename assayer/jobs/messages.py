@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from assayer.functions import code as C
-from assayer.functions import diff as D
 from assayer.functions import text as X
 from assayer.jobs.base import Tables, query
 from assayer.jobs.repair import _ITEMS, _KNOWN, _filled, _filled_sql, _tokens, items
+from assayer.operators import edits as E
 
 #: What stands below each message; the fix adds the line with the limit.
 BELOW = "\r\nSigned-off-by: A B <a@b.c>\nNote: https://example.org/1\n- gone\n  return -1;\n\n\n\n  if (len > limit) goto out\nshort\n(cherry picked from 1)\nMerge branch x\nbug 7: kept\n[1.2]\n"
@@ -43,7 +43,7 @@ SELECT k, array_to_string(list_sort(list_filter(said, lambda z: list_contains(na
  regexp_extract(de, '{X.REMEDY.replace("'", "''")}') AS remedy, len(regexp_extract_all(de, '\S+'))::INT AS words FROM n""")
 def cues(spark, sf_dir):
     """What the description of each item gives away of the place and kind of its fix."""
-    rows = items(Tables(spark, sf_dir)).withColumns({"de": _filled(DESCRIPTIONS), "off": D.changed_lines_udf("v", "f"), "vl": C.code_lines(F.col("v")), "fl": C.code_lines(F.col("f"))})
+    rows = E.with_script(items(Tables(spark, sf_dir)), "v", "f", "fix").withColumns({"de": _filled(DESCRIPTIONS), "off": E.changed_lines(F.col("fix")), "vl": C.code_lines(F.col("v")), "fl": C.code_lines(F.col("f"))})
     bare = lambda s: F.regexp_replace(s, r"\s+", "")
     new = F.filter("fl", lambda s: ~F.array_contains(F.transform("vl", bare), bare(s)))
     fix = F.array_join(F.concat(F.transform("off", lambda i: F.get("vl", i)), new), "\n")

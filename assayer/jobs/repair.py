@@ -9,6 +9,7 @@ from assayer.functions import code as C
 from assayer.functions import diff as D
 from assayer.functions import stats
 from assayer.jobs.base import Tables, query
+from assayer.operators import edits as E
 from assayer.operators import judge as J
 from assayer.operators import ladder
 from assayer.operators import tests as T
@@ -212,12 +213,12 @@ def outcome_shares(spark, sf_dir):
 
 
 def _lines_of(t: Tables) -> DataFrame:
-    """Changed lines and sizes of each candidate and of the fix, and the number of lines."""
-    c = candidates(t).select("k", "t", "kind", "v", "f", "p")
-    sizes = lambda a, b: D.edit_size_udf(F.col(a), F.col(b))
-    return c.select(
-        "k", "t", "kind", D.changed_lines_udf("v", "p").alias("mine"), D.changed_lines_udf("v", "f").alias("off"), sizes("v", "p").alias("size"), sizes("v", "f").alias("off_size"),
-        F.size(C.code_lines(F.col("v"))).alias("lines"))
+    """Changed lines and sizes of each candidate and of the fix, and the number of lines; a function and its fix are compared once."""
+    made = E.with_script(items(t).select("k", "t", "n", "v", "f"), "v", "f", "fix").withColumn("off", E.changed_lines(F.col("fix")))
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), _filled(texts).alias("p")) for kind, texts in CANDIDATES.items()))
+    each = made.select("k", "t", "v", "off", F.col("fix.size").alias("off_size"), F.inline(kinds))
+    return E.with_script(each, "v", "p", "own").select(
+        "k", "t", "kind", E.changed_lines(F.col("own")).alias("mine"), "off", F.col("own.size").alias("size"), "off_size", F.size(C.code_lines(F.col("v"))).alias("lines"))
 
 
 @query(f"WITH {_KNOWN}, i AS (SELECT p_partkey AS k, p_partkey % 4 AS t FROM part) SELECT k, kind, array_to_string(mine, ',') AS mine, array_to_string(off, ',') AS off, size::BIGINT AS size, off_size::BIGINT AS off_size FROM i JOIN kn USING (t)")
@@ -232,8 +233,10 @@ _MEASURED = f"""{_KNOWN}, {_RUNS}, m AS (SELECT r.*, mine, off, size, off_size,
 
 def _measured(t: Tables) -> DataFrame:
     """Runs with the changed lines of their candidate and of the fix; ``same`` where no statement changed."""
-    rows = _judged_runs(t).join(_lines_of(t), ["k", "kind"])
-    return rows.withColumns({"same": F.col("reason") == J.UNCHANGED, "common": F.size(F.array_intersect("mine", "off"))})
+    same = C.tagged(C.statements(F.col("v"))) == C.tagged(C.statements(F.col("p")))
+    unchanged = candidates(t).select("k", "kind", same.alias("same"))
+    rows = runs(t).join(_lines_of(t).join(unchanged, ["k", "kind"]), ["k", "kind"])
+    return rows.withColumn("common", F.size(F.array_intersect("mine", "off")))
 
 
 @query(f"""WITH {_MEASURED}, s AS (SELECT arm, count(*) AS n, count(*) FILTER (common > 0) AS touched, median(size) AS size, median(off_size) AS off_size FROM m WHERE NOT same GROUP BY arm), p AS (SELECT *, touched::DOUBLE / n AS p FROM s)
@@ -295,24 +298,11 @@ def line_evidence(spark, sf_dir):
     return e.select("arm", _r(precision).alias("precision"), _r(recall).alias("recall"), _r(f1).alias("f1"))
 
 
-def _hunks(lines: Column) -> Column:
-    """Starts and ends of runs of line numbers with gaps of two at most."""
-    start = F.array().cast("array<struct<s:int,e:int>>")
-
-    def step(acc: Column, i: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        one = F.struct(i.alias("s"), i.alias("e"))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), i.alias("e"))))
-        return F.when((F.size(acc) > 0) & (i <= last["e"] + 2), grown).otherwise(F.concat(acc, F.array(one)))
-
-    return F.aggregate(lines, start, step)
-
-
 def anatomy_of(rows: DataFrame) -> DataFrame:
-    """How a patch relates to the fix: hunks met, kinds of both edits, relation, and shared names. Takes v, f, p, mine, off."""
+    """How a patch relates to the fix: hunks met, kinds of both edits, relation, and shared names. Takes v, f, p, and the scripts fix and own."""
     out = rows.withColumns({"sv": C.statements(F.col("v")), "sf": C.statements(F.col("f")), "sp": C.statements(F.col("p"))})
     sv, sf, sp = F.col("sv"), F.col("sf"), F.col("sp")
-    out = out.withColumns({"fr": C.minus(sv, sf), "fa": C.minus(sf, sv), "pr": C.minus(sv, sp), "pa": C.minus(sp, sv), "hunks": _hunks(F.col("off"))})
+    out = out.withColumns({"fr": C.minus(sv, sf), "fa": C.minus(sf, sv), "pr": C.minus(sv, sp), "pa": C.minus(sp, sv), "hunks": E.hunks(F.col("fix")), "mine": E.changed_lines(F.col("own"))})
     out = out.withColumns({"fset": F.array_union("fr", "fa"), "pset": F.array_union("pr", "pa"), "fi": C.edit_names(F.col("fa")), "pi": C.edit_names(F.col("pa"))})
     met = F.size(F.filter("hunks", lambda h: F.exists("mine", lambda i: (i >= h["s"] - 1) & (i <= h["e"] + 1))))
     none = F.size(F.array_intersect("fset", "pset")) == 0
@@ -351,7 +341,7 @@ SELECT k, kind, len(hs)::INT AS n_hunks, len(list_filter(hs, lambda h: len(list_
 def anatomy(spark, sf_dir):
     """The anatomy of each candidate beside its fix."""
     t = Tables(spark, sf_dir)
-    rows = candidates(t).join(_lines_of(t).select("k", "kind", "mine", "off"), ["k", "kind"])
+    rows = E.with_script(E.with_script(candidates(t), "v", "f", "fix"), "v", "p", "own")
     return anatomy_of(rows).select("k", "kind", "n_hunks", "hunks_covered", "relation", "fix_kind", "patch_kind", "var_jaccard", "fix_stmts", "patch_stmts")
 
 

@@ -6,25 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import code as C
+from assayer.functions.text import jaccard
 
 EXACT, COVERS, MISSING = "equivalent_to_official_fix", "covers_official_fix_changes", "missing_official_fix_changes"
 UNCHANGED, UNBALANCED = "unchanged", "unbalanced_braces"
 REASONS = (EXACT, COVERS, MISSING, UNCHANGED, UNBALANCED)
 
 
+_ADDED = ("reason", "similarity", "validated", "severed")
+
+
 def judge(rows: DataFrame, vulnerable: str = "v", fixed: str = "f", patch: str = "p") -> DataFrame:
     """``validated``, ``reason``, ``similarity`` to the vulnerable slice and ``severed`` for each row's patch.
 
     A patch is accepted if it changes the statements, keeps the braces balanced, and either has the statements of the
     fix or removes and adds, as multisets, all that the fix removes and adds.  Severance is reported, not judged by.
+    Null texts count as empty; columns of these four names are replaced, all others stay.
+
+    Each different pair of a function and its fix is read once and joined to its patches.
     """
-    names = ("__v", "__f", "__p")
-    out = rows.withColumns({n: C.statements(F.col(c)) for n, c in zip(names, (vulnerable, fixed, patch))})
-    v, f, p = map(F.col, names)
-    out = out.withColumns({"__lost": C.minus(v, f), "__new": C.minus(f, v), "__lost_p": C.minus(v, p), "__new_p": C.minus(p, v)})
-    changed = (F.size("__lost_p") > 0) | (F.size("__new_p") > 0)
-    covers = (F.size(C.minus(F.col("__lost"), F.col("__lost_p"))) == 0) & (F.size(C.minus(F.col("__new"), F.col("__new_p"))) == 0)
-    reason = F.when(~changed, UNCHANGED).when(~C.balanced(F.col(patch)), UNBALANCED).when(p == f, EXACT).when(covers, COVERS).otherwise(MISSING)
-    out = out.withColumns({"reason": reason, "similarity": C.slice_similarity(F.col(patch), F.col(vulnerable))})
-    out = out.withColumns({"validated": F.col("reason").isin(EXACT, COVERS), "severed": F.col("similarity") < C.INTACT})
-    return out.drop(*names, "__lost", "__new", "__lost_p", "__new_p")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    keyed = rows.drop(*_ADDED).select(F.struct("*").alias("row"), text(vulnerable).alias("v"), text(fixed).alias("f"), text(patch).alias("p"))
+    v, f, p = (F.col(c) for c in ("sv", "sf", "sp"))
+    sides = keyed.select("v", "f").distinct().select("v", "f", C.tagged(C.statements(F.col("v"))).alias("sv"), C.tagged(C.statements(F.col("f"))).alias("sf"), C.statements(F.col("f")).alias("rows_f"), C.slice_tokens(F.col("v")).alias("tv"))
+    sides = sides.select("v", "f", "sv", "rows_f", "tv", F.array_except(v, f).alias("lost"), F.array_except(f, v).alias("new"))
+    read = keyed.join(sides, ["v", "f"]).withColumns({"rows_p": C.statements(F.col("p")), "tp": C.slice_tokens(F.col("p"))}).withColumn("sp", C.tagged(F.col("rows_p")))
+    out = read.withColumns({"lost_p": F.array_except(v, p), "new_p": F.array_except(p, v)})
+    changed = (F.size("lost_p") > 0) | (F.size("new_p") > 0)
+    covers = (F.size(F.array_except("lost", "lost_p")) == 0) & (F.size(F.array_except("new", "new_p")) == 0)
+    exact = F.col("rows_p") == F.col("rows_f")
+    reason = F.when(~changed, UNCHANGED).when(~C.balanced(F.col("p")), UNBALANCED).when(exact, EXACT).when(covers, COVERS).otherwise(MISSING)
+    out = out.select("row", reason.alias("reason"), jaccard(F.col("tp"), F.col("tv")).alias("similarity"))
+    return out.select("row.*", "reason", "similarity", F.col("reason").isin(EXACT, COVERS).alias("validated"), (F.col("similarity") < C.INTACT).alias("severed"))

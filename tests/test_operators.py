@@ -97,16 +97,7 @@ def test_balance_and_lines(spark):
     assert spark.range(1).select(X.lines(F.lit("a\nb\n"))).first()[0] == ["a", "b"]
 
 
-def test_changed_lines_and_anchors():
-    """An insertion counts as the line before it, at the start as line 0."""
-    assert D.changed_lines("a\nb\nc", "a\nx\nc") == [1]
-    assert D.changed_lines("a\nb\nc", "a\nX\nb\nc") == [0]
-    assert D.changed_lines("a\nb\nc", "a\nb\nX\nc") == [1]
-    assert D.changed_lines("a\nb\nc", "X\na\nb\nc") == [0]
-    assert D.changed_lines("a\nb", "a\nb\nc") == [1]
-    assert D.changed_lines("a\nb\nc\nd", "a\nd") == [1, 2]
-    assert D.changed_lines("  a\nb", "a\n\tb") == []
-    assert D.changed_lines("a", "a") == [] and D.changed_lines(None, None) == [] and D.changed_lines("", "a") == [0]
+def test_edit_size():
     assert D.edit_size("a\nb", "a\nc\nd") == 3 and D.edit_size("x\nx\ny", "x\ny") == 1
 
 

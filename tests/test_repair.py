@@ -8,14 +8,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import code as C
-from assayer.functions import diff as D
 from assayer.functions import variants as V
 from assayer.jobs import answers, repair
 from assayer.jobs.base import Tables
 from assayer.jobs.variants import variants
+from assayer.operators import edits as E
 from assayer.operators import judge
 
 SF = "/root/testdata/sf0.001"
+IDLE = ["\t" + s for s in V.IDLE]
 
 
 def plain_statements(text):
@@ -72,8 +73,8 @@ def test_slices_by_plain_python(spark):
 
 def test_anatomy_by_hand(spark):
     v, f = repair.FUNCTIONS[3]
-    rows = [(v, f, repair.CANDIDATES[k][3], D.changed_lines(v, repair.CANDIDATES[k][3]), D.changed_lines(v, f)) for k in ("partial", "other", "extra")]
-    a, b, c = repair.anatomy_of(spark.createDataFrame(rows, "v string, f string, p string, mine array<int>, off array<int>")).collect()
+    rows = spark.createDataFrame([(k, v, f, repair.CANDIDATES[kind][3]) for k, kind in enumerate(("partial", "other", "extra"))], "k int, v string, f string, p string")
+    a, b, c = repair.anatomy_of(E.with_script(E.with_script(rows, "v", "f", "fix"), "v", "p", "own")).orderBy("k").collect()
     assert (a.n_hunks, a.hunks_covered, a.relation, a.fix_stmts, a.patch_stmts) == (2, 1, "incomplete", 2, 1)
     assert (a.fix_kind, a.patch_kind) == ("other", "guard") and (b.relation, b.patch_kind, b.var_jaccard) == ("different", "bound", 0.0)
     assert (c.hunks_covered, c.relation) == (2, "overlapping")
@@ -81,7 +82,7 @@ def test_anatomy_by_hand(spark):
 
 def test_hunks(spark):
     cases = {(): [], (4,): [(4, 4)], (1, 2, 4, 7, 9, 12): [(1, 4), (7, 9), (12, 12)]}
-    df = spark.createDataFrame([(list(k),) for k in cases], "x array<int>").select("x", repair._hunks(F.col("x")).alias("h"))
+    df = spark.createDataFrame([(list(k),) for k in cases], "x array<int>").select("x", E.runs_of(F.col("x")).alias("h"))
     assert {tuple(r.x): [tuple(h) for h in r.h] for r in df.collect()} == cases
 
 
@@ -110,26 +111,27 @@ def test_replies(spark):
 
 
 def test_variants_keep_their_slices(spark):
-    """Names are changed as a whole and come back; dead code outside the slice is certified, inside it is not."""
+    """Names are changed as a whole and come back, and idle statements leave the slice as it was."""
     rows = variants(Tables(spark, SF)).collect()
-    assert 0 < sum(r.certified for r in rows) < len(rows)
+    assert all(r.certified and r.accepted for r in rows) and {r.renamed > 0 for r in rows} == {True}
+    assert any(set(r.b.splitlines()) & set(IDLE) for r in rows)
     for r in rows:
-        assert r.accepted == (r.certified and r.similarity >= 0.9)
-        left = [s.strip() for s in r.undone.splitlines() if s not in V.DEAD]
-        assert left == [s.strip() for s in r.v.splitlines()]
-        dead = "_tmp_dead" in r.b and re.search(r"\bint b\[", r.v)
-        if "int _tmp_dead = 0;" not in r.b:
-            assert r.certified
-        elif dead:
-            assert not r.certified
+        assert r.b != r.v and [s.strip() for s in r.undone.splitlines() if s not in IDLE] == [s.strip() for s in r.v.splitlines()]
+
+
+def test_a_variant_that_changes_its_slice_is_not_certified(spark):
+    canonical = C.slice_tokens(F.col("t"))
+    a, b = (set(r.s) for r in spark.createDataFrame([("f(a)\nb = c",), ("f(a)\nb = c\ng = c",)], "t string").select(canonical.alias("s")).collect())
+    assert a != b
 
 
 def test_names_outside_literals():
     code = 'int f(char *p, int n) {\n  struct s *q = p->n;\n  puts("n p"); // n\n  q.n = n; MAXX = n;\n  /* p */ return n;\n}'
-    assert V.locals_of(code) == ["q"] or set(V.locals_of(code)) <= {"p", "q"}
+    assert V.locals_of(code) == ["p", "q"]
     out, names = V.variant(code, 5)
-    assert '"n p"' in out and "// n" in out and "/* p */" in out
-    assert [s.strip() for s in V.renamed(out, names).splitlines() if s not in V.DEAD] == [s.strip() for s in code.splitlines()]
+    assert '"n p"' in out and "// n" in out and "/* p */" in out and "->n" in out and "return n;" in out
+    assert [s.strip() for s in V.renamed(out, names).splitlines() if s not in IDLE] == [s.strip() for s in code.splitlines()]
+    assert V.variant(None, 1) == ("", {}) and V.variant("", 1) == ("", {})
 
 
 @pytest.mark.parametrize("text,parts", [("a, b{c,d{e}},f", ["a", "b{c,d{e}}", "f"]), ("", [""]), ("{a,b},", ["{a,b}", ""])])
