@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,14 @@ _TOGETHER = 1 << 20
 _NEAR = 4
 
 
+# How A's tokenizer cuts a text into words before it merges bytes.
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Texts of these characters alone are cut by ``_WORD``: what they are is the same in all versions of Unicode.
+_SETTLED = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e]*")
+#: Words whose ids a worker remembers at most.
+_REMEMBERED = 500_000
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of a byte-level vocabulary: printable Latin-1 characters are themselves, the rest follow from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -60,6 +70,7 @@ class Coder:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode())
         if not all(self.a_bytes) or not all(self.b_bytes):
             raise ValueError("an entry without bytes could end where another does")
+        self.words: dict[str, list[int]] = {}
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         #: What stands for a token among the groups: its number and the mark behind it, A's first.
         self.entries = [b"%d%c" % (k, mark) for known, marks in ((self.a_bytes, b",|"), (self.b_bytes, b",;")) for mark in marks for k in range(len(known))]
@@ -73,10 +84,26 @@ class Coder:
         shorter = sum(of_b.get(e[j:], 0) * n for e, n in of_a.items() for j in range(len(e)))
         return shorter + sum(of_a.get(e[j:], 0) * n for e, n in of_b.items() for j in range(1, len(e)))
 
+    def encode_bytes(self, texts: list[str]) -> list[list[int]]:
+        """A's ids.  A word's are the same wherever it stands, so each is encoded once and remembered; texts with other characters go to the tokenizer whole."""
+        out: list = [None] * len(texts)
+        words = {k: _WORD.findall(t) for k, t in enumerate(texts) if _SETTLED.fullmatch(t)}
+        new = list(set(chain.from_iterable(words.values())).difference(self.words))
+        if len(self.words) + len(new) > _REMEMBERED:
+            self.words.clear()
+            new = list(set(chain.from_iterable(words.values())))
+        self.words.update(zip(new, (e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False))))
+        for k, found in words.items():
+            out[k] = list(chain.from_iterable(map(self.words.__getitem__, found)))
+        rest = [k for k in range(len(texts)) if k not in words]
+        for k, e in zip(rest, self.a.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
+
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """The ids of both for each text; nothing for an empty one or where the bytes of one differ from the spaced text."""
         spaced = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        a = self.encode_bytes(spaced)
         b = self.b.encode(texts, num_threads=1)
         out = []
         for text, t, x, y in zip(texts, spaced, a, b):

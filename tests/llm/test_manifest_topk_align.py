@@ -7,6 +7,7 @@ import sys
 
 import numpy as np
 import oracle
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,21 @@ def test_linkable_pairs_are_few(spark):
     for p in pairs[::37].tolist():
         a, b = known.a_bytes[p // align._PAIR], known.b_bytes[p % align._PAIR]
         assert a.endswith(b) or b.endswith(a)
+
+
+def test_remembered_words_are_those_of_the_tokenizer():
+    coder, draw = align.coder(align.FOLDER), random.Random(9)
+    pool = ["a", "B", "é", "ß", "ǅ", "7", "²", "½", " ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "'", "-", "…", "“", "_", ".", "<|endoftext|>", "\u00a0", "\u2028", "\x1f", "\x85", "漢", "👍", "\u0301", "ª", "٣", "\u00ad"]
+    texts = ["".join(draw.choice(pool[:22] if n % 2 else pool) for _ in range(draw.randint(0, 30))) for n in range(4000)]
+    want = [e.ids for e in coder.a.encode_batch(texts, add_special_tokens=False)]
+    assert coder.encode_bytes(texts) == want
+    assert sum(bool(align._SETTLED.fullmatch(t)) for t in texts) > 1000
+    docs = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    assert coder.encode_bytes(docs) == [e.ids for e in coder.a.encode_batch(docs, add_special_tokens=False)]
+
+
+def test_few_words_are_remembered(monkeypatch):
+    coder = align.Coder(align.FOLDER)
+    monkeypatch.setattr(align, "_REMEMBERED", 3)
+    texts = [" one two", " three four five", " one six", "", " two"]
+    assert [coder.encode_bytes([t])[0] for t in texts] == [coder.a.encode(t, add_special_tokens=False).ids for t in texts]
