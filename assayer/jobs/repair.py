@@ -14,6 +14,7 @@ from assayer.operators import judge as J
 from assayer.operators import ladder
 from assayer.operators import tests as T
 from assayer.operators import windows as W
+from assayer.operators.joins import spread
 
 #: Four functions before and after their fix; {k} is the part, {n} its size.
 FUNCTIONS = (
@@ -62,7 +63,7 @@ def _filled_sql(texts: tuple[str, ...]) -> str:
 def items(t: Tables) -> DataFrame:
     """``k``, ``n``, ``t``, the weakness class and the function before (``v``) and after (``f``) its fix."""
     rows = t.part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"), (F.col("p_partkey") % 4).cast("int").alias("t"), F.concat(F.lit("CWE-"), (F.col("p_size") % 5).cast("string")).alias("cwe"))
-    return rows.withColumns({"v": _filled(tuple(v for v, _ in FUNCTIONS)), "f": _filled(tuple(f for _, f in FUNCTIONS))})
+    return spread(rows, "k").withColumns({"v": _filled(tuple(v for v, _ in FUNCTIONS)), "f": _filled(tuple(f for _, f in FUNCTIONS))})
 
 
 def candidates(t: Tables) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.functions import stats
 from assayer.jobs.base import Tables, query
 from assayer.operators import sampling
+from assayer.operators import ranks as R
 from assayer.operators import tests as T
 from assayer.operators.windows import holm
 
@@ -156,28 +157,36 @@ def cohens_h(spark, sf_dir):
     return r.select("lang", _r(stats.cohens_h(F.col("q"), F.col("p"))).alias("h"))
 
 
+_WEIGHT = "(" + " + ".join(f"(u >= {t})::BIGINT" for t in T.POISSON) + ")"
+#: Draws over units ``u`` (g, id, v) with Poisson weights from the same counters.
+_WEIGHTED = f"""
+x AS (SELECT g, v, b, ('0x' || substr(md5('{{seed}}-' || b || '-' || g || '-' || id), 1, 8))::BIGINT AS u FROM u, range(0, {{draws}}) r(b)),
+w AS (SELECT g, v, b, {_WEIGHT} AS w FROM x), s AS (SELECT g, b, sum(v * w) / nullif(sum(w), 0) AS mean FROM w GROUP BY ALL)"""
+_MEDIANS = f"""
+x AS (SELECT g, v, b, ('0x' || substr(md5('{{seed}}-' || b || '-' || g || '-' || id), 1, 8))::BIGINT AS u FROM u, range(0, {{draws}}) r(b)),
+w AS (SELECT g, v, b, unnest(range(0, {_WEIGHT})) AS j FROM x), s AS (SELECT g, b, median(v) AS mean FROM w GROUP BY ALL)"""
 _DRAWS = """
 n AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM u),
 p AS (SELECT g, b, ('0x' || substr(md5('{seed}-' || b || '-' || i), 1, 8))::BIGINT % m AS i FROM n, range(0, {draws}) r(b)),
 s AS (SELECT p.g, b, avg(v) AS mean FROM p JOIN n ON p.g = n.g AND p.i = n.i GROUP BY ALL)"""
 
 
-@query("WITH u AS (SELECT event_type AS g, avg(value) AS v FROM events GROUP BY event_type, user_id)," + _DRAWS.format(seed="b1", draws=200) + """
+@query("WITH u AS (SELECT event_type AS g, user_id AS id, avg(value) AS v FROM events GROUP BY event_type, user_id)," + _WEIGHTED.format(seed="b1", draws=200) + """
 SELECT g AS event_type, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM s GROUP BY g""")
 def boot_ci(spark, sf_dir):
     """Percentile bootstrap of the mean over units, by a counter hash."""
     units = Tables(spark, sf_dir).events.groupBy("event_type", "user_id").agg(F.avg("value").alias("v"))
-    ci = T.interval(T.bootstrap_means(units, ["event_type"], "v", 200, "b1"), ["event_type"])
+    ci = T.interval(T.weighted_draws(units, ["event_type"], ["user_id"], "v", 200, "b1"), ["event_type"])
     return ci.select("event_type", _r(F.col("lo")).alias("lo"), _r(F.col("hi")).alias("hi"))
 
 
-@query("WITH u AS (SELECT user_id % 5 AS g, round(avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view'), 1) AS v FROM events GROUP BY user_id HAVING v IS NOT NULL)," + _DRAWS.format(seed="b2", draws=200) + """,
+@query("WITH u AS (SELECT user_id % 5 AS g, user_id AS id, round(avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view'), 1) AS v FROM events GROUP BY user_id HAVING v IS NOT NULL)," + _WEIGHTED.format(seed="b2", draws=200) + """,
 e AS (SELECT g, count(*) AS n, avg(v) AS estimate FROM u GROUP BY g)
 SELECT e.g, n, round(estimate, 6) AS estimate, CASE WHEN n >= 10 THEN round(quantile_cont(mean, 0.025), 6) END AS lo, CASE WHEN n >= 10 THEN round(quantile_cont(mean, 0.975), 6) END AS hi FROM e JOIN s ON e.g = s.g GROUP BY e.g, n, estimate""")
 def paired_boot(spark, sf_dir):
     """Paired bootstrap difference; fewer than ten pairs have no interval."""
     d = _differences(Tables(spark, sf_dir))
-    ci = T.interval(T.bootstrap_means(d, ["g"], "d", 200, "b2"), ["g"])
+    ci = T.interval(T.weighted_draws(d, ["g"], ["user_id"], "d", 200, "b2"), ["g"])
     e = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("estimate")).join(ci, "g")
     enough = F.col("n") >= 10
     return e.select("g", "n", _r(F.col("estimate")).alias("estimate"), F.when(enough, _r(F.col("lo"))).alias("lo"), F.when(enough, _r(F.col("hi"))).alias("hi"))
@@ -312,36 +321,36 @@ def t_interval(spark, sf_dir):
 SELECT event_type, quantile_cont(value, 0.5) FILTER (user_id % 2 = 0) - quantile_cont(value, 0.5) FILTER (user_id % 2 = 1) AS d FROM events GROUP BY event_type""".replace("SELECT event_type, quantile", "SELECT event_type, round(quantile", 1).replace(" AS d FROM", ", 6) AS d FROM"))
 def median_difference(spark, sf_dir):
     """Difference of the medians of two independent samples."""
-    even = F.col("user_id") % 2 == 0
-    e = Tables(spark, sf_dir).events
-    return e.groupBy("event_type").agg(_r(F.percentile(F.when(even, F.col("value")), 0.5) - F.percentile(F.when(~even, F.col("value")), 0.5)).alias("d"))
+    e = Tables(spark, sf_dir).events.select("event_type", (F.col("user_id") % 2 == 0).alias("even"), "value")
+    q = R.quantiles(e, ["event_type", "even"], "value", {"median": 0.5})
+    return q.groupBy("event_type").agg(_r(F.max(F.when(F.col("even"), F.col("median"))) - F.max(F.when(~F.col("even"), F.col("median")))).alias("d"))
 
 
-@query("WITH u AS (SELECT event_type || '-' || (user_id % 2) AS g, round(avg(value), 2) AS v FROM events GROUP BY event_type, user_id)," + _DRAWS.format(seed="b5", draws=100).replace("avg(v) AS mean", "median(v) AS mean") + """,
+@query("WITH u AS (SELECT event_type || '-' || (user_id % 2) AS g, user_id AS id, round(avg(value), 2) AS v FROM events GROUP BY event_type, user_id)," + _MEDIANS.format(seed="b5", draws=100) + """,
 d AS (SELECT split_part(g, '-', 1) AS event_type, b, max(mean) FILTER (g LIKE '%-0') - max(mean) FILTER (g LIKE '%-1') AS d FROM s GROUP BY ALL),
 pt AS (SELECT split_part(g, '-', 1) AS event_type, median(v) FILTER (g LIKE '%-0') - median(v) FILTER (g LIKE '%-1') AS estimate FROM u GROUP BY 1)
 SELECT event_type, round(estimate, 6) AS estimate, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi FROM d JOIN pt USING (event_type) GROUP BY event_type, estimate""")
 def median_boot(spark, sf_dir):
     """Bootstrap interval of the difference of two independent samples' medians, each resampled by itself."""
     u = Tables(spark, sf_dir).events.groupBy("event_type", "user_id").agg(F.round(F.avg("value"), 2).alias("v"))
-    u = u.select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 2).cast("string")).alias("g"), "v")
+    u = u.select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 2).cast("string")).alias("g"), "user_id", "v")
     kind, even, odd = F.substring_index("g", "-", 1).alias("event_type"), F.col("g").endswith("-0"), F.col("g").endswith("-1")
-    draws = T.bootstrap(u, ["g"], "v", 100, "b5", F.percentile("v", 0.5))
+    draws = T.weighted_draws(u, ["g"], ["user_id"], "v", 100, "b5", T.weighted_median)
     d = draws.groupBy(kind, "draw").agg((F.max(F.when(even, F.col("mean"))) - F.max(F.when(odd, F.col("mean")))).alias("mean"))
     p = u.groupBy(kind).agg((F.percentile(F.when(even, F.col("v")), 0.5) - F.percentile(F.when(odd, F.col("v")), 0.5)).alias("estimate"))
     return p.join(T.interval(d, ["event_type"]), "event_type").select("event_type", _r(F.col("estimate")).alias("estimate"), _r(F.col("lo")).alias("lo"), _r(F.col("hi")).alias("hi"))
 
 
-_DID_UNITS = """u AS (SELECT (user_id % 5) || '-' || (user_id % 3 = 0)::INT AS g, round(avg(value) FILTER (event_type = 'purchase') - avg(value) FILTER (event_type = 'click'), 2) AS v FROM events GROUP BY user_id HAVING v IS NOT NULL)"""
+_DID_UNITS = """u AS (SELECT (user_id % 5) || '-' || (user_id % 3 = 0)::INT AS g, user_id AS id, round(avg(value) FILTER (event_type = 'purchase') - avg(value) FILTER (event_type = 'click'), 2) AS v FROM events GROUP BY user_id HAVING v IS NOT NULL)"""
 
 
 def _did_units(t):
     """Each unit's change, by detector and whether it was unseen, as ``g``."""
     a = _pre_post(t).where("pre is not null and post is not null")
-    return a.select(F.concat((F.col("user_id") % 5).cast("string"), F.lit("-"), F.col("unseen").cast("int").cast("string")).alias("g"), F.round(F.col("post") - F.col("pre"), 2).alias("v"))
+    return a.select(F.concat((F.col("user_id") % 5).cast("string"), F.lit("-"), F.col("unseen").cast("int").cast("string")).alias("g"), "user_id", F.round(F.col("post") - F.col("pre"), 2).alias("v"))
 
 
-@query(f"WITH {_DID_UNITS}," + _DRAWS.format(seed="b6", draws=100) + """,
+@query(f"WITH {_DID_UNITS}," + _WEIGHTED.format(seed="b6", draws=100) + """,
 d AS (SELECT split_part(g, '-', 1) AS detector, b, max(mean) FILTER (g LIKE '%-0') - max(mean) FILTER (g LIKE '%-1') AS d FROM s GROUP BY ALL),
 pt AS (SELECT split_part(g, '-', 1) AS detector, avg(v) FILTER (g LIKE '%-0') - avg(v) FILTER (g LIKE '%-1') AS did, count(*) AS n FROM u GROUP BY 1)
 SELECT detector, n, round(did, 6) AS did, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS clear FROM d JOIN pt USING (detector) GROUP BY detector, n, did""")
@@ -349,7 +358,7 @@ def did_report(spark, sf_dir):
     """Difference in differences of each detector with its bootstrap interval."""
     u = _did_units(Tables(spark, sf_dir))
     name, seen, unseen = F.substring_index("g", "-", 1).alias("detector"), F.col("g").endswith("-0"), F.col("g").endswith("-1")
-    d = T.bootstrap_means(u, ["g"], "v", 100, "b6").groupBy(name, "draw").agg((F.max(F.when(seen, F.col("mean"))) - F.max(F.when(unseen, F.col("mean")))).alias("mean"))
+    d = T.weighted_draws(u, ["g"], ["user_id"], "v", 100, "b6").groupBy(name, "draw").agg((F.max(F.when(seen, F.col("mean"))) - F.max(F.when(unseen, F.col("mean")))).alias("mean"))
     p = u.groupBy(name).agg(F.count(F.lit(1)).alias("n"), (F.avg(F.when(seen, F.col("v"))) - F.avg(F.when(unseen, F.col("v")))).alias("did"))
     lo, hi = F.col("lo"), F.col("hi")
     return p.join(T.interval(d, ["detector"]), "detector").select("detector", "n", _r(F.col("did")).alias("did"), _r(lo).alias("lo"), _r(hi).alias("hi"), ((lo > 0) | (hi < 0)).alias("clear"))

@@ -16,6 +16,12 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals narrow rows that each ask for much work to all cores at least; a small table would be one task, whatever is made of it."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def kth_match(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
     """Joins the k-th left row of a key to its k-th right row: greedy one-to-one matching without a loop."""
     a = left.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(*left_order)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import stats
+from assayer.functions.text import let
+from assayer.operators.ranks import mid_ranks
 from assayer.operators.sampling import counter
 from assayer.operators.windows import holm, mid_ranks_by_count
 
@@ -43,7 +47,7 @@ def mann_whitney(df: DataFrame, group: list[str], value: str, first: Column) ->
     """U of the rows where ``first`` holds against the others, AUC, effect 2U/(n1 n2) - 1, and ties."""
     rows = df.where(F.col(value).isNotNull()).select(*group, value, first.cast("int").alias("one"))
     ones = rows.groupBy(*group, value).agg(F.sum("one").alias("ones"))
-    ranked = mid_ranks_by_count(rows, group, value).join(ones, [*group, value])
+    ranked = mid_ranks(rows, group, value).join(ones, [*group, value])
     out = ranked.groupBy(*group).agg(
         F.sum("ones").alias("n1"), F.sum(F.col("n") - F.col("ones")).alias("n2"), F.sum(F.col("rank") * F.col("ones")).alias("r1"),
         F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double").alias("ties"))
@@ -100,6 +104,37 @@ def bootstrap_means(units: DataFrame, group: list[str], value: str, draws: int,
     return bootstrap(units, group, value, draws, seed, F.avg(value))
 
 
+# Chances, out of 2^32, that a Poisson variable of mean one is at most 0, 1, 2 and so on.
+POISSON = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(13))
+
+
+def poisson_weight(text: Column) -> Column:
+    """How often a unit is in a draw: a Poisson variable of mean one, from the first 32 bits of the text's MD5."""
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return let(u, lambda x: sum((F.when(x >= t, 1).otherwise(0) for t in POISSON[1:]), F.when(x >= POISSON[0], 1).otherwise(0))).cast("bigint")
+
+
+def weighted_draws(units: DataFrame, group: list[str], unit: list[str], value: str, draws: int, seed: str, statistic=None) -> DataFrame:
+    """``group``, ``draw`` and the ``statistic`` of the weighted values, as ``mean`` (the mean, if none is given).
+
+    A unit's weight in a draw comes from a counter hash of seed, draw, group and unit alone, so units are never numbered nor
+    joined to draws: weights are summed where the units are, and the sums of tasks are merged.  Weights are Poisson variables,
+    which differ from drawing n of n units by the number that is drawn only; for a few units use ``bootstrap``.  ``statistic``
+    takes value and weight.  A draw without any unit is null.
+    """
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*group, *unit)]
+    each = units.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("v"), F.concat_ws("-", *key).alias("key"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    each = each.withColumn("w", poisson_weight(F.concat_ws("-", F.lit(seed), F.col("draw").cast("string"), F.col("key"))))
+    v, w = F.col("v"), F.col("w")
+    what = statistic(v, w) if statistic else F.try_divide(F.sum(v * w), F.sum(w))
+    return each.groupBy(*group, "draw").agg(what.alias("mean"))
+
+
+def weighted_median(v: Column, w: Column) -> Column:
+    """By the weighted counts of different values."""
+    return F.percentile(v, 0.5, w)
+
+
 def interval(means: DataFrame, group: list[str], alpha: float = 0.05) -> DataFrame:
     q = F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return means.groupBy(*group).agg(q.alias("q")).select(*group, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
