@@ -24,6 +24,10 @@ CERTAIN = 0.9
 ROUNDS, SETTLED = 100, 1e-4
 #: Nodes that are further apart than so many characters are not neighbours in the chain.
 REACH = 60
+#: What the skip weight is before any example: equal keys are one entity with odds of a few thousand to one; and how much that weighs.
+CONSISTENT, FIRM = 8.0, 0.01
+#: Classes of what stands between neighbours: blanks and signs only, or the last word by a checksum.
+GAPS = 9
 
 _HINT = re.compile(r"[0-9@]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -103,7 +107,10 @@ def span_string(spans: list[Span]) -> str:
 
 @dataclass
 class Graph:
-    """Nodes of one or more documents with their features; ``label`` is -1 where no base span says it."""
+    """Nodes of one or more documents with their features; ``label`` is -1 where no base span says it.
+
+    ``gap`` is the class of what stands between the neighbours of each chain link.
+    """
 
     doc: list[int] = field(default_factory=list)
     start: list[int] = field(default_factory=list)
@@ -111,6 +118,7 @@ class Graph:
     label: list[int] = field(default_factory=list)
     features: list[list[int]] = field(default_factory=list)
     chain: list[tuple[int, int]] = field(default_factory=list)
+    gap: list[int] = field(default_factory=list)
     skip: list[tuple[int, int]] = field(default_factory=list)
 
 
@@ -142,6 +150,11 @@ def _key(s: str) -> str:
     return digits if len(digits) >= 7 and "@" not in s else s.lower()
 
 
+def _gap(between: str) -> int:
+    words = re.findall(r"[^\W\d_]+", between)
+    return 1 + crc32(words[-1].lower().encode()) % (GAPS - 1) if words else 0
+
+
 def _segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Numeric tokens that follow each other by one blank, cut where a part would be a base span alone.
 
@@ -217,6 +230,7 @@ def add_document(graph: Graph, doc: int, text: str, base: list[Span]) -> None:
         graph.features.append(_features(s, prior[-1] if prior else ""))
         if here > first and a - graph.end[here - 1] <= REACH:
             graph.chain.append((here - 1, here))
+            graph.gap.append(_gap(text[graph.end[here - 1] : a]))
         keys.append(_key(s))
         if keys[-1] not in hubs or (label >= 0 > graph.label[hubs[keys[-1]]]):
             hubs[keys[-1]] = here
@@ -225,7 +239,7 @@ def add_document(graph: Graph, doc: int, text: str, base: list[Span]) -> None:
 
 @dataclass
 class Field:
-    """Weights of the node features, of chain neighbours and of skip links that agree."""
+    """Weights of the node features, of chain neighbours (by the class of their gap, or the same for all) and of skip links that agree."""
 
     unary: np.ndarray
     chain: np.ndarray
@@ -236,34 +250,48 @@ def _matrix(bits: np.ndarray) -> np.ndarray:
     return ((bits[:, None] >> np.arange(N_FEATURES)) & 1).astype(np.float32)
 
 
+def _sides(label: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """A column for each label and gap of a neighbour; none for -1."""
+    out = np.zeros((len(label), GAPS * K), np.float32)
+    seen = np.flatnonzero(label >= 0)
+    out[seen, gap[seen] * K + label[seen]] = 1
+    return out
+
+
 def fit(
-    x: np.ndarray, y: np.ndarray, before: np.ndarray, after: np.ndarray, times: np.ndarray, agree: int, differ: int,
+    x: np.ndarray, y: np.ndarray, before: np.ndarray, before_gap: np.ndarray, after: np.ndarray, after_gap: np.ndarray, linked: np.ndarray, times: np.ndarray,
     rounds: int = 300, rate: float = 0.1, decay: float = 1e-4,
 ) -> Field:
-    """Maximum pseudo-likelihood: the label of each node given its features and its neighbours' labels (-1: hidden or none).
+    """Maximum pseudo-likelihood of all weights together: the label of each node given its features and the labels of its
+    neighbours and of what a skip link ties it to (-1: hidden or none).
 
-    ``times`` says how often each row was seen.
+    ``times`` says how often each row was seen.  The skip weight is the same for all labels and starts from ``CONSISTENT``, since
+    links to what no pattern says have no examples.
     """
-    skip = float(np.clip(np.log((agree + 1) / (differ + 1)), 1, 6))
     if not len(y):
-        return Field(np.zeros((N_FEATURES, K)), np.zeros((K, K)), skip)
+        return Field(np.zeros((N_FEATURES, K)), np.zeros((GAPS, K, K)), CONSISTENT)
     want = np.eye(K, dtype=np.float32)[y]
     share = (times / times.sum()).astype(np.float32)[:, None]
-    sides = [np.where((s >= 0)[:, None], np.eye(K, dtype=np.float32)[np.maximum(s, 0)], 0) for s in (before, after)]
-    design = np.concatenate([x, *sides], 1)
-    weights = np.zeros((design.shape[1], K), np.float32)
+    design = np.concatenate([x, _sides(before, before_gap), _sides(after, after_gap)], 1)
+    tie = np.where((linked >= 0)[:, None], np.eye(K, dtype=np.float32)[np.maximum(linked, 0)], 0)
+    # The last row is the skip weight, in its first column.
+    weights = np.zeros((design.shape[1] + 1, K), np.float32)
+    weights[-1, 0] = CONSISTENT
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     for t in range(1, rounds + 1):
-        z = design @ weights
+        z = design @ weights[:-1] + weights[-1, 0] * tie
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
-        grad = design.T @ ((p - want) * share) + decay * weights
+        off = (p - want) * share
+        grad = decay * weights
+        grad[:-1] += design.T @ off
+        grad[-1, 0] = FIRM * (weights[-1, 0] - CONSISTENT) + (off * tie).sum()
         m += 0.1 * (grad - m)
         v += 0.01 * (grad * grad - v)
         weights -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    chain = (weights[N_FEATURES : N_FEATURES + K] + weights[N_FEATURES + K :].T) / 2
-    return Field(weights[:N_FEATURES].astype(np.float64), chain.astype(np.float64), skip)
+    back, on = (w.reshape(GAPS, K, K).astype(np.float64) for w in (weights[N_FEATURES : N_FEATURES + GAPS * K], weights[N_FEATURES + GAPS * K : -1]))
+    return Field(weights[:N_FEATURES].astype(np.float64), (back + on.transpose(0, 2, 1)) / 2, max(0.0, float(weights[-1, 0])))
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
@@ -289,7 +317,9 @@ def beliefs(graph: Graph, model: Field, rounds: int = ROUNDS) -> np.ndarray:
         return _soft(unary)
     back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
     same = np.eye(K) * model.skip
-    pair = np.concatenate([np.broadcast_to(w, (k, K, K)) for w, k in ((model.chain, c), (model.chain.T, c), (same, s), (same, s))])
+    gap = np.array(graph.gap or [0] * c, np.int64)
+    near = np.broadcast_to(model.chain, (GAPS, K, K))[gap]
+    pair = np.concatenate([near, near.transpose(0, 2, 1), *[np.broadcast_to(same, (s, K, K))] * 2])
     doc = np.unique(np.array(graph.doc), return_inverse=True)[1][source]
     message = np.zeros((len(source), K))
     open_ = np.arange(len(source))
@@ -311,52 +341,55 @@ def beliefs(graph: Graph, model: Field, rounds: int = ROUNDS) -> np.ndarray:
     return _soft(unary)
 
 
-def _examples(doc: str, text: str) -> Iterator[tuple[int, int, int, int]]:
-    """Feature bits, label and the neighbours' labels of the nodes that train the field; label -1 for skip links.
+def _examples(doc: str, text: str) -> Iterator[tuple[int, ...]]:
+    """Feature bits, label, and label and gap of either neighbour and the label at a skip link, of the nodes that train the field.
 
     Nodes that would be base spans alone, and those that a skip link ties to one, are examples of nothing: what they
-    are is for the field to say.  Of the neighbours' labels a checksum hides half, as they are hidden where no pattern
-    says them, so that shape, context and neighbours each learn to do without the others.
+    are is for the field to say.  Of what a node's neighbours and link say a checksum hides half, as it is hidden where no
+    pattern says it, and it hides the features of half of the nodes whose link is seen and of a quarter of the others, so that
+    shape, neighbours and links each learn to do without the others.
     """
     g = Graph()
     add_document(g, 0, text, base_spans(text))
     tied = {b for a, b in g.skip if g.label[a] >= 0} | {a for a, b in g.skip if g.label[b] >= 0}
-    for a, b in g.skip:
-        if g.label[a] >= 0 and g.label[b] >= 0:
-            yield int(g.label[a] == g.label[b]), -1, -1, -1
     open_ = {k for k in range(len(g.doc)) if g.label[k] < 0 and (k in tied or alone(text[g.start[k] : g.end[k]]))}
     label = [max(k, 0) for k in g.label]
     mark = [crc32(f"{doc} {k}".encode()) for k in g.start]
+    gap = dict(zip(g.chain, g.gap))
     before, after = {b: a for a, b in g.chain}, {a: b for a, b in g.chain}
+    link = {a: b for a, b in g.skip} | {b: a for a, b in g.skip}
     use = sorted((k for k in range(len(label)) if k not in open_), key=mark.__getitem__)[:MAX_TRAIN_NODES]
+
+    def seen(k: int, other: int | None, bit: int) -> int:
+        return -1 if other is None or other in open_ or mark[k] >> bit & 1 else label[other]
+
     for k in use:
-        sides = (before.get(k), after.get(k))
-        seen = [-1 if o is None or o in open_ or mark[k] >> bit & 1 else label[o] for bit, o in enumerate(sides)]
-        yield sum(1 << f for f in g.features[k]), label[k], *seen
+        a, b, tie = before.get(k), after.get(k), seen(k, link.get(k), 2)
+        bits = 1 if mark[k] >> 3 & (1 if tie >= 0 else 3) == 1 else sum(1 << f for f in g.features[k])
+        yield bits, label[k], seen(k, a, 0), gap.get((a, k), 0), seen(k, b, 1), gap.get((k, b), 0), tie
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAIN_DOCS) -> Field:
     """Fits the field on about ``max_docs`` documents that a hash of id and text picks.
 
     Base spans are the examples of each kind and the other nodes those of none (see ``_examples``).  Equal
-    examples are counted before they reach the driver, so repeated rows only raise a count.
+    examples are counted before they reach the driver, which gets ``max_docs`` times ``MAX_TRAIN_NODES`` of them at most;
+    repeated rows only raise a count.
     """
     n = docs.count()
     some = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     if n > max_docs:
         some = some.where(F.pmod(F.xxhash64(F.lit("pii"), "id", "text"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30)))
-    names = ["bits", "label", "before", "after"]
+    names = ["bits", "label", "before", "before_gap", "after", "after_gap", "linked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [r for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in _examples(doc or "", text)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], names)
 
     counted = some.mapInArrow(run, ", ".join(f"{n} long" for n in names)).groupBy(*names).agg(F.count(F.lit(1)).alias("times"))
-    rows = np.array(sorted(map(tuple, counted.toLocalIterator())), np.int64).reshape(-1, 5)
-    skips = {int(r[0]): int(r[4]) for r in rows if r[1] < 0}
-    rows = rows[rows[:, 1] >= 0]
-    return fit(_matrix(rows[:, 0]), *rows[:, 1:].T, skips.get(1, 0), skips.get(0, 0))
+    rows = np.array(sorted(map(tuple, counted.toLocalIterator())), np.int64).reshape(-1, 8)
+    return fit(_matrix(rows[:, 0]), *rows[:, 1:].T)
 
 
 def find(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

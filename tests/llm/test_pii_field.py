@@ -18,7 +18,7 @@ def exhaustive(graph, model):
         if any(g >= 0 and g != y for g, y in zip(graph.label, labels)):
             continue
         e = sum(model.unary[f, y] for fs, y in zip(graph.features, labels) for f in fs)
-        e += sum(model.chain[labels[a], labels[b]] for a, b in graph.chain)
+        e += sum(model.chain[g, labels[a], labels[b]] for (a, b), g in zip(graph.chain, graph.gap))
         e += sum(model.skip for a, b in graph.skip if labels[a] == labels[b])
         for k, y in enumerate(labels):
             total[k, y] += np.exp(e)
@@ -30,8 +30,9 @@ def test_beliefs_by_exhaustive_sums(loop):
     """Exact on trees; close to it on a loop."""
     rng = np.random.default_rng(3)
     for _ in range(10):
-        model = pii.Field(rng.normal(0, 1, (pii.N_FEATURES, pii.K)), rng.normal(0, 0.5, (pii.K, pii.K)), 1.0)
+        model = pii.Field(rng.normal(0, 1, (pii.N_FEATURES, pii.K)), rng.normal(0, 0.5, (pii.GAPS, pii.K, pii.K)), 1.0)
         g = pii.Graph([0] * 5, list(range(5)), list(range(1, 6)), [-1, 2, -1, -1, -1], [[int(x) for x in rng.integers(0, pii.N_FEATURES, 3)] for _ in range(5)])
+        g.gap = [0, 3, 8]
         g.chain, g.skip = [(0, 1), (1, 2), (3, 4)], [(2, 4)] + ([(0, 4)] if loop else [])
         assert np.exp(pii.beliefs(g, model)) == pytest.approx(exhaustive(g, model), abs=0.05 if loop else 1e-3)
 
@@ -105,3 +106,40 @@ def test_repeated_rows_only_raise_a_count(spark):
     _, texts = corpus()
     d = base.docs(spark, texts[:40])
     assert pii.train(d.union(d)).unary == pytest.approx(pii.train(d).unary, abs=1e-3)
+
+
+def planted():
+    """Texts to learn from, and documents with a repeat of a known number, a number beside a known one, or numbers of neither kind.
+
+    Returns the texts, and of each planted one the spans that a reader would add.
+    """
+    rng, texts = corpus()
+    bare = lambda p: p[1:].replace("(", "").replace(")", "")
+    texts += [f"Call {phone(rng)} or {phone(rng)} for room {rng.randrange(90)} of {rng.randrange(10, 99)}." for _ in range(150)]
+    want = {}
+    for k in range(30):
+        own, other = phone(rng), phone(rng)
+        texts.append(f"Call {own} at noon. " + "words " * 30 + f"then {bare(own)} here; item {bare(other)} is stock.")
+        want[len(texts) - 1] = [("phone", bare(own))]
+        texts.append(f"Call {own} or {bare(other)} today; " + "words " * 30 + f"item {rng.randrange(10**6, 10**7)} is stock.")
+        want[len(texts) - 1] = [("phone", bare(other))]
+        texts.append(f"item {bare(own)} of {rng.randrange(10**9, 10**10)} and {card(rng, False)} is stock.")
+        want[len(texts) - 1] = []
+    return texts, want
+
+
+def test_links_and_neighbours_decide(spark):
+    """Repeats are found by the links alone, and the chain keeps numbers of neither kind from being taken for one."""
+    texts, want = planted()
+    d = base.docs(spark, texts)
+    m = pii.train(d.where(f"doc_id < {min(want)}"))
+    found = {}
+    for name, model in (("all", m), ("no skip", pii.Field(m.unary, m.chain, 0.0)), ("no chain", pii.Field(m.unary, 0 * m.chain, m.skip))):
+        got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans if s not in r.base] for r in pii.find(d, model).collect() if r.doc_id in want}
+        right = {k for k in want if want[k] and set(want[k]) <= set(got[k])}
+        wrong = sum(len([s for s in got[k] if s not in want[k]]) for k in want)
+        repeats = {k for k in right if "then" in texts[k]}
+        found[name] = (len(repeats), len(right - repeats), wrong)
+    # (repeats, neighbours, wrong spans)
+    assert found["all"] == (30, 30, 0)
+    assert found["no skip"][0] == 0 and found["no chain"][2] > 0
