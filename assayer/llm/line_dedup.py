@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import vec
-from assayer.llm.shared import Scratch
+from assayer.llm.shared import Scratch, numbered
 
 SIMILARITY = 0.8
 #: Words are counted by the top bits of their code; the order by these counts need only be the same everywhere.
@@ -120,22 +120,21 @@ def _ceil(x: np.ndarray) -> np.ndarray:
     return np.ceil(x - 1e-9).astype(np.int64)
 
 
-def _order(docs: DataFrame, id_col: str) -> Column:
-    """What documents are ordered by: an integer id, or else a hash of the id."""
-    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    own = F.col(id_col).cast("long") if whole else F.xxhash64(id_col)
-    return F.coalesce(own, F.lit(-(1 << 63)))
+def _order(id: Column) -> Column:
+    """What documents are ordered by: an integer id, null first."""
+    return F.coalesce(id.cast("long"), F.lit(-(1 << 63)))
 
 
-def _postings(docs: DataFrame, id_col: str, text_col: str, rank: np.ndarray, back: np.ndarray, t: float, only: np.ndarray | None = None) -> DataFrame:
+def _postings(docs: DataFrame, id_col: str, text_col: str, rank: np.ndarray, back: np.ndarray, t: float, wide: bool, only: np.ndarray | None = None) -> DataFrame:
     """Prefix words of every line: ``word``, ``key1``, ``meta``, ``ord`` and two parity bitmaps of the set.
 
-    ``meta`` holds the set's size, the word's place in the rarity order and the line's number.  ``only``
-    marks the words that are wanted.
+    ``meta`` holds the set's size, the word's place in the rarity order (a lower one beyond a million, which only loosens the
+    position filter) and the line's number; ``wide``: numbers beyond 20 bits have a column of their own.  ``only`` marks the
+    words that are wanted.
     """
     packed = None if only is None else np.packbits(only)
-    rows = docs.select(_order(docs, id_col).alias("ord"), F.col(text_col).cast("string").alias("text"))
-    names = ["word", "key1", "meta", "ord", "bits1", "bits2"]
+    rows = docs.select(_order(F.col(id_col)).alias("ord"), F.col(text_col).cast("string").alias("text"))
+    names = ["word", "key1", "meta", "ord", "bits1", "bits2", *(["line"] if wide else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = None if packed is None else np.unpackbits(packed).astype(bool)
@@ -171,8 +170,9 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, rank: np.ndarray, bac
                 size = np.where(n * (1 - t) < t - 1e-9, 0, n - _ceil(t * n) + 1)
                 line = np.repeat(one, size)
                 place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
-                meta = (got.n[line] << 40) | (np.minimum(place, _MOST) << 20) | np.minimum(got.line[line], _MOST)
-                columns = (got.codes[starts[line] + place], got.key1[line], meta, at[line], *(b[line] for b in bits))
+                number = got.line[line].astype(np.int64)
+                meta = (got.n[line] << 40) | (np.minimum(place, _MOST) << 20) | (0 if wide else number)
+                columns = (got.codes[starts[line] + place], got.key1[line], meta, at[line], *(b[line] for b in bits), *((number,) if wide else ()))
                 if marks is not None:
                     use = marks[columns[0] & np.uint64((1 << MARK_BITS) - 1)]
                     columns = tuple(c[use] for c in columns)
@@ -202,7 +202,7 @@ def _pairs(rows: np.ndarray, t: float, wanted: np.ndarray | None) -> Iterator[tu
     Without ``wanted`` the best few candidates of each later row, else all of the rows it marks.
     """
     word, key, meta, order = rows[:4]
-    n, place, line = meta >> 40, (meta >> 20) & _MOST, meta & _MOST
+    n, place, line = meta >> 40, (meta >> 20) & _MOST, _numbers(rows)
     b1, b2 = rows[4].view(np.uint64), rows[5].view(np.uint64)
     found: list[tuple[np.ndarray, ...]] = []
     more = np.zeros(len(word), bool)
@@ -246,6 +246,11 @@ def _pairs(rows: np.ndarray, t: float, wanted: np.ndarray | None) -> Iterator[tu
         yield key[more], key[more], word[more], np.zeros(int(more.sum()), np.int64)
 
 
+def _numbers(rows: np.ndarray) -> np.ndarray:
+    """The lines' numbers of postings."""
+    return rows[6] if len(rows) > 6 else rows[2] & _MOST
+
+
 def _grouped(rows: np.ndarray) -> np.ndarray:
     """Postings sorted by word, in the order of word, size, place and key; of equal sets the first occurrence.
 
@@ -265,9 +270,12 @@ def _grouped(rows: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(new)
     of = np.cumsum(new) - 1
     order = np.minimum.reduceat(rows[3], first)
-    line = np.minimum.reduceat(np.where(rows[3] == order[of], rows[2] & _MOST, _MOST), first)
+    line = np.minimum.reduceat(np.where(rows[3] == order[of], _numbers(rows), np.iinfo(np.int64).max), first)
     rows = rows[:, first]
-    rows[2] = (rows[2] & ~_MOST) | line
+    if len(rows) > 6:
+        rows[6] = line
+    else:
+        rows[2] = (rows[2] & ~_MOST) | line
     rows[3] = order
     tied = rows[0, 1:] == rows[0, :-1]
     return rows[:, np.concatenate([[False], tied]) | np.concatenate([tied, [False]])]
@@ -353,7 +361,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return both.where(common >= t * (F.size("x") + F.size("y") - common) - 1e-9).select("later").distinct()
 
 
-def preceded(docs: DataFrame, rank: np.ndarray, back: np.ndarray, id_col: str, text_col: str, t: float) -> DataFrame:
+def preceded(docs: DataFrame, rank: np.ndarray, back: np.ndarray, id_col: str, text_col: str, t: float, wide: bool = True) -> DataFrame:
     """``key1`` of all line sets to which a set that occurs first before them is similar.
 
     One similar set is enough, so each set first tries the few candidates that differ least by their
@@ -361,7 +369,7 @@ def preceded(docs: DataFrame, rank: np.ndarray, back: np.ndarray, id_col: str, t
     have more candidates then try all of these, at the words where they have them.
     """
     scratch = Scratch(docs.sparkSession)
-    postings = _postings(docs, id_col, text_col, rank, back, t)
+    postings = _postings(docs, id_col, text_col, rank, back, t, wide)
     pairs = scratch.write(_candidates(postings, t))
     real = pairs.where("later <> earlier")
     sets = _sets_of(docs, real, id_col, text_col)
@@ -373,7 +381,7 @@ def preceded(docs: DataFrame, rank: np.ndarray, back: np.ndarray, id_col: str, t
     if not open_.isEmpty():
         open_ = scratch.write(open_)
         words = _marked(open_.select(F.col("word").alias("key1")))
-        rest = _candidates(_postings(docs, id_col, text_col, rank, back, t, words), t, _marked(open_.select(F.col("later").alias("key1"))))
+        rest = _candidates(_postings(docs, id_col, text_col, rank, back, t, wide, words), t, _marked(open_.select(F.col("later").alias("key1"))))
         rest = scratch.write(rest.join(open_.select("later").distinct(), "later", "left_semi").where("later <> earlier"))
         found = found.unionByName(_verified(rest, _sets_of(docs, rest, id_col, text_col), t)).distinct()
     return found.withColumnRenamed("later", "key1")
@@ -387,8 +395,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Jaccard similarity of ``similarity`` or more; whether that one goes itself does not matter.  Lines of
     few words, as in scripts without blanks, go as exact copies; blank lines stay.
 
-    Integer ids give the order of documents, other ids by a hash; beyond a million lines of one document a
-    hash orders the further ones.
+    Ids that aren't integers are numbered in their order first, and the numbers stand for them.
 
     Equal sets are merged first.  Each different set posts its rarest words, as many as the prefix
     filter needs; sets that meet at a word pass the length and position filters and a bitmap bound on
@@ -401,13 +408,19 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 0.5 <= similarity <= 1:
         raise ValueError("similarity must be from 0.5 to 1")
     scratch = Scratch(docs.sparkSession)
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        ids = numbered(scratch, docs.select(F.col(id_col).alias("id")).distinct(), ["id"])
+        texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+        gone = later_matches(texts.join(ids, texts["own"].eqNullSafe(ids["id"])).select("place", "text"), "place", "text", similarity)
+        return gone.withColumnRenamed("id", "place").join(ids, "place").select("id", "removed")
     found = scratch.write(_occurrences(docs, id_col, text_col))
     rank, back = _ranks(found)
     lines = found.where("line >= 0")
-    place = F.struct(_order(lines, "id").alias("ord"), "line", "id")
+    wide = (lines.agg(F.max("line")).first()[0] or 0) > _MOST
+    place = F.struct(_order(F.col("id")).alias("ord"), "line", "id")
     sets = lines.groupBy("key1", "key2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times"))
     # Merged at any size: a broadcast would serve small inputs only.
-    late = preceded(docs, rank, back, id_col, text_col, similarity).withColumn("late", F.lit(True)).hint("merge")
+    late = preceded(docs, rank, back, id_col, text_col, similarity, wide).withColumn("late", F.lit(True)).hint("merge")
     goers = sets.join(late, "key1", "left").where("times > 1 or late").select("key1", "key2", "at", "late")
     gone = lines.join(goers.hint("merge"), ["key1", "key2"]).where(F.col("late") | (place > F.col("at")))
     return gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.shared import Scratch
+from assayer.llm.shared import Scratch, numbered
 from assayer.operators.joins import small
 
 #: Consecutive nodes that become one.
@@ -54,22 +54,6 @@ def siblings(proof: Column) -> Column:
     return F.array_join(F.transform(proof, lambda s: F.concat(s["left"], s["right"])), "")
 
 
-def _numbered(scratch: Scratch, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``place``, from 0 on in the order of the keys; rows with equal keys must be alike.
-
-    The driver gets a count for each partition.
-    """
-    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    dealt = scratch.write(dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
-    counts = sorted(dealt.groupBy("part").agg(F.count(F.lit(1)), F.min("at")).collect())
-    offsets, before = [], 0
-    for part, n, first in counts:
-        offsets.append((part, before - first))
-        before += n
-    known = rows.sparkSession.createDataFrame(offsets, "part int, shift long")
-    return dealt.join(F.broadcast(known), "part").withColumn("place", F.col("at") + F.col("shift")).drop("part", "at", "shift")
-
-
 def _runs(nodes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row for each run: ``tree``, ``k`` (of the parent), ``n`` (nodes at this level) and ``whole``, all digests in a row.
 
@@ -150,7 +134,7 @@ def prove(docs: DataFrame, fields: tuple[str, ...], id: str = "doc_id", group: s
     kept = [e.alias(f"carry_{j}") for j, e in enumerate(carry.values())]
     names = tuple(f"carry_{j}" for j in range(len(kept)))
     rows = scratch.write(docs.select(F.col(group).alias("grp"), F.col(id).alias("id"), F.unhex(leaf(*map(F.col, fields))).alias("d"), *kept))
-    placed = _numbered(scratch, rows, ["grp", "id", "d"])
+    placed = numbered(scratch, rows, ["grp", "id", "d"])
     groups = scratch.write(placed.groupBy("grp").agg(F.min("place").alias("tree"), F.count(F.lit(1)).alias("n")))
     kinds = [f"id {dict(rows.dtypes)['id']}", "leaf string", "subroot string", "root string", "proof array<struct<left:string,right:string>>", *(f"{c} {dict(rows.dtypes)[c]}" for c in names)]
     out = [F.col("id").alias(id), "leaf", "subroot", "root", "proof", *(F.col(c).alias(k) for c, k in zip(names, carry))]
@@ -161,7 +145,7 @@ def prove(docs: DataFrame, fields: tuple[str, ...], id: str = "doc_id", group: s
     leaves = at.select("tree", (F.col("place") - F.col("tree")).alias("k"), "n", "d", "id", *names)
     low = _grow(scratch, leaves, ("id", *names))
     tops = scratch.write(low.tops)
-    ordered = _numbered(scratch, tops, ["tree"])
+    ordered = numbered(scratch, tops, ["tree"])
     n = tops.count()
     high = _grow(scratch, ordered.select(F.lit(-1).cast("long").alias("tree"), F.col("place").alias("k"), F.lit(n).cast("long").alias("n"), "d", F.col("tree").alias("of"), "level"), ("of", "level"))
     root = high.tops.select(F.lower(F.hex("d"))).first()[0]
