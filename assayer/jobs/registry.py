@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.jobs import aggregates, answers, archives, composites, detectors, messages, relational, repair, replays, similarity, star, statistics, streams, texts, transforms, variants  # noqa: F401  the job modules register their queries
+from assayer.jobs import aggregates, answers, archives, composites, detectors, messages, relational, repair, replays, reports, similarity, star, statistics, streams, texts, transforms, variants  # noqa: F401  the job modules register their queries
 from assayer.jobs.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
