@@ -30,11 +30,13 @@ def judge(rows: DataFrame, vulnerable: str = "v", fixed: str = "f", patch: str =
     v, f, p = (F.col(c) for c in ("sv", "sf", "sp"))
     sides = keyed.select("v", "f").distinct().select("v", "f", C.tagged(C.statements(F.col("v"))).alias("sv"), C.tagged(C.statements(F.col("f"))).alias("sf"), C.statements(F.col("f")).alias("rows_f"), C.slice_tokens(F.col("v")).alias("tv"))
     sides = sides.select("v", "f", "sv", "rows_f", "tv", F.array_except(v, f).alias("lost"), F.array_except(f, v).alias("new"))
-    read = keyed.join(sides, ["v", "f"]).withColumns({"rows_p": C.statements(F.col("p")), "tp": C.slice_tokens(F.col("p"))}).withColumn("sp", C.tagged(F.col("rows_p")))
+    # Patches are read where they are: behind the join there may be few tasks, as its rows are small for what they ask for.
+    own = keyed.select("row", "v", "f", C.statements(F.col("p")).alias("rows_p"), C.slice_tokens(F.col("p")).alias("tp"), C.balanced(F.col("p")).alias("fine"))
+    read = own.join(sides, ["v", "f"]).withColumn("sp", C.tagged(F.col("rows_p")))
     out = read.withColumns({"lost_p": F.array_except(v, p), "new_p": F.array_except(p, v)})
     changed = (F.size("lost_p") > 0) | (F.size("new_p") > 0)
     covers = (F.size(F.array_except("lost", "lost_p")) == 0) & (F.size(F.array_except("new", "new_p")) == 0)
     exact = F.col("rows_p") == F.col("rows_f")
-    reason = F.when(~changed, UNCHANGED).when(~C.balanced(F.col("p")), UNBALANCED).when(exact, EXACT).when(covers, COVERS).otherwise(MISSING)
+    reason = F.when(~changed, UNCHANGED).when(~F.col("fine"), UNBALANCED).when(exact, EXACT).when(covers, COVERS).otherwise(MISSING)
     out = out.select("row", reason.alias("reason"), jaccard(F.col("tp"), F.col("tv")).alias("similarity"))
     return out.select("row.*", "reason", "similarity", F.col("reason").isin(EXACT, COVERS).alias("validated"), (F.col("similarity") < C.INTACT).alias("severed"))

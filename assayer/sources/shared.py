@@ -32,13 +32,19 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/assayer-{uuid.uuid4().hex}"
         self.count = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def place(self) -> str:
+        """A new path, which is removed with the others."""
         self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
         if self.count == 1:
             root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
+            files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            files.mkdirs(root)
+            files.deleteOnExit(root)
+        return f"{self.root}/{self.count}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = self.place()
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -68,9 +68,10 @@ def test_terms_without_weight_are_not_joined(spark):
     q, k = detectors.sides(R.weights(spark.createDataFrame(rows, "key int, asked boolean, term string"), "asked", "key", 180))
     capped = R.capped(q, k)
     exact = R.best(q, k).select("q", F.col("sim").alias("least"))
+    split = R.bounded(capped, exact)
     read = lambda rows: rows.join(k, "term").count()
-    assert read(capped.join(exact, "q").where("left >= least")) < 0.25 * read(capped)
-    assert R.candidates(capped, k, exact).where("seen + rest >= least - 1e-9").count() < 0.1 * R.candidates(capped, k, None).count()
+    assert read(split.where("read")) < 0.25 * read(capped)
+    assert R.candidates(split, k).count() < 0.1 * R.candidates(R.bounded(capped, None), k).count()
 
 
 def test_prompts(spark):
