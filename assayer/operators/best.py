@@ -56,6 +56,7 @@ def best_matches(queries: DataFrame, known: DataFrame) -> DataFrame:
     to the one to beat too, no candidate is left out.  Null and empty sets match nothing; ids are different.
     """
     scratch = Scratch(queries.sparkSession)
+    queries, known = scratch.write(queries.select("q", "fs")), scratch.write(known.select("k", "fs"))
     rows = scratch.write(ordered(queries, known))
     first = candidates(rows.where(F.col("at") <= FIRST), known, None)
     promise = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(jaccard_of(F.col("seen"), F.col("m"), F.col("n"))), "k"))
