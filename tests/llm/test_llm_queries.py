@@ -41,6 +41,6 @@ def test_quality_separates_held_out(spark):
 def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, oracle.SF)
     docs = spark.read.parquet(f"{oracle.SF}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "decontamination", "best_fit_packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "best_fit_packing"]
     kept = out.select("doc_id").distinct()
     assert 0 < kept.count() < docs.count() and kept.join(docs, "doc_id", "left_anti").count() == 0
