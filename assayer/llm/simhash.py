@@ -8,7 +8,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.components import components
@@ -35,6 +35,17 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The fingerprint of each of ``rows`` texts whose shingles have these hashes: bits set in over half of them."""
+    counts, total = np.zeros((rows, BITS), np.int64), np.bincount(row, minlength=rows)
+    for at in range(0, len(hashes), _CHUNK):
+        part, of = hashes[at : at + _CHUNK].astype("<u8"), row[at : at + _CHUNK]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.concatenate([np.ones(1, bool), of[1:] != of[:-1]]))
+        np.add.at(counts, of[first], np.add.reduceat(bits, first, axis=0, dtype=np.int32))
+    return np.packbits((2 * counts > total[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
     """``id`` and ``fp`` (the fingerprint as a signed long) of every row."""
 
@@ -59,7 +70,13 @@ def ring_masks(distance: int) -> list[int]:
     its share of the budget, rounded down: for two bits that is 0, 1, 1 and 2.  So the first segment agrees, and of
     the four bytes of the two segments that follow it all but one do: 40 bits.  For one bit the shares are 0, 0, 0
     and 1, and three segments agree: 48 bits.  Two agreeing segments, as the pigeonhole principle has it, are 32 bits.
+
+    For three bits it is a ring of eight bytes: shares of 0, 0, 1, 1 and 1 for the first five, so two bytes agree and
+    of the three that follow all but one do: 32 bits.
     """
+    if distance == 3:
+        rings = [[_bits(8 * ((first + k) % 8), 8) for k in range(5)] for first in range(8)]
+        return [sum(chain) - free for chain in rings for free in chain[2:]]
     segment = BITS // 4
     masks = []
     for first in range(4):
@@ -75,7 +92,7 @@ def ring_masks(distance: int) -> list[int]:
 def finer_masks(mask: int, distance: int) -> list[int]:
     """Masks that agree on all of ``mask`` and on all but ``distance`` of the four-bit groups of the rest.
 
-    What they leave open is ``4 * distance`` bits, so at most 256 different fingerprints have a key in common.
+    What they leave open is ``4 * distance`` bits, so at most 256 different fingerprints have a key in common (4,096 for three bits).
     """
     groups = [_bits(k, 4) for k in range(0, BITS, 4) if not mask >> k & 1]
     whole = _bits(0, BITS)
@@ -93,15 +110,16 @@ def _met(posted: DataFrame, distance: int) -> DataFrame:
     return x.join(y, ["kind", "key"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
 
 
-def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame:
+def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD, finer: bool = True) -> DataFrame:
     """All pairs ``a``, ``b`` of fingerprints (column ``fp``, distinct) within ``distance`` bits; a pair may repeat.
 
     Fingerprints are filed under the bits of each of the ring's masks (see ``ring_masks``), so pairs are made only where
     the chain condition holds, and then pass the full Hamming check.  Where more than ``crowd`` share a key, as in a
-    large group of near copies, they are filed under its finer masks instead, which bound what shares one.
+    large group of near copies, they are filed under its finer masks instead, which bound what shares one.  Without
+    ``finer`` a crowded key gives the pairs of neighbours in its order only, for callers who find the others by themselves.
     """
-    if distance not in (0, 1, 2):
-        raise ValueError("distance must be 0, 1 or 2")
+    if distance not in (0, 1, 2, 3):
+        raise ValueError("distance must be from 0 to 3")
     if distance == 0:
         return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     masks = ring_masks(distance)
@@ -109,10 +127,14 @@ def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame
     posted = prints.select("fp", F.explode(F.array(*keys)).alias("at")).select("fp", "at.*")
     sizes = posted.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = Scratch(prints.sparkSession).write(posted.join(sizes, ["kind", "key"]))
-    finer = F.array(*(F.array(*map(_lit, finer_masks(m, distance))) for m in masks))
-    crowded = met.where(F.col("size") > crowd).select("fp", F.explode(F.get(finer, F.col("kind"))).alias("kind")).distinct()
+    few, many = _met(met.where(F.col("size") <= crowd), distance), met.where(F.col("size") > crowd)
+    if not finer:
+        beside = many.select(F.col("fp").alias("a"), F.lead("fp").over(Window.partitionBy("kind", "key").orderBy("fp")).alias("b"))
+        return few.unionByName(beside.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
+    split = F.array(*(F.array(*map(_lit, finer_masks(m, distance))) for m in masks))
+    crowded = many.select("fp", F.explode(F.get(split, F.col("kind"))).alias("kind")).distinct()
     crowded = crowded.withColumn("key", F.col("fp").bitwiseAND(F.col("kind")))
-    return _met(met.where(F.col("size") <= crowd), distance).unionByName(_met(crowded, distance))
+    return few.unionByName(_met(crowded, distance))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:

@@ -21,7 +21,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (SimHash links, checked, and all others at a Jaccard of 0.8) the document with the smallest id stays."""
     return near_copies.keep_one(docs)
 
 
