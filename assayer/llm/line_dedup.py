@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ LAG = 20_000
 #: Postings that are compared at a time, and the rest of the last one's word.
 TOGETHER = 200_000
 _MOST = (1 << 20) - 1
+#: Rows are hashed together up to so many bytes, whose arrays stay in cache.
+PIECE = 1 << 18
 _TABLE = vec.byte_class("all but blanks")
 
 
@@ -46,6 +48,22 @@ class Lines:
 
 def _lines(chunk: vec.Chunk, rank: np.ndarray | None = None, back: np.ndarray | None = None) -> Lines:
     """``rank`` replaces a code's top bits by their rank, so that each line's codes come rarest first."""
+    found, at, codes = [], 0, 0
+    while at < chunk.rows:
+        to = max(at + 1, int(np.searchsorted(chunk.offsets, chunk.offsets[at] + PIECE, "right")) - 1)
+        begin, end = chunk.offsets[at], chunk.offsets[to]
+        got = _piece(vec.Chunk(0, chunk.data[begin:end], chunk.offsets[at : to + 1] - begin), rank, back)
+        got.row += at
+        got.first += codes
+        codes += len(got.codes)
+        found.append(got)
+        at = to
+    if len(found) == 1:
+        return found[0]
+    return Lines(*(np.concatenate([getattr(x, f.name) for x in found]) for f in fields(Lines)))
+
+
+def _piece(chunk: vec.Chunk, rank: np.ndarray | None, back: np.ndarray | None) -> Lines:
     w = vec.words(chunk, _TABLE)
     breaks = np.flatnonzero(chunk.data == 10)
     of_row = np.searchsorted(chunk.offsets, breaks, "right") - 1
@@ -207,7 +225,8 @@ def _pairs(rows: np.ndarray, t: float, wanted: np.ndarray | None) -> Iterator[tu
     found: list[tuple[np.ndarray, ...]] = []
     more = np.zeros(len(word), bool)
     pending = 0
-    left = np.arange(len(word))
+    # The smaller set of a similar pair shares one of so few of its words, whatever the larger one's size.
+    left = np.flatnonzero(n - place >= _ceil(2 * t / (1 + t) * n))
     step = 1
     while len(left):
         left = left[left + step < len(word)]
@@ -326,18 +345,20 @@ def _marked(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _word_sets(docs: DataFrame, id_col: str, text_col: str, marks: np.ndarray) -> DataFrame:
-    """``key1`` and the word codes of the marked lines."""
-    rows, _ = _scan(docs, id_col, text_col)
-    packed = np.packbits(marks)
+def _word_sets(docs: DataFrame, id_col: str, text_col: str, marks: np.ndarray, homes: np.ndarray) -> DataFrame:
+    """``key1`` and the word codes of the marked lines; ``homes`` marks the documents that are cut into lines for them."""
+    rows = docs.select(_order(F.col(id_col)).alias("ord"), F.col(text_col).cast("string").alias("text"))
+    packed, packed_homes = np.packbits(marks), np.packbits(homes)
+    low = (1 << MARK_BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(packed).astype(bool)
+        wanted, home = np.unpackbits(packed).astype(bool), np.unpackbits(packed_homes).astype(bool)
         for batch in batches:
-            for chunk in vec.chunks(batch.column(1)):
+            texts = batch.column(1).filter(pa.array(home[batch.column(0).to_numpy() & low]))
+            for chunk in vec.chunks(texts):
                 got = _lines(chunk)
                 _, one = np.unique(got.key1, return_index=True)
-                one = one[wanted[got.key1[one] & np.uint64((1 << MARK_BITS) - 1)]]
+                one = one[wanted[got.key1[one] & np.uint64(low)]]
                 size = got.n[one]
                 ends = np.cumsum(size)
                 flat = np.repeat(got.first[one] - (ends - size), size) + np.arange(int(size.sum()))
@@ -347,10 +368,13 @@ def _word_sets(docs: DataFrame, id_col: str, text_col: str, marks: np.ndarray) -
     return rows.mapInArrow(run, "key1 long, codes array<long>").dropDuplicates(["key1"])
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``key1`` and the word codes of all lines in the pairs."""
-    keys = pairs.select(F.explode(F.array("later", "earlier")).alias("key1")).distinct()
-    return Scratch(docs.sparkSession).write(_word_sets(docs, id_col, text_col, _marked(keys)).join(keys, "key1", "left_semi"))
+def _sets_of(docs: DataFrame, lines: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``key1`` and the word codes of all lines in the pairs, each from one document of ``lines`` that has it."""
+    scratch = Scratch(docs.sparkSession)
+    keys = scratch.write(pairs.select(F.explode(F.array("later", "earlier")).alias("key1")).distinct())
+    homes = lines.join(keys, "key1", "left_semi").groupBy("key1").agg(F.min(_order(F.col("id"))).alias("home"))
+    found = _word_sets(docs, id_col, text_col, _marked(keys), _marked(homes.select(F.col("home").alias("key1"))))
+    return scratch.write(found.join(keys, "key1", "left_semi"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
@@ -361,8 +385,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return both.where(common >= t * (F.size("x") + F.size("y") - common) - 1e-9).select("later").distinct()
 
 
-def preceded(docs: DataFrame, rank: np.ndarray, back: np.ndarray, id_col: str, text_col: str, t: float, wide: bool = True) -> DataFrame:
-    """``key1`` of all line sets to which a set that occurs first before them is similar.
+def preceded(docs: DataFrame, lines: DataFrame, rank: np.ndarray, back: np.ndarray, id_col: str, text_col: str, t: float, wide: bool = True) -> DataFrame:
+    """``key1`` of all line sets to which a set that occurs first before them is similar; ``lines`` says where sets occur.
 
     One similar set is enough, so each set first tries the few candidates that differ least by their
     bitmaps; a crowd of near copies costs a few pairs a line.  Sets that none of those confirms and that
@@ -372,7 +396,7 @@ def preceded(docs: DataFrame, rank: np.ndarray, back: np.ndarray, id_col: str, t
     postings = _postings(docs, id_col, text_col, rank, back, t, wide)
     pairs = scratch.write(_candidates(postings, t))
     real = pairs.where("later <> earlier")
-    sets = _sets_of(docs, real, id_col, text_col)
+    sets = _sets_of(docs, lines, real, id_col, text_col)
     # The closest candidate of each line settles nearly all, so the others' sets need not be joined to it.
     closest = real.groupBy("later").agg(F.min(F.struct("differ", "earlier")).alias("c")).select("later", "c.earlier")
     found = scratch.write(_verified(closest, sets, t))
@@ -383,7 +407,7 @@ def preceded(docs: DataFrame, rank: np.ndarray, back: np.ndarray, id_col: str, t
         words = _marked(open_.select(F.col("word").alias("key1")))
         rest = _candidates(_postings(docs, id_col, text_col, rank, back, t, wide, words), t, _marked(open_.select(F.col("later").alias("key1"))))
         rest = scratch.write(rest.join(open_.select("later").distinct(), "later", "left_semi").where("later <> earlier"))
-        found = found.unionByName(_verified(rest, _sets_of(docs, rest, id_col, text_col), t)).distinct()
+        found = found.unionByName(_verified(rest, _sets_of(docs, lines, rest, id_col, text_col), t)).distinct()
     return found.withColumnRenamed("later", "key1")
 
 
@@ -420,7 +444,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct(_order(F.col("id")).alias("ord"), "line", "id")
     sets = lines.groupBy("key1", "key2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times"))
     # Merged at any size: a broadcast would serve small inputs only.
-    late = preceded(docs, rank, back, id_col, text_col, similarity, wide).withColumn("late", F.lit(True)).hint("merge")
+    late = preceded(docs, lines, rank, back, id_col, text_col, similarity, wide).withColumn("late", F.lit(True)).hint("merge")
     goers = sets.join(late, "key1", "left").where("times > 1 or late").select("key1", "key2", "at", "late")
     gone = lines.join(goers.hint("merge"), ["key1", "key2"]).where(F.col("late") | (place > F.col("at")))
     return gone.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
