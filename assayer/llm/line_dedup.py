@@ -69,7 +69,7 @@ def _piece(chunk: vec.Chunk, rank: np.ndarray | None, back: np.ndarray | None) -
     of_row = np.searchsorted(chunk.offsets, breaks, "right") - 1
     per_row = np.bincount(of_row, minlength=chunk.rows) + 1
     base = np.cumsum(per_row) - per_row
-    line_of = np.searchsorted(breaks, w.starts) + w.row
+    line_of = vec.parts(w.starts, breaks) + w.row
     codes = vec.Hasher(w.low)(w.starts, w.ends) >> np.uint64(64 - _CODE_BITS)
     if rank is not None:
         codes = (rank[codes >> _LOW] << _LOW) | (codes & np.uint64((1 << int(_LOW)) - 1))
@@ -95,6 +95,16 @@ def _piece(chunk: vec.Chunk, rank: np.ndarray | None, back: np.ndarray | None) -
     return Lines(row, which - base[row], first, n, codes, *sums)
 
 
+def _rows_with(texts: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """The rows that hold a marked word: without sorting or lines, half the work of cutting all rows."""
+    found = [np.zeros(0, np.int64)]
+    for chunk in vec.chunks(texts, PIECE):
+        w = vec.words(chunk, _TABLE)
+        codes = vec.Hasher(w.low)(w.starts, w.ends) >> np.uint64(64 - _CODE_BITS)
+        found.append(chunk.first + np.unique(w.row[marks[codes & np.uint64((1 << MARK_BITS) - 1)]]))
+    return np.concatenate(found)
+
+
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows, rows.schema["id"].dataType.simpleString()
@@ -148,7 +158,7 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, rank: np.ndarray, bac
 
     ``meta`` holds the set's size, the word's place in the rarity order (a lower one beyond a million, which only loosens the
     position filter) and the line's number; ``wide``: numbers beyond 20 bits have a column of their own.  ``only`` marks the
-    words that are wanted.
+    words that are wanted; rows without any aren't cut into lines.
     """
     packed = None if only is None else np.packbits(only)
     rows = docs.select(_order(F.col(id_col)).alias("ord"), F.col(text_col).cast("string").alias("text"))
@@ -157,9 +167,12 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, rank: np.ndarray, bac
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = None if packed is None else np.unpackbits(packed).astype(bool)
         for batch in batches:
-            orders = batch.column(0).to_numpy()
+            orders, texts = batch.column(0).to_numpy(), batch.column(1)
+            if marks is not None:  # their bits are the same whatever the rank
+                some = _rows_with(texts, marks)
+                orders, texts = orders[some], texts.take(pa.array(some))
             seen, seen_ord = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            for chunk in vec.chunks(batch.column(1)):
+            for chunk in vec.chunks(texts):
                 got = _lines(chunk, rank, back)
                 at = orders[chunk.first + got.row]
                 # A line that repeats within the batch is posted once, at its first occurrence.
@@ -339,7 +352,7 @@ def _marked(keys: DataFrame) -> np.ndarray:
     low = keys.select((F.col("key1").bitwiseAND(F.lit((1 << MARK_BITS) - 1)) + 1).alias("x"))
     maps = low.groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
     out = np.zeros(1 << MARK_BITS, bool)
-    for r in maps.toLocalIterator():
+    for r in maps.collect():  # 128 rows at most; an iterator would run a job for every partition
         bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
         out[(r.k - 1) * len(bits) : r.k * len(bits)] = bits.astype(bool)
     return out
@@ -440,8 +453,11 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = scratch.write(_occurrences(docs, id_col, text_col))
     rank, back = _ranks(found)
     lines = found.where("line >= 0")
-    wide = (lines.agg(F.max("line")).first()[0] or 0) > _MOST
+    most, low, high = lines.agg(F.max("line"), F.min(_order(F.col("id"))), F.max(_order(F.col("id")))).first()
+    wide = (most or 0) > _MOST
     place = F.struct(_order(F.col("id")).alias("ord"), "line", "id")
+    if not wide and low is not None and -(1 << 43) <= low <= high < 1 << 43:  # one long, whose minimum needs no sort
+        place = F.shiftleft(F.col("id").cast("long"), 20) + F.col("line")
     sets = lines.groupBy("key1", "key2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times"))
     # Merged at any size: a broadcast would serve small inputs only.
     late = preceded(docs, lines, rank, back, id_col, text_col, similarity, wide).withColumn("late", F.lit(True)).hint("merge")

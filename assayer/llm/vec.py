@@ -71,7 +71,7 @@ class Words:
 
 
 def words(chunk: Chunk, table: np.ndarray) -> Words:
-    low = table[chunk.data]
+    low = np.take(table, chunk.data, mode="clip")  # every byte has its place; this mode is the fastest
     inside = low != 0
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -81,7 +81,12 @@ def words(chunk: Chunk, table: np.ndarray) -> Words:
     begins[edges] = inside[edges]
     stops[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    return Words(low, starts, ends, np.searchsorted(chunk.offsets, starts, "right") - 1)
+    return Words(low, starts, ends, parts(starts, chunk.offsets[1:-1]))
+
+
+def parts(places: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many of the sorted ``cuts`` lie at or before each of the sorted ``places``; few cuts are looked up, not many places."""
+    return np.repeat(np.arange(len(cuts) + 1), np.diff(np.searchsorted(places, cuts), prepend=0, append=len(places)))
 
 
 _powers: list[np.ndarray] = []
@@ -111,7 +116,10 @@ class Hasher:
     def __init__(self, low: np.ndarray):
         power, self.inverse = _tables(len(low) + 1)
         self.sums = np.zeros(len(low) + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(low)], out=self.sums[1:])
+        terms = low.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= power[: len(low)]
+        np.cumsum(terms, out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
