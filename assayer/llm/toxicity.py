@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,6 +251,7 @@ def fit(
     terms = some[np.argsort(-np.abs(z), kind="stable")[:MAX_TERMS]]
     paired = _pair_terms(_pair_search(rows, labels, hit, all_rows, terms, seed), run)[:MAX_TERMS]
     terms = np.sort(np.concatenate([terms, paired])).astype(np.int32)
+    del all_rows, hit  # a number for each bucket, no longer needed beside the design
     x = np.zeros((n, len(terms)), np.float32)
     for k, dense in _design(rows, np.arange(n), terms, _slots(terms)):
         x[k : k + len(dense)] = dense
@@ -278,6 +280,13 @@ def fit(
     return machine
 
 
+def _in_order(got: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Terms and labels in the order of the ids; the terms are views, since a sorted table would be a second copy in the driver."""
+    order = pc.sort_indices(got["id"]).to_numpy()
+    terms = [np.frombuffer(t.as_buffer(), np.int32) for t in got["terms"]]
+    return [terms[k] for k in order], got["label"].to_numpy().astype(np.int64)[order]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> Machine:
     """Fits on labelled rows that are not held out.
 
@@ -304,9 +313,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # Of a repeated id one row counts, so the bound on ids is one on rows.
     one = few.mapInArrow(run, "id string, terms binary, label int").groupBy("id").agg(F.min("terms").alias("terms"), F.max("label").alias("label"))
-    got = one.toArrow().sort_by("id")
-    terms = [np.frombuffer(t.as_buffer(), np.int32) for t in got["terms"]]
-    return fit(terms, got["label"].to_numpy().astype(np.int64), run=_spread(docs.sparkSession))
+    terms, got = _in_order(one.toArrow())
+    return fit(terms, got, run=_spread(docs.sparkSession))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

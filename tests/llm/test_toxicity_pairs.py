@@ -1,6 +1,7 @@
 """Pairs of terms that say nothing alone are learned with the production parameters."""
 
 import numpy as np
+import pyarrow as pa
 
 from assayer.llm import toxicity
 
@@ -44,3 +45,15 @@ def test_search_in_tasks_is_the_search_here(spark):
     here = toxicity._pair_terms(search, toxicity._here)
     assert len(search.blocks()) > 1 and {3, 5} <= set(here.tolist())
     assert toxicity._pair_terms(search, toxicity._spread(spark)).tolist() == here.tolist()
+
+
+def test_gathered_rows_are_ordered_without_a_copy():
+    """The driver holds the gathered terms once: their arrays are views of what was gathered."""
+    parts = [pa.table({"id": ["7", "10"], "terms": pa.array([b"\1\0\0\0\2\0\0\0", b""], pa.binary()), "label": pa.array([1, 0], pa.int32())}), pa.table({"id": ["2"], "terms": pa.array([b"\3\0\0\0"], pa.binary()), "label": pa.array([1], pa.int32())})]
+    before = pa.total_allocated_bytes()
+    big = pa.table({"id": [str(k) for k in range(40)], "terms": pa.array([bytes(400_000)] * 40, pa.binary()), "label": pa.array([0] * 40, pa.int32())})
+    size = pa.total_allocated_bytes() - before
+    held, _ = toxicity._in_order(big)
+    assert pa.total_allocated_bytes() - before < 1.1 * size and sum(x.nbytes for x in held) == 16_000_000
+    terms, labels = toxicity._in_order(pa.concat_tables(parts))
+    assert [x.tolist() for x in terms] == [[], [3], [1, 2]] and labels.tolist() == [0, 1, 1]
