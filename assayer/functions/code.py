@@ -44,7 +44,7 @@ def slice_rows(text: Column) -> Column:
 
         sinks = F.filter(rows, lambda s: s.rlike(SINK))
         other = F.filter(rows, lambda s: s.contains("=") | s.contains("("))
-        return let(F.when(F.size(sinks) > 0, sinks).otherwise(other), from_start)
+        return let(let(sinks, lambda s: F.when(F.size(s) > 0, s).otherwise(other)), from_start)
 
     stripped = F.transform(code_lines(text), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return let(F.filter(stripped, lambda s: s != ""), chosen)
@@ -53,7 +53,7 @@ def slice_rows(text: Column) -> Column:
 def slice_tokens(text: Column) -> Column:
     """Different tokens of the canonical slice; one mark for an empty slice."""
     found = F.array_distinct(F.regexp_extract_all(canonical_code(F.array_join(slice_rows(text), "\n")), F.lit(CODE_TOKEN), F.lit(0)))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("_empty_")))
+    return let(found, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("_empty_"))))
 
 
 def slice_similarity(a: Column, b: Column) -> Column:
@@ -73,7 +73,12 @@ def tagged(rows: Column) -> Column:
 
 def minus(a: Column, b: Column) -> Column:
     """Multiset difference: each element of ``a`` as often as it stands there more than in ``b``."""
-    return F.transform(F.array_except(tagged(a), tagged(b)), lambda s: F.regexp_replace(s, r"#[0-9]+\z", ""))
+    return untagged(F.array_except(tagged(a), tagged(b)))
+
+
+def untagged(rows: Column) -> Column:
+    """The elements of a multiset that ``tagged`` has made a set."""
+    return F.transform(rows, lambda s: F.regexp_replace(s, r"#[0-9]+\z", ""))
 
 
 def balanced(text: Column) -> Column:

@@ -17,12 +17,11 @@ _STRINGS = "array<string>"
 def with_script(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Adds the struct ``name``: the ``edits`` from text ``a`` to ``b`` and their ``size``.
 
-    Each different pair of texts is compared once, wherever its rows are.  Null counts as empty.  Other columns stay.
+    Texts are compared where they are and never shuffled; a pair that neighbours share is compared once.  Null counts as empty.
+    Other columns stay.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    keyed = rows.select(F.struct("*").alias("row"), text(a).alias("a"), text(b).alias("b"))
-    made = keyed.select("a", "b").distinct().select("a", "b", compare_udf("a", "b").alias("made"))
-    return keyed.join(made, ["a", "b"]).select("row.*", F.col("made").alias(name))
+    return rows.withColumn(name, compare_udf(text(a), text(b)))
 
 
 def rows(scripts: DataFrame, key: list[str], script: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import code as C
@@ -14,6 +14,25 @@ REASONS = (EXACT, COVERS, MISSING, UNCHANGED, UNBALANCED)
 
 
 _ADDED = ("reason", "similarity", "validated", "severed")
+#: What is read of a function and its fix, and of a patch: statements, as sets too, their differences, and the function's slice.
+SIDES, OWN = ("__v", "__f", "__rows_f", "__tokens", "__lost", "__new"), ("__rows_p", "__p", "__lost_p", "__new_p")
+
+
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(""))
+
+
+def with_sides(rows: DataFrame, vulnerable: str = "v", fixed: str = "f") -> DataFrame:
+    """Adds ``SIDES``; of rows that many patches are made of later, so that a function and its fix are read once."""
+    read = rows.withColumns({"__v": C.tagged(C.statements(_text(vulnerable))), "__rows_f": C.statements(_text(fixed)), "__tokens": C.slice_tokens(_text(vulnerable))})
+    read = read.withColumn("__f", C.tagged(F.col("__rows_f")))
+    return read.withColumns({"__lost": F.array_except("__v", "__f"), "__new": F.array_except("__f", "__v")})
+
+
+def with_own(rows: DataFrame, patch: str = "p") -> DataFrame:
+    """Adds ``OWN`` to rows that have ``SIDES``."""
+    read = rows.withColumn("__rows_p", C.statements(_text(patch))).withColumn("__p", C.tagged(F.col("__rows_p")))
+    return read.withColumns({"__lost_p": F.array_except("__v", "__p"), "__new_p": F.array_except("__p", "__v")})
 
 
 def judge(rows: DataFrame, vulnerable: str = "v", fixed: str = "f", patch: str = "p") -> DataFrame:
@@ -23,20 +42,15 @@ def judge(rows: DataFrame, vulnerable: str = "v", fixed: str = "f", patch: str =
     fix or removes and adds, as multisets, all that the fix removes and adds.  Severance is reported, not judged by.
     Null texts count as empty; columns of these four names are replaced, all others stay.
 
-    Each different pair of a function and its fix is read once and joined to its patches.
+    Texts are read where they are and never shuffled; rows that bring ``SIDES`` or ``OWN`` along aren't read for these again.
     """
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    keyed = rows.drop(*_ADDED).select(F.struct("*").alias("row"), text(vulnerable).alias("v"), text(fixed).alias("f"), text(patch).alias("p"))
-    v, f, p = (F.col(c) for c in ("sv", "sf", "sp"))
-    sides = keyed.select("v", "f").distinct().select("v", "f", C.tagged(C.statements(F.col("v"))).alias("sv"), C.tagged(C.statements(F.col("f"))).alias("sf"), C.statements(F.col("f")).alias("rows_f"), C.slice_tokens(F.col("v")).alias("tv"))
-    sides = sides.select("v", "f", "sv", "rows_f", "tv", F.array_except(v, f).alias("lost"), F.array_except(f, v).alias("new"))
-    # Patches are read where they are: behind the join there may be few tasks, as its rows are small for what they ask for.
-    own = keyed.select("row", "v", "f", C.statements(F.col("p")).alias("rows_p"), C.slice_tokens(F.col("p")).alias("tp"), C.balanced(F.col("p")).alias("fine"))
-    read = own.join(sides, ["v", "f"]).withColumn("sp", C.tagged(F.col("rows_p")))
-    out = read.withColumns({"lost_p": F.array_except(v, p), "new_p": F.array_except(p, v)})
-    changed = (F.size("lost_p") > 0) | (F.size("new_p") > 0)
-    covers = (F.size(F.array_except("lost", "lost_p")) == 0) & (F.size(F.array_except("new", "new_p")) == 0)
-    exact = F.col("rows_p") == F.col("rows_f")
-    reason = F.when(~changed, UNCHANGED).when(~F.col("fine"), UNBALANCED).when(exact, EXACT).when(covers, COVERS).otherwise(MISSING)
-    out = out.select("row", reason.alias("reason"), jaccard(F.col("tp"), F.col("tv")).alias("similarity"))
-    return out.select("row.*", "reason", "similarity", F.col("reason").isin(EXACT, COVERS).alias("validated"), (F.col("similarity") < C.INTACT).alias("severed"))
+    rows = rows.drop(*_ADDED)
+    out = rows if SIDES[0] in rows.columns else with_sides(rows, vulnerable, fixed)
+    out = out if OWN[0] in rows.columns else with_own(out, patch)
+    changed = (F.size("__lost_p") > 0) | (F.size("__new_p") > 0)
+    covers = (F.size(F.array_except("__lost", "__lost_p")) == 0) & (F.size(F.array_except("__new", "__new_p")) == 0)
+    exact = F.col("__rows_p") == F.col("__rows_f")
+    reason = F.when(~changed, UNCHANGED).when(~C.balanced(_text(patch)), UNBALANCED).when(exact, EXACT).when(covers, COVERS).otherwise(MISSING)
+    out = out.select(*rows.columns, reason.alias("reason"), C.slice_tokens(_text(patch)).alias("__tokens_p"), F.col("__tokens").alias("__tokens_v"))
+    out = out.select(*rows.columns, "reason", jaccard(F.col("__tokens_p"), F.col("__tokens_v")).alias("similarity"))
+    return out.select(*rows.columns, "reason", "similarity", F.col("reason").isin(EXACT, COVERS).alias("validated"), (F.col("similarity") < C.INTACT).alias("severed"))
