@@ -7,10 +7,11 @@ import oracle
 import pytest
 
 from assayer.functions import diff as D
-from assayer.jobs import repair, reports
+from assayer.jobs import detectors, repair, reports
 from assayer.jobs.base import Tables
 from assayer.operators import edits as E
 from assayer.operators import judge as J
+from assayer.operators import retrieve as R
 from assayer.sources.shared import Scratch
 
 
@@ -54,3 +55,23 @@ def test_equal_pairs_in_one_batch(spark):
     rows = [("a\nb", "a\nc", k) for k in range(40)] + [(None, "a", 40), ("a", None, 41)]
     got = E.with_script(spark.createDataFrame(rows, "a string, b string, k int"), "a", "b", "s").select("k", "s.size").collect()
     assert sorted((r.k, r.size) for r in got) == [(k, 2) for k in range(40)] + [(40, 1), (41, 1)]
+
+
+def _postings(spark):
+    draw = random.Random(3)
+    rows = [(k, k % 5 == 0, f"t{draw.randrange(12)}") for k in range(60) for _ in range(6)]
+    return detectors.sides(R.weights(spark.createDataFrame(rows, "key int, asked boolean, term string"), "asked", "key", 48))
+
+
+def test_pairs_are_scored_without_rows_for_their_terms(spark):
+    assert "Join" not in plan(R.best(*_postings(spark)))
+
+
+def test_places_are_tried_until_enough_may_be_answers(spark, monkeypatch):
+    """Nothing of the first places may be an answer, so later ones are asked."""
+    monkeypatch.setattr(R, "TRIED", 2)
+    q, k = _postings(spark)
+    every = R.best(q, k, 48).collect()
+    got = R.best(q, k, 2, lambda pairs: pairs.where("k % 7 = 1")).collect()
+    want = {x: [(r.k, r.sim) for r in sorted(every, key=lambda r: r["rank"]) if r.q == x and r.k % 7 == 1][:2] for x in {r.q for r in every}}
+    assert {x: [(r.k, r.sim) for r in sorted(got, key=lambda r: r["rank"]) if r.q == x] for x in want} == want
