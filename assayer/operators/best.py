@@ -11,18 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.operators.joins import small
+from assayer.operators.joins import large, small
 from assayer.operators.setsim import jaccard_of
 from assayer.sources.shared import Scratch
 
 #: How many of the rarest features give the first candidates, and how many of these are compared in full.
 FIRST, COMPARED = 8, 3
+#: Known sets of so many features together at most, and so many features of queries, are broadcast.
+MOST_SENT = 200_000
 _EPS = 1e-12
 
 
 def _compared(pairs: DataFrame, queries: DataFrame, known: DataFrame) -> DataFrame:
-    """``q``, ``k`` and ``sim`` of pairs, by their whole sets."""
-    both = pairs.join(queries.select("q", F.col("fs").alias("qs")), "q").join(small(known.select("k", F.col("fs").alias("ks"))), "k")
+    """``q``, ``k`` and ``sim`` of pairs, by their whole sets; few sets may be many features."""
+    n = known.agg(F.coalesce(F.sum(F.greatest(F.size("fs"), F.lit(1))), F.lit(0))).first()[0]
+    sets = known.select("k", F.col("fs").alias("ks"))
+    both = pairs.join(large(queries.select("q", F.col("fs").alias("qs"))), "q").join(F.broadcast(sets) if n <= MOST_SENT else large(sets), "k")
     return both.select("q", "k", jaccard_of(F.size(F.array_intersect("qs", "ks")), F.size("qs"), F.size("ks")).alias("sim"))
 
 
@@ -76,8 +80,13 @@ def pairs_between(queries: DataFrame, known: DataFrame, threshold: float) -> Dat
 
     Both sides join on their prefixes of rare features, which such pairs share one of at least, under the bound of their sizes.
     """
+    scratch = Scratch(queries.sparkSession)
+    queries, known = scratch.write(queries.select("q", "fs")), scratch.write(known.select("k", "fs"))
+    # A known set's features that no query has can't be shared: they only count, in its size.
+    asked = small(scratch.write(queries.select(F.explode("fs").alias("feature")).distinct()), MOST_SENT)
     sides = queries.select(F.col("q"), F.lit(None).cast(dict(known.dtypes)["k"]).alias("k"), "fs").unionByName(known.select(F.lit(None).cast(dict(queries.dtypes)["q"]).alias("q"), "k", "fs"))
     each = sides.select("q", "k", F.size("fs").alias("n"), F.explode("fs").alias("feature"))
+    each = scratch.write(each.join(asked, "feature", "left_semi"))
     df = each.groupBy("feature").agg(F.count("q").alias("a"), F.count("k").alias("b"))
     # What one side alone has comes first in the order and can't be shared.
     order = df.where("a > 0 and b > 0").select("feature", (F.col("a") + F.col("b")).alias("df"))
@@ -87,5 +96,6 @@ def pairs_between(queries: DataFrame, known: DataFrame, threshold: float) -> Dat
     prefix = ranked.withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
     x = prefix.where("q is not null").select("q", F.col("n").alias("m"), "feature")
     y = prefix.where("k is not null").select("k", "n", "feature")
-    met = x.join(y, "feature").where(F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9).select("q", "k").distinct()
+    met = scratch.write(x.join(large(y), "feature").where(F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9).select("q", "k").distinct())
+    known = known.join(small(met.select("k").distinct()), "k", "left_semi")
     return _compared(met, queries, known).where(F.col("sim") >= threshold - _EPS)

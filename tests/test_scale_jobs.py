@@ -4,11 +4,14 @@ import difflib
 import random
 
 import oracle
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.functions import diff as D
-from assayer.jobs import detectors, repair, reports
+from assayer.jobs import answers, detectors, repair, reports
 from assayer.jobs.base import Tables
+from assayer.operators import best as B
 from assayer.operators import edits as E
 from assayer.operators import judge as J
 from assayer.operators import retrieve as R
@@ -75,3 +78,27 @@ def test_places_are_tried_until_enough_may_be_answers(spark, monkeypatch):
     got = R.best(q, k, 2, lambda pairs: pairs.where("k % 7 = 1")).collect()
     want = {x: [(r.k, r.sim) for r in sorted(every, key=lambda r: r["rank"]) if r.q == x and r.k % 7 == 1][:2] for x in {r.q for r in every}}
     assert {x: [(r.k, r.sim) for r in sorted(got, key=lambda r: r["rank"]) if r.q == x] for x in want} == want
+
+
+def test_many_features_are_not_broadcast(spark, monkeypatch):
+    """A few known sets of many features each, as documents are, are joined where they lie."""
+    rows = [(k, list(range(k, k + 900))) for k in range(20)]
+    sets = spark.createDataFrame(rows, "q int, fs array<long>")
+    monkeypatch.setattr(B, "MOST_SENT", 5_000)
+    found = B.pairs_between(sets.where("q < 3"), sets.withColumnRenamed("q", "k"), 0.99)
+    assert "ks" not in "".join(p for p in plan(found).splitlines() if "BroadcastExchange" in p) and plan(found).count("SortMergeJoin") == 2
+    assert {(r.q, r.k) for r in found.collect()} == {(q, k) for q in range(3) for k in range(20) if abs(q - k) <= 4}
+
+
+def test_parts_by_pattern_are_those_by_steps(spark):
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("ab ,,{}1") for _ in range(draw.randint(0, 14))) for _ in range(400)] + ["", "a", ",", "a{b,{c,d},e},f", "a{b{c{d,e}}},f", "x,\n y", "a\x01,b", "a," * 200, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", answers.split_top(F.col("t")).alias("a"), answers._stepwise(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+    assert {r.t: r.a for r in rows}["a{b,{c,d},e},f"] == ["a{b,{c,d},e}", "f"]
+
+
+def test_mean_of_best_cosines():
+    a, b = [1.0, 0.0, 0.0, 0.0, 0.0, 3.0, 0.0, 4.0], [2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    got = list(detectors.mean_best.func(pd.Series([a, a, [0.0] * 4]), pd.Series([b, a, a])))
+    assert got[:2] == pytest.approx([0.9, 1.0]) and got[2] != got[2]
